@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import crc_rest, words
+from tracewell.llm.common import crc_rest, ship, words
 
 BLOCK_BYTES = 8 << 20
 BUCKET_BYTES = 16 << 20
@@ -128,6 +128,7 @@ def totals(docs: DataFrame) -> tuple[int, int, int, int, int]:
 def score(docs: DataFrame, mod: int = 7, held: int = 2, block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row of docs."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), (crc_rest(F.col("doc_id"), mod) != held).alias("train"))
+    ship(docs.sparkSession)
     size, n, v, one, two = totals(rows)
     discount = one / (one + 2 * two) if one else 0.5
     blocks, buckets = max(1, math.ceil(size / block_bytes)), max(1, math.ceil(size / bucket_bytes))

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracewell.llm.common import ship
+
 #: Fixed values of the Ogg page layout.
 CAPTURE = b"OggS"
 PAGE = struct.Struct("<4sBBqIIIB")
@@ -130,6 +132,7 @@ def feature(x: np.ndarray, seconds: float) -> str:
 
 def media(docs: DataFrame, keep_media: bool = False) -> DataFrame:
     """The digests of every row's container, after it is read back; with `media`, the container itself."""
+    ship(docs.sparkSession)
     fields = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("duration_s", pa.float64()), ("media", pa.binary())]
     fields = fields if keep_media else fields[:-1]
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, duration_s double" + ", media binary" * keep_media

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import cut
+from tracewell.llm.common import cut, ship
 from tracewell.llm.tokenizing import memory
 
 LENGTH = 1024
@@ -33,6 +33,7 @@ WEIGHTS = (1.0, 0.01, 0.01)
 
 def pieces(docs: DataFrame, vocab: str, end_id: int, length: int = LENGTH, with_ids: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 (and ids, little-endian 32-bit) of every piece of docs."""
+    ship(docs.sparkSession)
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -8,13 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from tracewell.llm import lm_scoring, ogg, packing, quality_rules, source_mixing, token_counts, token_files, url_filter
+from tracewell.llm import lm_scoring, ngram_join, ogg, packing, quality_rules, source_mixing, token_counts, token_files, toxicity, url_filter
 from tracewell.llm.common import table
 
 #: The id that ends a document.
 END = 2
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents")).drop("_key", "char_divergence", "word_divergence")
 
@@ -47,7 +51,11 @@ def op9_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg.media(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_quality_rules, op3_token_files, op4_lm_scoring, op5_token_counts, op6_packing, op7_source_mixing, op8_url_filter, op9_ogg)}
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_quality_rules, op3_token_files, op4_lm_scoring, op5_token_counts, op6_packing, op7_source_mixing, op8_url_filter, op9_ogg, op10_ngram_join)}
 
 ORACLES: dict[str, str] = {
     "op2_quality_rules": quality_rules.oracle(),

@@ -30,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracewell.llm.common import ship
+
 CHUNK = 128
 GROUP_CHARS = 1_000_000
 MOST_STATES = 500_000
@@ -313,6 +315,8 @@ def counter(path: str) -> Counter:
 def token_counts(docs: DataFrame, vocab: str, limit: int = LIMIT) -> DataFrame:
     """doc_id, n_bytes, n_tokens and over_limit of every row of docs."""
 
+    ship(docs.sparkSession)
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = counter(vocab)
         for batch in batches:

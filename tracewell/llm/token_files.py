@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import shared_dir
+from tracewell.llm.common import shared_dir, ship
 from tracewell.llm.tokenizing import memory
 
 MAGIC = b"TWPK0001"
@@ -106,6 +106,7 @@ class Image:
 
 def write(docs: DataFrame, vocab: str, end_id: int, path: str, image_ids: int = IMAGE_IDS) -> None:
     """Tokenize docs (doc_id, text) and write their images, in ascending order of doc_id, under path."""
+    ship(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     rows = rows.withColumn("_h", F.xxhash64("text"))
     parts = max(1, rows.rdd.getNumPartitions())
@@ -139,6 +140,7 @@ def write(docs: DataFrame, vocab: str, end_id: int, path: str, image_ids: int =
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 and ids (little-endian 32-bit) of every document in the files under path."""
+    ship(spark)
     files = spark.read.parquet(path)
     sizes = files.select("part", "seq", "n_tokens")
     ranges = sizes.groupBy("part").agg(F.sum("n_tokens").alias("_n"))
