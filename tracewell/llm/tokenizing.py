@@ -1,8 +1,11 @@
-"""Ids of whole texts by the tokenizers library, with the library's results kept by word.
+"""Ids of whole texts by the tokenizers library, with the library's results kept by piece.
 
-The library works on each piece between spaces by itself, so what it gave for a word holds for
-every other place of that word. Texts with marks that could join pieces (special strings, rare
-white space) go to the library whole. The memory per worker process is bounded.
+The library works on every run of letters, and on what stands between such runs, by itself, so
+what it gave for a piece holds for every other place of that piece. Pieces met for the first time
+go to the library together: runs of letters as one text, which its own marks of word ends (or
+beginnings) cut up again, others one by one. Texts with special strings, or with characters
+beyond ASCII, Latin letters and plain punctuation, go to the library whole. The memory per
+worker process is bounded.
 """
 
 from __future__ import annotations
@@ -12,17 +15,18 @@ import re
 
 import numpy as np
 
-#: Entries kept by a worker process; a word is about two hundred bytes.
+#: Pieces kept by a worker process; one is about two hundred bytes.
 KEPT = 600_000
-#: White space beyond ASCII, and separators that engines disagree on: fixed values.
-RARE = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
-_DROPPED = re.compile(r"[^ \t-\r]+")
-_KEPT = re.compile(r" ?[^ \t-\r]+|[ \t-\r]+(?![^ \t-\r])|[ \t-\r]")
+#: What a text may hold to be cut into pieces here, besides ASCII: fixed values. No character of these combines with another one.
+_BEYOND = re.compile("[^\x00-\x1b!-\x7e ¡-§©-±´-·º»¿-ɏ‐-‧€]")
+_BETWEEN = r"(?:'[^\W\d_]*|[^ \t-\r\w']|[\d_])+"
+_DROPPED = re.compile(rf"[^\W\d_]+|{_BETWEEN}")
+_HELD = re.compile(rf" ?[^\W\d_]+| ?{_BETWEEN}|[ \t-\r]+(?![^ \t-\r])|[ \t-\r]")
 
-_made: dict[str, "WordMemory"] = {}
+_made: dict[str, WordMemory] = {}
 
 
-def memory(path: str) -> "WordMemory":
+def memory(path: str) -> WordMemory:
     """This worker process's WordMemory for a vocabulary file."""
     if path not in _made:
         _made[path] = WordMemory(path)
@@ -37,22 +41,40 @@ class WordMemory:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
-        #: Spaces belong to pieces where the vocabulary can say a space.
-        kept = self.tokenizer.encode("a b", add_special_tokens=False).tokens[-1].startswith("Ġ")
-        self.pieces = (_KEPT if kept else _DROPPED).findall
+        one = lambda t: self.tokenizer.encode(t, add_special_tokens=False)
+        #: Spaces belong to pieces where the vocabulary can say a space; case is dropped where it makes no difference.
+        self.spaced = one("a b").tokens[-1].startswith("Ġ")
+        self.caseless = one("QUITE Ä").ids == one("quite ä").ids
+        self.pieces = (_HELD if self.spaced else _DROPPED).findall
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.rare = RARE.search if kept else (lambda _: None)
-        self.special_apart = kept
+        names = sorted(self.tokenizer.get_vocab().items(), key=lambda x: x[1])
+        self.edge = np.zeros(names[-1][1] + 1, bool)
+        self.edge[[i for t, i in names if (t.startswith("Ġ") if self.spaced else t.endswith("</w>"))]] = True
         self.known: dict[str, bytes] = {}
         self.passed = 0
 
     def _library(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
+
+    def _new(self, pieces: list[str]) -> dict[str, bytes]:
+        """The library's ids of pieces."""
+        plain = [w for w in pieces if (w[:1] == " " and w[1:].isalpha() if self.spaced else w.isalpha())]
+        found: dict[str, bytes] = {}
+        if plain:
+            ids = np.asarray(self.tokenizer.encode_batch_fast([("" if self.spaced else " ").join(plain)], add_special_tokens=False)[0].ids, dtype="<u4")
+            at = np.flatnonzero(self.edge[ids])
+            cuts = [*at.tolist(), len(ids)] if self.spaced else [0, *(at + 1).tolist()]
+            if len(cuts) == len(plain) + 1 and cuts[0] == 0 and cuts[-1] == len(ids):
+                raw = ids.tobytes()
+                found = {w: raw[4 * a : 4 * b] for w, a, b in zip(plain, cuts, cuts[1:], strict=False)}
+        rest = [w for w in pieces if w not in found]
+        found.update(zip(rest, self._library(rest), strict=True))
+        return found
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit integers."""
         out: list[bytes] = [b""] * len(texts)
-        whole = [i for i, t in enumerate(texts) if self.rare(t) or self.special_apart and any(s in t for s in self.special)]
+        whole = [i for i, t in enumerate(texts) if _BEYOND.search(t) or any(s in t for s in self.special)]
         for i, ids in zip(whole, self._library([texts[i] for i in whole]), strict=True):
             out[i] = ids
         apart, group, chars = set(whole), [], 0
@@ -60,21 +82,21 @@ class WordMemory:
             if i not in apart:
                 group.append(i)
                 chars += len(t)
-            if group and (chars > 1_000_000 or i == len(texts) - 1):
-                self._group(texts, group, out)
-                group, chars = [], 0
+                if chars > 1_000_000:
+                    self._group(texts, group, out)
+                    group, chars = [], 0
         if group:
             self._group(texts, group, out)
         return out
 
     def _group(self, texts: list[str], group: list[int], out: list[bytes]) -> None:
-        split = [self.pieces(texts[i]) for i in group]
-        known, new = self.known, list(set().union(*split).difference(self.known))
-        found = dict(zip(new, self._library(new), strict=True)) if new else {}
+        split = [self.pieces(texts[i].lower() if self.caseless else texts[i]) for i in group]
+        known = self.known
+        found = self._new(list(set().union(*split).difference(known)))
         if len(known) + len(found) <= KEPT:
             known.update(found)
             look = known.__getitem__
-        else:  # full: words met first stay, until most of what came was new
+        else:  # full: pieces met first stay, until most of what came was new
             self.passed += len(found)
             look = lambda w: found[w] if w in found else known[w]
         for i, pieces in zip(group, split, strict=True):
