@@ -19,9 +19,10 @@ import numpy as np
 KEPT = 600_000
 #: What a text may hold to be cut into pieces here, besides ASCII: fixed values. No character of these combines with another one.
 _BEYOND = re.compile("[^\x00-\x1b!-\x7e ¡-§©-±´-·º»¿-ɏ‐-‧€]")
-_BETWEEN = r"(?:'[^\W\d_]*|[^ \t-\r\w']|[\d_])+"
-_DROPPED = re.compile(rf"[^\W\d_]+|{_BETWEEN}")
-_HELD = re.compile(rf" ?[^\W\d_]+| ?{_BETWEEN}|[ \t-\r]+(?![^ \t-\r])|[ \t-\r]")
+_LETTER = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
+_BETWEEN = rf"(?:[^ \t-\r'{_LETTER}]+|'[{_LETTER}]*)+"
+_DROPPED = re.compile(rf"[{_LETTER}]+|{_BETWEEN}")
+_HELD = re.compile(rf" ?[{_LETTER}]+| ?{_BETWEEN}|[ \t-\r]+(?![^ \t-\r])|[ \t-\r]")
 
 _made: dict[str, WordMemory] = {}
 
@@ -74,7 +75,7 @@ class WordMemory:
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit integers."""
         out: list[bytes] = [b""] * len(texts)
-        whole = [i for i, t in enumerate(texts) if _BEYOND.search(t) or any(s in t for s in self.special)]
+        whole = [i for i, t in enumerate(texts) if not t.isascii() and _BEYOND.search(t) or any(s in t for s in self.special)]
         for i, ids in zip(whole, self._library([texts[i] for i in whole]), strict=True):
             out[i] = ids
         apart, group, chars = set(whole), [], 0
@@ -91,16 +92,20 @@ class WordMemory:
 
     def _group(self, texts: list[str], group: list[int], out: list[bytes]) -> None:
         split = [self.pieces(texts[i].lower() if self.caseless else texts[i]) for i in group]
-        known = self.known
-        found = self._new(list(set().union(*split).difference(known)))
+        known, new = self.known, set()
+        raw = [list(map(known.get, pieces)) for pieces in split]
+        lacking = [[k for k, ids in enumerate(some) if ids is None] if None in some else [] for some in raw]
+        for pieces, at in zip(split, lacking, strict=True):
+            new.update([pieces[k] for k in at])
+        found = self._new(list(new))
+        for i, pieces, some, at in zip(group, split, raw, lacking, strict=True):
+            for k in at:
+                some[k] = found[pieces[k]]
+            out[i] = b"".join(some)
         if len(known) + len(found) <= KEPT:
             known.update(found)
-            look = known.__getitem__
         else:  # full: pieces met first stay, until most of what came was new
             self.passed += len(found)
-            look = lambda w: found[w] if w in found else known[w]
-        for i, pieces in zip(group, split, strict=True):
-            out[i] = b"".join(map(look, pieces))
         if self.passed > 4 * KEPT:
             known.clear()
             self.passed = 0
