@@ -30,6 +30,11 @@ def crc_rest(doc_id: Column, mod: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % mod
 
 
+def whole(df: DataFrame) -> Column:
+    """All columns of df as one struct, so that its names cannot clash with ours; select("name.*") gives them back."""
+    return F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in df.columns])
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new path in the folder that driver and executors share (spark.checkpoint.dir)."""
     ensure_checkpoint_dir(spark)

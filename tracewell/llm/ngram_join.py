@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import cut, ship
+from tracewell.llm.common import cut, ship, whole
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -258,5 +258,5 @@ def keep(docs: DataFrame, **options) -> DataFrame:
     """One row of docs, all columns, of each near-duplicate class: the first by doc_id (nulls last), then hashes."""
     _, classes = link(docs, **options)
     kept = classes.groupBy("comp").agg(F.min("first").alias("first")).select("first._r1", "first._r2")
-    rows = docs.select("*", *row_key(F.col("doc_id"), F.col("text"))).dropDuplicates(["_r1", "_r2"])
-    return rows.join(kept, ["_r1", "_r2"], "left_semi").select(*docs.columns)
+    rows = docs.select(whole(docs).alias("_doc"), *row_key(F.col("doc_id"), F.col("text")))
+    return rows.join(kept, ["_r1", "_r2"], "left_semi").dropDuplicates(["_r1", "_r2"]).select("_doc.*")

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import cut, words
+from tracewell.llm.common import cut, whole, words
 
 #: Frequent function words of four languages.
 COMMON = {
@@ -151,8 +151,8 @@ def keep(docs: DataFrame, **limits) -> DataFrame:
     A verdict depends on text and language alone, so rows are matched to it by their hash and id.
     """
     kept = judge(docs, **limits).where("kept").select(F.col("doc_id").alias("_id"), "_key")
-    key = F.xxhash64(F.coalesce(F.col("text"), F.lit("")), F.col("lang"))
-    return docs.join(kept, key.eqNullSafe(F.col("_key")) & docs["doc_id"].eqNullSafe(F.col("_id")), "left_semi")
+    rows = docs.select(whole(docs).alias("_doc"), F.col("doc_id").alias("_own"), F.xxhash64(F.coalesce(F.col("text"), F.lit("")), F.col("lang")).alias("_hash"))
+    return rows.join(kept, (F.col("_hash") == F.col("_key")) & F.col("_own").eqNullSafe(F.col("_id")), "left_semi").select("_doc.*")
 
 
 def oracle(char_limit: float = CHAR_LIMIT, word_limit: float = WORD_LIMIT, word_guard: int = WORD_GUARD) -> str:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import cut, words
+from tracewell.llm.common import cut, whole, words
 
 WEIGHTS = (1, 2, 3)
 MOST = 3
@@ -88,16 +88,17 @@ def mix(docs: DataFrame, seed: int = 7, **options) -> DataFrame:
     """docs, all columns, with every row repeated as often as the mix takes it whole; where a source's
     budget ends inside a document, one more copy holds its words up to there, joined by single spaces."""
     taken = plan(docs, seed, **options).groupBy("_key", "_row").agg(F.sum("taken").alias("_taken"), F.max("size").alias("_size"))
-    rows = docs.select("*", draw(seed).alias("_key"), F.xxhash64(*docs.columns).alias("_row")).dropDuplicates(["_key", "_row"])
+    rows = docs.select(whole(docs).alias("_doc"), "text", draw(seed).alias("_key"), F.xxhash64(*docs.columns).alias("_row")).dropDuplicates(["_key", "_row"])
     rows = rows.join(taken.where("_taken > 0"), ["_key", "_row"])
     copy = F.explode(F.sequence(F.lit(1).cast("long"), F.ceil(F.col("_taken") / F.col("_size"))))
-    rows = rows.select("*", copy.alias("_copy"))
+    rows = rows.select("_doc", "text", "_taken", "_size", copy.alias("_copy"))
     left = F.col("_taken") - (F.col("_copy") - 1) * F.col("_size")
-    short = F.array_join(F.slice(words(F.col("text")), F.lit(1), F.greatest(left, F.lit(1)).cast("int")), " ")
-    rows = rows.withColumn("_cut", left < F.col("_size")).withColumn("text", F.when(F.col("_cut"), short).otherwise(F.col("text")))
+    short = F.when(left < F.col("_size"), F.array_join(F.slice(words(F.col("text")), F.lit(1), F.greatest(left, F.lit(1)).cast("int")), " "))
+    changed = F.col("_doc").withField("text", F.col("_short"))
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.col("_cut"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return rows.select(*docs.columns)
+        changed = changed.withField("n_chars", F.length("_short").cast(docs.schema["n_chars"].dataType))
+    rows = rows.select("_doc", short.alias("_short"))
+    return rows.select(F.when(F.col("_short").isNull(), F.col("_doc")).otherwise(changed).alias("_doc")).select("_doc.*")
 
 
 def oracle(seed: int = 7, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> str:

@@ -21,13 +21,14 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import crc_rest, cut, ship
+from tracewell.llm.common import crc_rest, cut, ship, whole
 
 MAX_TRAIN = 20_000
 LEXICON = 400
@@ -105,17 +106,17 @@ class Features:
 def learn_lexicon(train: DataFrame, toxic: int, clean: int, size: int = LEXICON) -> dict[str, float]:
     """Units with their log-odds of toxic against clean training documents; at most `size` of them."""
 
-    def tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
             count = {0: Counter(), 1: Counter()}
-            for text, label in zip(rows["text"], rows["toxic"], strict=True):
+            for text, label in zip(rows.column("text").to_pylist(), rows.column("toxic").to_pylist(), strict=True):
                 count[int(label)].update(units(text or ""))
             names = list(count[0] | count[1])
-            yield pd.DataFrame({"unit": names, "a": [count[1][u] for u in names], "b": [count[0][u] for u in names]})
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([count[1][u] for u in names], pa.int64()), pa.array([count[0][u] for u in names], pa.int64())], names=["unit", "a", "b"])
 
     odds = F.log((F.col("a") + 0.5) / (toxic + 1.0)) - F.log((F.col("b") + 0.5) / (clean + 1.0))
     support = max(3, round(0.004 * toxic))
-    found = train.select("text", "toxic").mapInPandas(tally, "unit string, a long, b long").groupBy("unit").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    found = train.select("text", "toxic").mapInArrow(tally, "unit string, a long, b long").groupBy("unit").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     found = found.where(F.col("a") >= support).withColumn("odds", odds).where("odds >= 2.5").orderBy(F.desc(F.col("a") * F.col("odds")), "unit").limit(size)
     return {r.unit: r.odds for r in found.collect()}
 
@@ -127,12 +128,12 @@ class Model:
         self.lexicon, self.trees, self.curve, self.share = lexicon, trees, curve, share
 
     def score(self, docs: DataFrame) -> DataFrame:
-        """docs with all its columns and _score."""
+        """_doc, all columns of docs, and _score."""
         if self.trees is None:
-            return docs.withColumn("_score", F.lit(self.share))
-        rows = docs.withColumn("_features", array_to_vector(_features(self.lexicon, F.col("text"))))
+            return docs.select(whole(docs).alias("_doc"), F.lit(self.share).alias("_score"))
+        rows = docs.select(whole(docs).alias("_doc"), array_to_vector(_features(self.lexicon, F.col("text"))).alias("_features"))
         rows = self.trees.transform(rows).withColumn("_margin", vector_to_array("_raw")[1])
-        return self.curve.transform(rows).withColumn("_score", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("_curve")))).select(*[docs[c] for c in docs.columns], "_score")
+        return self.curve.transform(rows).withColumn("_score", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("_curve")))).select("_doc", "_score")
 
 
 def _features(lexicon: dict[str, float], text: Column) -> Column:
@@ -170,9 +171,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, trees: i
 def judge(docs: DataFrame, labels: DataFrame, reject: float = REJECT) -> DataFrame:
     """doc_id, held_out, score and predicted of every row of docs."""
     scored = fit(docs, labels).score(docs.select("doc_id", "text"))
-    return scored.select("doc_id", (crc_rest(F.col("doc_id"), 3) == 1).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= reject).cast("int").alias("predicted"))
+    return scored.select("_doc.doc_id", (crc_rest(F.col("_doc.doc_id"), 3) == 1).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= reject).cast("int").alias("predicted"))
 
 
 def keep(docs: DataFrame, labels: DataFrame, reject: float = REJECT) -> DataFrame:
     """The rows of docs, all columns, that are not rejected."""
-    return fit(docs, labels).score(docs).where(F.col("_score") < reject).drop("_score")
+    return fit(docs, labels).score(docs).where(F.col("_score") < reject).select("_doc.*")
