@@ -168,4 +168,6 @@ def read_export(spark: SparkSession, path: str, kind: str = "auto", **limits) ->
     bad = rows.where("error is not null").select("file", "error").first()
     if bad:
         raise ExportError(f"{bad.file}: {bad.error}")
+    if spark.read.format("binaryFile").load(path).select("path").isEmpty():  # Spark passes over files without bytes
+        raise ExportError("the file is empty")
     return rows.drop("error")
