@@ -158,16 +158,6 @@ def tail(rows: DataFrame, by: str, ts: str, seq: str, n: int = 5) -> DataFrame:
     return ranked.where(F.col("_r") <= n).drop("_r")
 
 
-def within_budget(rows: DataFrame, people: int = 10) -> DataFrame:
-    """thread, members of the threads taken, newest first, while the people they add fit the budget; a thread that
-    does not fit is passed over. A fold in order over one row a thread; bodies stay out of it."""
-    lists = rows.agg(F.array_sort(F.collect_list(F.struct((-F.col("last_ts").cast("timestamp").cast("long")).alias("o"), "thread", "members"))).alias("all"))
-    fold = """aggregate(all, named_struct('taken', cast(array() as array<string>), 'seen', cast(array() as array<string>)),
-      (acc, x) -> if(size(array_union(acc.seen, x.members)) <= {n}, named_struct('taken', array_append(acc.taken, x.thread), 'seen', array_union(acc.seen, x.members)), acc)).taken"""
-    taken = lists.select(F.explode(F.expr(fold.format(n=people))).alias("thread"))
-    return rows.join(F.broadcast(taken), "thread").select("thread", F.size("members").alias("members"))
-
-
 def row_diff(a: DataFrame, b: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """Counts of rows that differ by place, of differing cells, and of rows on one side only."""
     x = a.select(F.col(key).alias("_k"), F.struct(*columns).alias("a"))

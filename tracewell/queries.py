@@ -16,6 +16,7 @@ from tracewell.functions import text as X
 from tracewell.functions.constants import MISSING, STOP_WORDS
 from tracewell.operators import activity as A
 from tracewell.operators import people as P
+from tracewell.operators import threads as T
 from tracewell.plans.insights import insights
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -377,11 +378,33 @@ def thread_tail(spark, sf):
     return P.tail(_talk(spark, sf), "conv", "ts", "row_idx").select("conv", "ts")
 
 
+def _mail(spark, sf):
+    """Messages among customers: each goes to the customer of an order from the clerk the owner is."""
+    o = _table(spark, sf, "orders").where("o_custkey is not null")
+    url = F.when(F.col("o_custkey") % 3 == 0, F.concat(F.lit("https://x.test/"), F.col("o_custkey").cast("string"))).otherwise("")
+    name = F.concat(F.lit("customer "), F.col("o_custkey").cast("string"))
+    sent = F.col("o_orderstatus") == "F"
+    me, my = F.lit("owner"), F.lit("https://x.test/owner")
+    return o.select(
+        F.col("o_orderkey").alias("row_idx"), F.when(F.col("o_orderkey") % 10 > 0, F.concat(F.lit("c"), F.col("o_custkey").cast("string"))).otherwise("").alias("conv"), F.col("o_orderdate").cast("timestamp_ntz").alias("ts"),
+        F.when(sent, me).otherwise(name).alias("sender"), F.when(sent, my).otherwise(url).alias("sender_url"),
+        F.array(F.when(sent, name).otherwise(me)).alias("names"), F.filter(F.array(F.when(sent, url).otherwise(my)), lambda x: x != "").alias("urls"), F.lit(False).alias("several"), F.col("o_orderpriority").alias("body"),
+    )
+
+
+@query("""with m as (select o_orderkey as seq, o_orderdate as ts, o_custkey as c, case when o_orderstatus = 'F' then 'sent' else 'received' end as direction, o_orderpriority as body from orders),
+t as (select c, case when c % 3 = 0 then 'url:https://x.test/' || c else 'name:customer ' || c end as thread, count(*) as message_count, max(ts) as last_ts from m group by c),
+b as (select * from t order by last_ts desc, thread limit 10), r as (select m.*, row_number() over (partition by c order by ts desc, seq desc) as k from m)
+select thread, 'customer ' || c as name, case when c % 3 = 0 then 'https://x.test/' || c else '' end as url, message_count, last_ts, seq, ts, direction, body from r join b using (c) where k <= 5""")
+def recent_threads(spark, sf):
+    return T.recent_threads(_mail(spark, sf), spark.createDataFrame([], "contact_key string"))
+
+
 @query()
 def people_budget(spark, sf):
     ev = P.canonical_contacts(_people(spark, sf))
     rows = ev.groupBy(F.col("conv").alias("thread")).agg(F.max("ts").alias("last_ts"), F.slice(F.array_sort(F.collect_set("contact")), 1, 4).alias("members"))
-    return P.within_budget(rows, 10)
+    return T.within_budget(rows, 10)
 
 
 @query("""with a as (select doc_id, lang, source, n_chars from documents where doc_id % 11 <> 0), b as (select doc_id, lang, source, n_chars + (case when doc_id % 5 = 0 then 1 else 0 end) as n_chars from documents where doc_id % 13 <> 0),
