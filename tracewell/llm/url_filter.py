@@ -10,7 +10,8 @@ than `z` standard errors, or if the branch has at most `children` of them. A tem
 smoothed share of blocked labels is `purity` or more, with `support` labels, is rejected.
 
 Only counts by (host, template, segment) are grouped and joined, so a host with a third of all
-urls is pre-aggregated before each shuffle, and its urls are never gathered in one task.
+urls is pre-aggregated before each shuffle, and its urls are never gathered in one task. Every
+level, a row a distinct path, is checkpointed, which keeps plans short.
 
 Defined cases: a null url or one without `://` has an empty host and path, fits no rule and is
 allowed unless its (empty) template is rejected. Repeated rows are judged alike and each counts.
@@ -21,6 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracewell.llm.common import cut
+
 #: Fixed values of the query: host, path prefix, verdict.
 RULES = (("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block"))
 DEPTH = 4
@@ -63,6 +66,7 @@ def templates(paths: DataFrame, depth: int = DEPTH, children: int = CHILDREN, su
         named = (F.col("_kids") <= children) | ((F.col("_l") >= support) & away)
         kids = kids.select("host", "tpl", "_seg", F.when(named, F.col("_seg")).otherwise(F.lit("*")).alias("_name"))
         rows = rows.join(kids, ["host", "tpl", "_seg"], "left").withColumn("tpl", F.concat("tpl", F.when(F.col("_seg").isNull(), F.lit("")).otherwise(F.concat(F.lit("/"), F.col("_name"))))).drop("_seg", "_name")
+        rows = cut(rows)  # each level reads the one before twice
     more = F.when(F.size("_segs") > depth, F.lit("/**")).otherwise(F.lit(""))
     return rows.withColumn("tpl", F.concat("tpl", more)).drop("_segs")
 
@@ -72,7 +76,7 @@ def judge(pages: DataFrame, rules=RULES, purity: float = PURITY, prior: float =
     host, path = parts(F.col("url"))
     rows = pages.select("page_id", host.alias("host"), path.alias("path")).select("*", by_rule(F.col("host"), F.col("path"), rules).alias("_rule"))
     counted = rows.groupBy("host", "path").agg(F.count_if(F.col("_rule.verdict") == "block").alias("n_block"), F.count_if(F.col("_rule.verdict") == "allow").alias("n_allow"))
-    named = templates(counted, support=support, **tree)
+    named = templates(cut(counted), support=support, **tree)
     pure = named.groupBy("host", "tpl").agg(F.sum("n_block").alias("_b"), F.sum("n_allow").alias("_a"))
     bad = (F.col("_b") + F.col("_a") >= support) & ((F.col("_b") + 0.5 * prior) / (F.col("_b") + F.col("_a") + prior) >= purity)
     pure = pure.select("host", "tpl", F.when(bad, F.lit("block")).otherwise(F.lit("allow")).alias("_method"))
