@@ -1,13 +1,14 @@
 """Message and connection exports, from files to panels and threads."""
 
+from tracewell.functions.constants import ANONYMOUS
 from tracewell.plans import export
 from tracewell.plans import relationships as R
 
-MESSAGES = """CONVERSATION ID,FROM,TO,DATE,CONTENT,FOLDER,SENDER PROFILE URL,RECIPIENT PROFILE URLS
+MESSAGES = f"""CONVERSATION ID,FROM,TO,DATE,CONTENT,FOLDER,SENDER PROFILE URL,RECIPIENT PROFILE URLS
 c1,Me,Ada L,2026-01-05 10:00:00 UTC,hello,INBOX,https://x/me,https://x/ada/
 c1,Ada L,Me,2026-01-06 10:00:00 UTC,hi,INBOX,https://x/ADA,https://x/me
 c2,Bob,Me,2026-06-01 09:00:00 UTC,old friend,INBOX,,https://x/me
-c3,Me,LinkedIn Member,2026-06-02 09:00:00 UTC,who,INBOX,https://x/me,
+c3,Me,{ANONYMOUS.title()},2026-06-02 09:00:00 UTC,who,INBOX,https://x/me,
 c4,Me,Ada L,not a date,x,INBOX,https://x/me,
 """
 CONNECTIONS = """Notes:

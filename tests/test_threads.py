@@ -5,6 +5,7 @@ from datetime import datetime
 
 import pytest
 
+from tracewell.functions.constants import ANONYMOUS
 from tracewell.operators.threads import recent_threads, within_budget
 
 SCHEMA = "row_idx long, conv string, ts timestamp_ntz, sender string, sender_url string, names array<string>, urls array<string>, several boolean, body string"
@@ -46,7 +47,7 @@ def test_owner_stays_open_on_a_tie_unless_contacts_tell(spark):
 
 
 def test_people_without_names(spark):
-    nobody = ("LinkedIn Member", "")
+    nobody = (ANONYMOUS.title(), "")
     rows = [("1", nobody, [ME], "a"), ("2", nobody, [ME], "b"), ("", nobody, [ME], "c")]
     got = threads_of(spark, rows)
     assert sorted(v for x in got.values() for v in x) == [("received", "a"), ("received", "b")] and len(recent_threads(mail(spark, rows), spark.createDataFrame([], "contact_key string")).select("thread").distinct().collect()) == 2
