@@ -36,6 +36,15 @@ def query(sql: str | None = None):
     return add
 
 
+def _whole(name: str, *cuts: tuple[str, str]) -> str:
+    """The SQL of a query over a slice of its tables, with each cut replaced, so that it says the same of whole tables."""
+    sql = ORACLES[name]
+    for old, new in cuts:
+        assert old in sql, (name, old)
+        sql = sql.replace(old, new)
+    return sql
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
@@ -161,8 +170,18 @@ f as (select count(*) as months, covar_pop(p, c) as cov, var_pop(p) * var_pop(c)
 g as (select *, case when var > 0 then cov / sqrt(var) end as corr, case when quiet_avg > 0 then floor(top_avg / quiet_avg::double + 0.5)::bigint else 0 end as multiplier from f)
 select months, floor(corr * 100 + 0.5)::bigint / 100::double as corr, quiet_avg, top_avg, multiplier, months >= 12 and coalesce(corr, 0) > 0 and multiplier >= 2 as shown from g""")
 def network_growth(spark, sf):
+    """A slice, in which months are quiet enough for the gate to open; network_growth_whole takes all rows."""
+    return _growth(spark, sf, "o_custkey % 40 = 0", "l_orderkey % 50 = 0")
+
+
+def _growth(spark, sf, orders: str = "true", lines: str = "true"):
     by = lambda t, w, c: t.where(w).groupBy(D.month_key(F.col(c)).alias("month")).agg(F.count(F.lit(1)).alias("n"))
-    return A.growth(by(_table(spark, sf, "orders"), "o_custkey % 40 = 0", "o_orderdate"), by(_table(spark, sf, "lineitem"), "l_orderkey % 50 = 0", "l_shipdate"))
+    return A.growth(by(_table(spark, sf, "orders"), orders, "o_orderdate"), by(_table(spark, sf, "lineitem"), lines, "l_shipdate"))
+
+
+@query(_whole("network_growth", (" where o_custkey % 40 = 0", ""), (" where l_orderkey % 50 = 0", "")))
+def network_growth_whole(spark, sf):
+    return _growth(spark, sf)
 
 
 def _filtered_sql(n, topic=None, share=None, day=None, hour=None) -> str:
@@ -265,9 +284,15 @@ _CONN = "conn as (select c_custkey as row_idx, c_name as name, c_mktsegment as c
 cal as (select unnest(generate_series((select min(d) from m)::timestamp, (select max(d) from m)::timestamp, interval 1 month)) as d)
 select strftime(cal.d, '%Y-%m') as month, coalesce(n, 0) as n from cal left join m on cal.d = m.d""")
 def growth_timeline(spark, sf):
+    """A slice with months between that have no rows; growth_timeline_whole takes all connections."""
     return P.month_counts(_connections(spark, sf).where("row_idx % 97 = 0"), "ts")
 
 
+@query(_whole("growth_timeline", (" and row_idx % 97 = 0", "")))
+def growth_timeline_whole(spark, sf):
+    return P.month_counts(_connections(spark, sf), "ts")
+
+
 @query(f"with {_CONN} select count(*) as total, greatest(0, floor(date_diff('day', min(ts)::date, date '{NOW}') / 30.44::double + 0.5))::bigint as age_months from conn")
 def connection_stats(spark, sf):
     return P.connection_stats(_connections(spark, sf), "ts", NOW)
@@ -332,11 +357,21 @@ def silent_connections(spark, sf):
 m as (select contact, last_ts, case when ck % 4 <> 0 then ck end as connection from (select *, substring(name_key, 10)::bigint as ck from c))
 select contact, connection, last_ts, floor((epoch(timestamp '{NOW}') - epoch(last_ts)) / 86400)::bigint as days_since from m where connection is not null and floor((epoch(timestamp '{NOW}') - epoch(last_ts)) / 86400) >= 30""")
 def fading_conversations(spark, sf):
-    conn = _table(spark, sf, "customer").where("c_custkey % 4 <> 0").select(F.col("c_custkey").alias("row_idx"), F.concat(F.lit("customer "), F.col("c_custkey").cast("string")).alias("name_key"), F.lit("").alias("url"))
+    """A slice in which some contacts are no connections; fading_conversations_whole takes all connections."""
+    return _fading(spark, sf, "c_custkey % 4 <> 0")
+
+
+def _fading(spark, sf, connections: str = "true"):
+    conn = _table(spark, sf, "customer").where(connections).select(F.col("c_custkey").alias("row_idx"), F.concat(F.lit("customer "), F.col("c_custkey").cast("string")).alias("name_key"), F.lit("").alias("url"))
     ev = P.canonical_contacts(_people(spark, sf)).groupBy("contact").agg(F.max("ts").alias("last_ts"), F.max_by("name_key", "row_idx").alias("name_key"), F.lit("").alias("url"))
     return P.fading(P.match_connections(ev, conn), NOW).select("contact", "connection", "last_ts", "days_since")
 
 
+@query(_whole("fading_conversations", ("case when ck % 4 <> 0 then ck end", "ck")))
+def fading_conversations_whole(spark, sf):
+    return _fading(spark, sf)
+
+
 def _talk(spark, sf):
     c = _table(spark, sf, "conversations")
     return c.where("role <> 'system'").select(F.col("conv_id").alias("conv"), F.col("turn").alias("ts"), F.col("turn").alias("row_idx"), (F.col("role") == "user").alias("is_self"), "text")
@@ -416,6 +451,18 @@ def row_diff(spark, sf):
     return P.row_diff(d.where("doc_id % 11 <> 0"), changed, "doc_id", ["lang", "source", "n_chars"])
 
 
+@query("""with b as (select case when doc_id % 13 = 0 then -1 - doc_id else doc_id end as doc_id, case when doc_id % 7 = 0 then text || ' (edited)' else text end as text, lang, source, n_chars + (case when doc_id % 5 = 0 then 1 else 0 end) as n_chars from documents),
+j as (select a.doc_id as x, b.doc_id as y, (a.text is distinct from b.text)::int + (a.lang is distinct from b.lang)::int + (a.source is distinct from b.source)::int + (a.n_chars is distinct from b.n_chars)::int as d from documents a full join b on a.doc_id = b.doc_id)
+select count(*) filter (where d > 0 and x is not null and y is not null) as rows_differ, coalesce(sum(d) filter (where x is not null and y is not null), 0)::bigint as cells_differ, count(*) filter (where y is null) as only_a, count(*) filter (where x is null) as only_b from j""")
+def row_diff_whole(spark, sf):
+    """All documents, all columns, against a version in which some texts and lengths are edited and some rows have another key."""
+    d = _table(spark, sf, "documents")
+    k = F.col("doc_id")
+    changed = d.withColumn("text", F.when(k % 7 == 0, F.concat("text", F.lit(" (edited)"))).otherwise(F.col("text"))).withColumn("n_chars", F.col("n_chars") + F.when(k % 5 == 0, 1).otherwise(0))
+    changed = changed.withColumn("doc_id", F.when(k % 13 == 0, -1 - k).otherwise(k))
+    return P.row_diff(d, changed, "doc_id", ["text", "lang", "source", "n_chars"])
+
+
 @query()
 def dataset_digest(spark, sf):
     return P.digest(_table(spark, sf, "documents"))
@@ -530,7 +577,17 @@ def contact_keys(spark, sf):
 
 @query("select p_partkey, case when length(p_name) > 12 then p_name[1:12] || '...' else p_name end as preview from part where p_partkey < 5")
 def preview(spark, sf):
-    return _table(spark, sf, "part").where("p_partkey < 5").select("p_partkey", X.truncate(F.col("p_name"), 12).alias("preview"))
+    """Five rows; preview_whole takes all of part."""
+    return _preview(_table(spark, sf, "part").where("p_partkey < 5"))
+
+
+def _preview(part):
+    return part.select("p_partkey", X.truncate(F.col("p_name"), 12).alias("preview"))
+
+
+@query(_whole("preview", (" where p_partkey < 5", "")))
+def preview_whole(spark, sf):
+    return _preview(_table(spark, sf, "part"))
 
 
 @query("select o_orderkey, case when o_orderkey % 30 = 0 then '-' when o_orderkey % 30 < 12 then (o_orderkey % 30) || ' mo' else printf('%.1f', floor((o_orderkey % 30) / 12.0::double * 10 + 0.5) / 10) || ' yr' end as age, strftime(o_orderdate, '%b %Y') as month_label, strftime(date_trunc('week', o_orderdate), '%b %d') as week_label from orders")
