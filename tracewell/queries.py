@@ -437,9 +437,11 @@ def recent_threads(spark, sf):
 
 @query()
 def people_budget(spark, sf):
+    """A thread is what a circle of twelve customers writes in a quarter, with all its members: a handful at every size, at times more than the budget."""
     ev = P.canonical_contacts(_people(spark, sf))
-    rows = ev.groupBy(F.col("conv").alias("thread")).agg(F.max("ts").alias("last_ts"), F.slice(F.array_sort(F.collect_set("contact")), 1, 4).alias("members"))
-    return T.within_budget(rows, 10)
+    circle = F.floor(F.substring("name_key", 10, 20).cast("long") / 12).cast("string")
+    thread = F.concat_ws(" ", circle, F.date_format(F.date_trunc("quarter", "ts"), "yyyy-MM"))
+    return T.within_budget(ev.groupBy(thread.alias("thread")).agg(F.max("ts").alias("last_ts"), F.array_sort(F.collect_set("contact")).alias("members")), 10)
 
 
 @query("""with a as (select doc_id, lang, source, n_chars from documents where doc_id % 11 <> 0), b as (select doc_id, lang, source, n_chars + (case when doc_id % 5 = 0 then 1 else 0 end) as n_chars from documents where doc_id % 13 <> 0),
