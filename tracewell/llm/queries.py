@@ -47,6 +47,11 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
 
+def op8_url_filter_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths walked to their end and similar siblings merged whatever their number."""
+    return url_filter.judge(table(spark, sf_dir, "pages"), depth=None, children=0)
+
+
 def op9_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg.media(table(spark, sf_dir, "documents"))
 
@@ -57,6 +62,9 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_quality_rules, op3_token_files, op4_lm_scoring, op5_token_counts, op6_packing, op7_source_mixing, op8_url_filter, op9_ogg, op10_ngram_join)}
 
+#: Registered besides the ten.
+VARIANTS: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op8_url_filter_whole": op8_url_filter_whole}
+
 ORACLES: dict[str, str] = {
     "op2_quality_rules": quality_rules.oracle(),
     "op7_source_mixing": source_mixing.oracle(),

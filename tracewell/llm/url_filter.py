@@ -11,7 +11,9 @@ smoothed share of blocked labels is `purity` or more, with `support` labels, is
 
 Only counts by (host, template, segment) are grouped and joined, so a host with a third of all
 urls is pre-aggregated before each shuffle, and its urls are never gathered in one task. Every
-level, a row a distinct path, is checkpointed, which keeps plans short.
+level, a row a distinct path, is checkpointed, which keeps plans short. With `depth` None there are
+as many levels as the longest path has segments; with `children` 0 siblings that do not differ are
+merged whatever their number, and those without labels never differ.
 
 Defined cases: a null url or one without `://` has an empty host and path, fits no rule and is
 allowed unless its (empty) template is rejected. Repeated rows are judged alike and each counts.
@@ -52,9 +54,11 @@ def by_rule(host: Column, path: Column, rules=RULES) -> Column:
     return found
 
 
-def templates(paths: DataFrame, depth: int = DEPTH, children: int = CHILDREN, support: int = SUPPORT, z: float = Z) -> DataFrame:
-    """host, path, n, n_block, n_allow -> and tpl, the path's template."""
+def templates(paths: DataFrame, depth: int | None = DEPTH, children: int = CHILDREN, support: int = SUPPORT, z: float = Z) -> DataFrame:
+    """host, path, n, n_block, n_allow -> and tpl, the path's template; with no depth, paths are walked to their end."""
     rows = paths.withColumn("_segs", F.split(F.regexp_replace("path", "^/", ""), "/")).withColumn("tpl", F.lit(""))
+    if depth is None:
+        depth = rows.agg(F.max(F.size("_segs"))).first()[0] or 0
     for level in range(depth):
         seg = F.get(F.col("_segs"), F.lit(level))
         rows = rows.withColumn("_seg", F.when(seg.rlike("[0-9]"), F.lit("*")).otherwise(seg))
