@@ -15,6 +15,7 @@ from tracewell.functions import dates as D
 from tracewell.functions import text as X
 from tracewell.functions.constants import MISSING, STOP_WORDS
 from tracewell.operators import activity as A
+from tracewell.operators import explore as E
 from tracewell.operators import people as P
 from tracewell.operators import threads as T
 from tracewell.plans.insights import insights
@@ -570,6 +571,46 @@ def explore_comments(spark, sf):
     return c.agg(F.sum("n").alias("comments"), F.count(F.lit(1)).alias("posts"), F.max("n").alias("most"))
 
 
+@query(f"""with {_ACT}, l as (select * from mt where posts > 0 order by month desc limit 6) select month, floor(comments / posts::double * 10 + 0.5) / 10 as ratio from l""")
+def explore_comment_ratio(spark, sf):
+    return E.comments_per_post(A.month_totals(activity(spark, sf)))
+
+
+@query("""with c as (select case when c_acctbal >= 0 then 'c' || c_custkey || '@x.test' else ' ' end as email from customer)
+select count(*) as rows, count(*) filter (where trim(email) <> '') as visible, 100 * count(*) filter (where trim(email) <> '') // greatest(count(*), 1) as percent from c""")
+def explore_emails(spark, sf):
+    email = F.when(F.col("c_acctbal") >= 0, F.concat(F.lit("c"), F.col("c_custkey").cast("string"), F.lit("@x.test"))).otherwise(" ")
+    return E.visible(_table(spark, sf, "customer").select(email.alias("email")), "email")
+
+
+@query(f"with {_CONN} select strftime(ts, '%Y-%m') as month, count(*) as n from conn where ts is not null group by 1 order by n desc, month limit 5")
+def explore_growth_peaks(spark, sf):
+    return A.top(P.month_counts(_connections(spark, sf), "ts").where("n > 0"), "n", ["month"], 5)
+
+
+@query("select coalesce(nullif(case when o_orderkey % 10 = 0 then '' else o_orderpriority end, ''), '?') as value, count(*) as n from orders group by 1")
+def explore_folders(spark, sf):
+    folder = F.when(F.col("o_orderkey") % 10 == 0, "").otherwise(F.col("o_orderpriority"))
+    return E.histogram(_table(spark, sf, "orders").select(folder.alias("folder")), "folder")
+
+
+@query("""with c as (select conv_id, arg_min(role = 'user', turn) as mine from conversations group by 1) select count(*) as conversations, count(*) filter (where mine) as initiated from c""")
+def explore_initiated(spark, sf):
+    """The file is in reverse order of time."""
+    c = _table(spark, sf, "conversations")
+    return E.initiated(c.select(F.col("conv_id").alias("conv"), (F.col("role") == "user").alias("is_self"), (-F.col("turn")).alias("row_idx")))
+
+
+@query("""with o as (select 'outbound' as direction, 'customer ' || o_custkey as name, o_orderkey as i from orders where o_orderstatus = 'F' and o_orderkey % 5 <> 0 union all select 'inbound', 'customer ' || o_custkey, o_orderkey from orders where o_orderstatus <> 'F'),
+c as (select direction, name, count(*) as n, min(i) as first_idx from o group by all), r as (select *, row_number() over (partition by direction order by n desc, first_idx) as k from c) select direction, name, n, first_idx from r where k <= 6""")
+def explore_top_sides(spark, sf):
+    """Every fifth message sent goes to two people."""
+    name = F.concat(F.lit("customer "), F.col("o_custkey").cast("string"))
+    sent = F.col("o_orderstatus") == "F"
+    to = F.when(~sent, "owner").when(F.col("o_orderkey") % 5 == 0, F.concat(name, F.lit(", another"))).otherwise(name)
+    return E.top_sides(_table(spark, sf, "orders").select(F.col("o_orderkey").alias("row_idx"), sent.alias("is_self"), F.when(sent, "owner").otherwise(name).alias("sender"), to.alias("recipients")))
+
+
 @query("select distinct case when s_suppkey % 3 = 0 then 'https://x.test/' || s_suppkey else lower(s_name) end as key from supplier")
 def contact_keys(spark, sf):
     s = _table(spark, sf, "supplier")
