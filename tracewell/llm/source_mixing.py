@@ -84,14 +84,17 @@ def draw(seed: int):
     return F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("|"), text).cast("binary"))
 
 
-def mix(docs: DataFrame, seed: int = 7, **options) -> DataFrame:
+def mix(docs: DataFrame, seed: int = 7, cut_texts: bool = True, **options) -> DataFrame:
     """docs, all columns, with every row repeated as often as the mix takes it whole; where a source's
-    budget ends inside a document, one more copy holds its words up to there, joined by single spaces."""
+    budget ends inside a document, one more copy holds its words up to there, joined by single spaces.
+    Without cut_texts that copy is whole, and the source's budget is exceeded by less than a document."""
     taken = plan(docs, seed, **options).groupBy("_key", "_row").agg(F.sum("taken").alias("_taken"), F.max("size").alias("_size"))
     rows = docs.select(whole(docs).alias("_doc"), "text", draw(seed).alias("_key"), F.xxhash64(*docs.columns).alias("_row")).dropDuplicates(["_key", "_row"])
     rows = rows.join(taken.where("_taken > 0"), ["_key", "_row"])
     copy = F.explode(F.sequence(F.lit(1).cast("long"), F.ceil(F.col("_taken") / F.col("_size"))))
     rows = rows.select("_doc", "text", "_taken", "_size", copy.alias("_copy"))
+    if not cut_texts:
+        return rows.select("_doc.*")
     left = F.col("_taken") - (F.col("_copy") - 1) * F.col("_size")
     short = F.when(left < F.col("_size"), F.array_join(F.slice(words(F.col("text")), F.lit(1), F.greatest(left, F.lit(1)).cast("int")), " "))
     changed = F.col("_doc").withField("text", F.col("_short"))
