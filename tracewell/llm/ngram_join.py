@@ -1,13 +1,13 @@
-"""N-gram Jaccard join by a MinHash LSH forest, with exact verification.
+"""N-gram Jaccard join by banded MinHash, with exact verification.
 
 Texts are sets of five-word shingles, as 64-bit hashes. Equal sets are one class, so copies are
-counted, never paired. Each class has a label in every tree of the forest: minima of hashes, in
-order, the path from the root of a prefix trie. Two classes are candidates where they share a
-path; paths start at MAX_DEPTH and are shortened until a pair just at the threshold shares one in
-some tree with at least the target recall.
+counted, never paired. Each class has a label in every one of TREES bands: one hash of a fixed
+number of minima. Fixed-depth bands replace the prefix tries of an LSH forest: no prefix is
+matched or shortened. The depth is the largest up to MAX_DEPTH at which a pair just at the threshold
+shares a label in some band with at least the target recall, worked out before any data is seen.
 
-The classes of a trie node are linked to the node's least class only, which keeps candidates linear
-in the forest's size, and linked classes form candidate groups. Within a group every pair is
+The classes of a label are linked to its least class only, which keeps candidates linear in the
+number of labels, and linked classes form candidate groups. Within a group every pair is
 verified by its exact Jaccard similarity: a group is cut into blocks by hash, and each pair of
 blocks is one task, so no task holds a whole large group. A task returns counts of links and a
 spanning forest of them, never the pairs. Near-duplicate classes are the components of verified
