@@ -1,4 +1,4 @@
-"""Command line: clean one export, or all four, into workbooks."""
+"""Command line: clean one export, or all four, into workbooks or Parquet."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ import sys
 
 from pyspark.sql import SparkSession
 
-from tracewell.plans.export import clean_to_workbook
+from tracewell.plans.export import clean_to_parquet, clean_to_workbook
 from tracewell.sources.specs import SPECS
 
 # The default file of each kind.
@@ -24,7 +24,9 @@ def main(argv: list[str] | None = None) -> int:
     parser.add_argument("--max-input-bytes", type=int)
     parser.add_argument("--max-rows", type=int)
     parser.add_argument("--skip-missing", action="store_true")
+    parser.add_argument("--format", choices=["xlsx", "parquet"], default="xlsx", help="a workbook, written by the driver, or a folder of Parquet, written by the executors")
     args = parser.parse_args(argv)
+    write = clean_to_parquet if args.format == "parquet" else clean_to_workbook
     limits = {k: v for k, v in (("encoding", args.encoding), ("max_bytes", args.max_input_bytes), ("max_rows", args.max_rows)) if v is not None}
     spark = SparkSession.builder.appName("tracewell").getOrCreate()
     failed = False
@@ -34,7 +36,7 @@ def main(argv: list[str] | None = None) -> int:
             print(f"{kind}: no file {source}", file=sys.stderr)
             failed |= not (args.kind == "all" and args.skip_missing)
             continue
-        result = clean_to_workbook(spark, source, os.path.join(args.output_dir, f"{kind}.xlsx"), kind, **limits)
+        result = write(spark, source, os.path.join(args.output_dir, f"{kind}.{args.format}"), kind, **limits)
         print(f"{kind}: {result.rows} rows to {result.path}" if result.success else f"{kind}: {result.error}", file=sys.stdout if result.success else sys.stderr)
         failed |= not result.success
     return int(failed)

@@ -40,6 +40,16 @@ def clean_to_workbook(spark: SparkSession, path: str, out: str, kind: str, **lim
     return Result(True, n, out)
 
 
+def clean_to_parquet(spark: SparkSession, path: str, out: str, kind: str, **limits) -> Result:
+    """Clean one export, or many, into a folder of Parquet that the executors write; file and row_idx keep the order."""
+    try:
+        rows = cleaned(spark, path, kind, **limits).select("file", "row_idx", *[f"`{c}`" for c in SPECS[kind].names])
+        rows.write.mode("overwrite").parquet(out)
+    except (ExportError, ValueError) as e:
+        return Result(False, path=path, error=str(e))
+    return Result(True, spark.read.parquet(out).count(), out)
+
+
 def activity_of(shares: DataFrame, comments: DataFrame) -> DataFrame:
     """Cleaned shares and comments as an activity table."""
     posts = shares.select(D.parse_stamp(F.col("Date")).alias("ts"), F.lit("post").alias("kind"), X.share_type(F.col("MediaUrl"), F.col("SharedUrl")).alias("share_type"), X.topics(F.col("ShareCommentary")).alias("topics"), "row_idx")
