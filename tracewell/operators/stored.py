@@ -5,12 +5,20 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """df from the checkpoint folder (spark.checkpoint.dir), computed once, with its lineage cut; a local folder only where none is set."""
-    sc = df.sparkSession.sparkContext
+def ensure_checkpoint_dir(spark: SparkSession) -> None:
+    """Use the session's spark.checkpoint.dir; where none is set, a folder of this machine in local mode, an error on a cluster."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "tracewell-checkpoints"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(folder or os.path.join(tempfile.gettempdir(), "tracewell-checkpoints"))
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df from the checkpoint folder, computed once, with its lineage cut."""
+    ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
