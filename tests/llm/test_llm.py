@@ -269,9 +269,48 @@ def test_ngram_join_against_brute_force(spark, docs, edge, empty, monkeypatch):
     assert ngram_join.join(empty).count() == 0 and ngram_join.keep(empty).count() == 0
 
 
-def test_forest_depth_reaches_the_recall():
-    depth = ngram_join.depth_for(ngram_join.TREES, 0.8, 0.999)
-    assert 1 - (1 - 0.8**depth) ** ngram_join.TREES >= 0.999 > 1 - (1 - 0.8 ** (depth + 1)) ** ngram_join.TREES
+def test_forest_recall_holds_for_any_number_of_long_leaves():
+    depths = ngram_join.allowed_depths()
+    assert depths == sorted(depths, reverse=True) and depths[0] == ngram_join.LONGEST > depths[-1] > ngram_join.SHORTEST
+    for k, d in enumerate(depths):
+        assert ngram_join.recall([ngram_join.SHORTEST] * (ngram_join.TREES - k) + [d] * k) >= ngram_join.RECALL
+
+
+def _noisy(rng, base, most, n):
+    out = []
+    for _ in range(n):
+        words = list(base)
+        for _ in range(rng.randint(0, most)):
+            words[rng.randrange(len(words))] = str(rng.random())
+        out.append(" ".join(words))
+    return out
+
+
+def test_forest_shortens_by_the_data(spark):
+    """Large groups of near copies, of pages of one template and of other texts get leaves of different depths; no link is lost."""
+    rng = random.Random(8)
+    near = _noisy(rng, [str(rng.random()) for _ in range(150)], 6, 60)
+    template = [str(rng.random()) for _ in range(60)]
+    pages = [" ".join([*template, *(str(rng.random()) for _ in range(40))]) for _ in range(60)]
+    texts = [*near, *pages, *(" ".join(str(rng.random()) for _ in range(60)) for _ in range(30))]
+    df = spark.createDataFrame(rows_of(texts), SCHEMA)
+    classes = ngram_join.signatures(df).groupBy("_class").agg(F.any_value("_sig").alias("_sig"))
+    got = ngram_join.leaves(classes, light=8).toPandas()
+    assert {ngram_join.SHORTEST} < set(got.depth) and got.depth.nunique() >= 4
+    by_class = got.groupby(got["_class"].map(bytes)).depth.apply(list)  # trees that are not listed have a leaf of one class
+    assert min(ngram_join.recall([*d, *[ngram_join.SHORTEST] * (ngram_join.TREES - len(d))]) for d in by_class) >= ngram_join.RECALL
+    inside = got.groupby("label").depth.nunique()
+    assert (inside == 1).all()
+    comp, links = _classes(_sets(texts))
+    assert sorted((r.doc_id, r.n_links) for r in ngram_join.join(df, light=8).select("doc_id", "n_links").collect()) == list(enumerate(links))
+
+
+def test_keep_takes_one_of_rows_that_tie(spark):
+    text = " ".join(f"w{i}" for i in range(80))
+    rows = [(1, text, x, {"k": x}) for x in "abccba"] + [(2, text + " more", "z", None), (3, None, None, None), (None, "", None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, `a.b` string, m map<string,string>")
+    runs = [sorted(map(str, ngram_join.keep(df.repartition(n)).collect())) for n in (1, 5)]
+    assert runs[0] == runs[1] and len(runs[0]) == 2
 
 
 def test_quality_rules_edge_cases(edge, empty):

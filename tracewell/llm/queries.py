@@ -69,4 +69,5 @@ ORACLES: dict[str, str] = {
     "op2_quality_rules": quality_rules.oracle(),
     "op7_source_mixing": source_mixing.oracle(),
     "op8_url_filter": url_filter.oracle(),
+    "op10_ngram_join": ngram_join.oracle(),
 }
