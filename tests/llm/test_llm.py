@@ -113,6 +113,7 @@ def test_token_files(spark, docs, edge, empty, monkeypatch):
 
 
 def test_packing(docs, edge, empty):
+    library = Tokenizer.from_file(BYTES)
     for df in (docs, edge):
         got = packing.run(df, BYTES, 2).toPandas()
         assert (got.length <= 1024).all() and (got.length > 0).all()
@@ -122,26 +123,95 @@ def test_packing(docs, edge, empty):
         least = math.ceil(got.length.sum() / 1024)
         assert got.sequence_id.nunique() <= max(least + 2, 1.05 * least)
         assert got[got.piece > 0].length.eq(1024).all()
-    library = Tokenizer.from_file(BYTES)
-    whole = packing.pieces(docs, BYTES, 2, with_ids=True).toPandas().sort_values(["doc_id", "piece"])
-    for r in docs.limit(20).collect():
-        ids = np.frombuffer(b"".join(whole[whole.doc_id == r.doc_id].ids), "<u4").tolist()
-        assert ids == [*library.encode(r.text, add_special_tokens=False).ids, 2]
+        expected = []  # the pieces of all documents
+        for r in df.select("doc_id", "text").collect():
+            ids = np.array([*library.encode(r.text or "", add_special_tokens=False).ids, 2], "<u4")
+            cuts = [0, *range((len(ids) - 1) % 1024 + 1, len(ids) + 1, 1024)]
+            expected += [(str(r.doc_id), k, a, b - a, zlib.crc32(ids[a:b].tobytes())) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]
+        name = got.doc_id.map(lambda x: "None" if pd.isna(x) else str(int(x)))
+        assert sorted(expected) == sorted(zip(name, got.piece, got.start, got.length, got.ids_crc32, strict=True))
+    limited = packing.run(docs, BYTES, 2, max_docs=3, max_cost=int(packing.cost_of(1024))).toPandas().groupby("sequence_id").length
+    assert limited.count().max() == 3 and limited.agg(lambda x: packing.cost_of(x).sum()).max() <= packing.cost_of(1024)
     assert packing.run(empty, BYTES, 2).count() == 0
 
 
+def _fewest(costs, limits):
+    """The fewest bins by trying every assignment."""
+    best = len(costs)
+
+    def place(k, bins):
+        nonlocal best
+        if len(bins) >= best:
+            return
+        if k == len(costs):
+            best = len(bins)
+            return
+        for b in range(len(bins)):
+            after = tuple(x + y for x, y in zip(bins[b], costs[k], strict=True))
+            if all(x <= y for x, y in zip(after, limits, strict=True)):
+                place(k + 1, [*bins[:b], after, *bins[b + 1 :]])
+        place(k + 1, [*bins, costs[k]])
+
+    place(0, [])
+    return best
+
+
+def _plain_fit(lengths, limits, weights):
+    """Vector best fit, one sequence after the other."""
+    open_, out = [], []
+    for size in lengths:
+        cost = (size, 1, (-(-size // packing.TILE)) ** 2)
+        fits = [b for b in open_ if all(x >= y for x, y in zip(b, cost, strict=True))]
+        norm = lambda b: sum(w * ((x - y) / c) ** 2 for w, x, y, c in zip(weights, b, cost, limits, strict=True))  # noqa: B023,E731
+        if fits:
+            best = min(map(norm, fits))
+            out.append(best)
+            b = next(b for b in fits if norm(b) == best)
+        else:
+            out.append(None)
+            open_.append(b := list(limits))
+        b[:] = [x - y for x, y in zip(b, cost, strict=True)]
+    return out, len(open_)
+
+
+def test_packing_by_brute_force():
+    rng = random.Random(3)
+    worse = 0
+    for _ in range(60):
+        lengths = np.array(sorted((rng.choice([rng.randint(1, 40), rng.randint(1, 400)]) for _ in range(9)), reverse=True))
+        limits = (400, rng.choice([3, 9]), rng.choice([250, 650]))
+        lengths = lengths[packing.cost_of(lengths) <= limits[2]]
+        seq, _ = packing.best_fit(lengths, *limits)
+        costs = [(int(x), 1, int(packing.cost_of(x))) for x in lengths]
+        worse += len(set(seq.tolist())) - _fewest(costs, limits)
+        assert len(set(seq.tolist())) == _plain_fit(lengths.tolist(), limits, packing.WEIGHTS)[1]
+        for s in set(seq.tolist()):
+            assert all(sum(c[k] for c, x in zip(costs, seq, strict=True) if x == s) <= limits[k] for k in range(3))
+    assert worse <= 6  # of 60 runs
+
+
 def test_packing_keeps_every_capacity():
     rng = np.random.default_rng(0)
     lengths = np.sort(rng.integers(1, 200, 500))[::-1]
-    seq, offset = packing.best_fit(lengths, 400, 3, 60_000)
-    for s in np.unique(seq):
-        x = lengths[seq == s]
-        assert x.sum() <= 400 and len(x) <= 3 and (x**2).sum() <= 60_000
-        assert sorted(offset[seq == s].tolist())[0] == 0
+    found = {}
+    for docs_, cost in ((500, 10**6), (3, 10**6), (500, 180)):
+        seq, offset = packing.best_fit(lengths, 400, docs_, cost)
+        found[docs_, cost] = len(np.unique(seq))
+        for s in np.unique(seq):
+            x = lengths[seq == s]
+            assert x.sum() <= 400 and len(x) <= docs_ and packing.cost_of(x).sum() <= cost
+            assert sorted(offset[seq == s].tolist())[0] == 0
+    assert found[500, 10**6] < min(found[3, 10**6], found[500, 180])  # both limits bind
     with pytest.raises(ValueError):
         packing.best_fit(np.array([500]), 400, 3, 10**9)
 
 
+def test_packing_deals_rows_that_repeat(spark):
+    df = spark.createDataFrame([(None, "same words again")] * 3000, "doc_id long, text string")
+    got = packing.pack(packing.cut(packing.pieces(df, BYTES, 2)), shard_pieces=300).toPandas()
+    assert len(got) == 3000 and (got.sequence_id // 2**32).value_counts().max() < 600
+
+
 def test_ogg_checksum_and_damage():
     def slow(data):
         crc = 0
@@ -182,35 +252,71 @@ def test_ogg_digests(edge, empty):
     assert ogg.media(empty).count() == 0
 
 
+def _lm_by_force(given):
+    tokens = [[*WORDS.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")), None] for _, text in given]
+    train = [zlib.crc32(("" if name is None else str(name)).encode()) % 7 != 2 for name, _ in given]
+    count = Counter()
+    for t, use in zip(tokens, train, strict=True):
+        if use:
+            count.update((w,) for w in ["<s>", *t])
+            count.update(zip(["<s>", *t[:-1]], t, strict=True))
+            count.update(zip(["<s>", *t[:-2]], t[:-1], t[1:], strict=False))
+    uni = {k[0]: c for k, c in count.items() if len(k) == 1 and k != ("<s>",)}
+    n, v = sum(uni.values()), len(uni)
+    one, two = sum(c == 1 for c in uni.values()), sum(c == 2 for c in uni.values())
+    d = (one + 1) / (one + 2 * two + 2)
+
+    def p(history, w):
+        if not history:
+            return (uni[w] - d) / n if w in uni else d * v / n
+        c = count[history]
+        weight = lm_scoring.LAMBDA * c / (c + lm_scoring.EVIDENCE)
+        return (weight * count[*history, w] / c if c else 0) + (1 - weight) * p(history[1:], w)
+
+    out = []
+    for (name, _), t, use in zip(given, tokens, train, strict=True):
+        base = sum(math.log10((uni.get(w, 0) + 1) / (n + v + 1)) for w in t)
+        full = sum(math.log10(p(tuple(["<s>", *t][max(0, i - 1) : i + 1]), w)) for i, w in enumerate(t))
+        out.append((name, not use, len(t), sum(w in uni for w in t), n, round(base, 5), round(full, 5)))
+    return sorted(map(str, out))
+
+
 def test_lm_scores_against_brute_force(spark, docs, edge, empty):
     for df in (docs, edge):
-        given = df.select("doc_id", "text").collect()
-        tokens = [[*WORDS.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in r.text or "")), None] for r in given]
-        train = [zlib.crc32(("" if r.doc_id is None else str(r.doc_id)).encode()) % 7 != 2 for r in given]
-        uni, bi = Counter(), Counter()
-        for t, use in zip(tokens, train, strict=True):
-            if use:
-                uni.update(t)
-                bi.update(zip(["<s>", *t[:-1]], t, strict=True))
-        n, v = sum(uni.values()), len(uni)
-        one, two = sum(c == 1 for c in uni.values()), sum(c == 2 for c in uni.values())
-        d = one / (one + 2 * two) if one else 0.5
-        p = lambda w: (uni[w] - d) / n if uni[w] else d * v / n  # noqa: B023,E731
-        expected = []
-        for r, t, use in zip(given, tokens, train, strict=True):
-            base = sum(math.log10((uni[w] + 1) / (n + v + 1)) for w in t)
-            full = 0.0
-            for h, w in zip(["<s>", *t[:-1]], t, strict=True):
-                c = uni[None] if h == "<s>" else uni[h]
-                weight = lm_scoring.LAMBDA * c / (c + lm_scoring.EVIDENCE)
-                full += math.log10((weight * bi[h, w] / c if c else 0) + (1 - weight) * p(w))
-            expected.append((r.doc_id or -1, not use, len(t), sum(uni[w] > 0 for w in t), n, round(base, 5), round(full, 5)))
-        small = lm_scoring.score(df, block_bytes=40_000, bucket_bytes=60_000)
-        got = [(r.doc_id or -1, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 5), round(r.score, 5)) for r in small.collect()]
-        assert sorted(map(str, got)) == sorted(map(str, expected))
+        expected = _lm_by_force([tuple(r) for r in df.select("doc_id", "text").collect()])
+        for fan in (256, 2):  # blocks straight to the buckets, and in groups
+            small = lm_scoring.score(df, block_bytes=40_000, bucket_bytes=60_000, fan=fan)
+            got = [(r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 5), round(r.score, 5)) for r in small.collect()]
+            assert sorted(map(str, got)) == expected
     assert lm_scoring.score(empty).count() == 0
 
 
+def test_lm_automaton_fails_twice_and_crosses_lanes():
+    """A state of two words without an arc fails to one word, and from there to the root; a text is longer than a lane."""
+    texts = ["a b c d e a b", "a b x", "zz b q", " ".join("abcdexyz"[i * i % 7] for i in range(3 * lm_scoring.LANE + 5)), "", "never a b zz"]
+    given = [(i, t) for i, t in zip([k for k in range(50) if zlib.crc32(str(k).encode()) % 7 != 2][:5] + [next(k for k in range(50) if zlib.crc32(str(k).encode()) % 7 == 2)], texts, strict=True)]
+    train = np.array([True] * 5 + [False])
+    block = lm_scoring.Block.of([t for _, t in given], 64)
+    counts = block.counts(train)
+    words = counts[0]
+    n, v, one, two = words.sum(), (words > 0).sum(), (words == 1).sum(), (words == 2).sum()
+    made = lm_scoring.Automaton(block, counts, int(n), int(v), (one + 1) / (one + 2 * two + 2))
+    assert set(made.order) == {0, 1, 2} and (made.order[made.fail[made.order == 2]] == 1).all() and (made.fail[made.order == 1] == 0).all()
+    first = np.zeros(len(block.token), bool)
+    first[block.first] = True
+    got = np.add.reduceat(made.traverse(first), block.first)
+    last = int(block.first[-1]) + 3  # "zz" after "a b": neither has an arc for it
+    assert made.arcs[2, last] == made.arcs[1, last] == -1
+    expected = {s.split(",")[0].strip("("): float(s.split(",")[-1].strip(" )")) for s in _lm_by_force(given)}
+    assert all(abs(expected[str(name)] - x) < 1e-4 for (name, _), x in zip(given, got, strict=True))
+
+
+def test_lm_rows_that_repeat_lie_in_many_blocks(spark):
+    df = spark.createDataFrame([(None, "x y z x y")] * 400, "doc_id long, text string").repartition(4)
+    got = lm_scoring.score(df, block_bytes=500, bucket_bytes=500).collect()
+    assert len(got) == 400 and len({(r.score, r.n_tokens, r.n_known, r.train_tokens) for r in got}) == 1
+
+
 def test_lm_with_nothing_to_learn_from(spark):
     held = [i for i in range(200) if zlib.crc32(str(i).encode()) % 7 == 2][:3]
     got = lm_scoring.score(spark.createDataFrame([(i, "a b") for i in held], "doc_id long, text string")).collect()

@@ -1,15 +1,23 @@
 """Best-fit packing of documents into sequences under several capacities.
 
 Documents are tokenized where they lie; only one longer than a sequence is cut, its first piece
-being the shorter one. Pieces get a hash-random shard of about `shard_pieces`, and every shard
-is packed by itself, longest piece first: among the open sequences whose residual tokens,
-documents and attention cost (the sum of squared lengths) all hold the piece, the one with the
-least weighted norm of what would be left takes it. A shard leaves a few sequences unfilled
-out of thousands.
+being the shorter one. Every piece gets a hash-random shard of about `shard_pieces`, drawn with its
+row's number in the stored table, so that rows alike are dealt over all shards. A shard is packed by
+itself, longest piece first: among the open sequences whose residual tokens, documents and attention
+cost all hold the piece, the one with the least weighted norm of the residuals that would be left
+takes it. A shard leaves a few sequences unfilled out of thousands.
+
+The attention cost of a piece is the square of its length in whole tiles of TILE tokens, as attention
+kernels compute it, so many short pieces cost more than the square of their tokens. A sequence may
+hold `max_docs` pieces and a cost of `max_cost`. By default these are a piece a token and a tile more
+than the longest piece has, which no sequence of `capacity` tokens exceeds: op6_packing has to give the
+fewest sequences by tokens alone. Lower limits bind, as in the pipeline.
 
 Defined cases: a null text is an empty document and holds the end id alone. Repeated rows are
-separate documents. With no rows there are no pieces. The capacities for documents and
-attention cost do not bind by default.
+separate documents. With no rows there are no pieces. Of sequences whose residuals tie the one opened
+first (in the order of the open ones) takes the piece; pieces of one length go by doc_id, piece and
+checksum. A very long text is tokenized whole in its task and cut into pieces of a sequence each.
+Columns besides doc_id and text are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,12 +31,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import cut, ship
+from tracewell.llm.common import cut, ship, spread
 from tracewell.llm.tokenizing import memory
 
 LENGTH = 1024
 SHARD_PIECES = 8192
-WEIGHTS = (1.0, 0.01, 0.01)
+TILE = 16
+#: Weights of the residual tokens, documents and cost, each as a share of its capacity.
+WEIGHTS = (1.0, 0.1, 0.1)
 
 
 def pieces(docs: DataFrame, vocab: str, end_id: int, length: int = LENGTH, with_ids: bool = False) -> DataFrame:
@@ -53,7 +63,12 @@ def pieces(docs: DataFrame, vocab: str, end_id: int, length: int = LENGTH, with_
                 names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=False)], names=names[: 5 + with_ids])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).mapInArrow(work, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).transform(spread).mapInArrow(work, schema)
+
+
+def cost_of(lengths):
+    """The attention cost of pieces, in squared tiles."""
+    return (-(-lengths // TILE)) ** 2
 
 
 def best_fit(lengths: np.ndarray, capacity: int, max_docs: int, max_cost: int, weights=WEIGHTS) -> tuple[np.ndarray, np.ndarray]:
@@ -65,10 +80,10 @@ def best_fit(lengths: np.ndarray, capacity: int, max_docs: int, max_cost: int, w
     left = np.empty((3, n))  # of open sequences: tokens, documents, attention cost
     names = np.empty(n, np.int64)
     opened = used = 0
-    least = lengths[-1] if n else 0
-    for i, size in enumerate(lengths.tolist()):
-        cost = size * size
-        if size > capacity or cost > max_cost:
+    costs = cost_of(lengths)
+    least, least_cost = (lengths[-1], costs[-1]) if n else (0, 0)
+    for i, (size, cost) in enumerate(zip(lengths.tolist(), costs.tolist(), strict=True)):
+        if size > capacity or cost > max_cost or max_docs < 1:
             raise ValueError("a piece exceeds a sequence's capacity")
         view = left[:, :opened]
         fits = np.flatnonzero((view[0] >= size) & (view[1] >= 1) & (view[2] >= cost)) if opened else ()
@@ -81,30 +96,30 @@ def best_fit(lengths: np.ndarray, capacity: int, max_docs: int, max_cost: int, w
             left[:, k], names[k] = caps, used
             used += 1
         seq[i], offset[i] = names[k], capacity - left[0, k]
-        left[0, k] -= size
-        left[1, k] -= 1
-        left[2, k] -= cost
-        if left[0, k] < least or left[1, k] < 1 or left[2, k] < least * least:  # nothing more fits: the last open one takes its place
+        left[:, k] -= (size, 1, cost)
+        if left[0, k] < least or left[1, k] < 1 or left[2, k] < least_cost:  # nothing more fits: the last open one takes its place
             opened -= 1
             left[:, k], names[k] = left[:, opened], names[opened]
     return seq, offset
 
 
-def pack(cut_pieces: DataFrame, capacity: int = LENGTH, max_docs: int = LENGTH, max_cost: int = LENGTH * LENGTH, shard_pieces: int = SHARD_PIECES) -> DataFrame:
-    """cut_pieces (doc_id, piece, length, ids_crc32, ...) with sequence_id and offset. Its rows are counted first, so they should be stored."""
+def pack(cut_pieces: DataFrame, capacity: int = LENGTH, max_docs: int | None = None, max_cost: int | None = None, shard_pieces: int = SHARD_PIECES, weights=WEIGHTS) -> DataFrame:
+    """cut_pieces (doc_id, piece, length, ids_crc32, ...) with sequence_id and offset. Its rows are counted and numbered first, so they must be stored."""
+    max_docs = capacity if max_docs is None else max_docs
+    max_cost = int(cost_of(capacity + TILE)) if max_cost is None else max_cost
     shards = max(1, -(-cut_pieces.count() // shard_pieces))
     columns = cut_pieces.columns
-    sharded = cut_pieces.withColumn("_shard", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "length"), F.lit(shards)))
+    sharded = cut_pieces.withColumn("_shard", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id()), F.lit(shards)))
 
     def work(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["length", "doc_id", "piece", "ids_crc32"], ascending=[False, True, True, True], kind="stable")
-        seq, offset = best_fit(rows["length"].to_numpy(np.int64), capacity, max_docs, max_cost)
+        seq, offset = best_fit(rows["length"].to_numpy(np.int64), capacity, max_docs, max_cost, weights)
         return rows.assign(sequence_id=(int(rows["_shard"].iloc[0]) << 32) + seq, offset=offset)[[*columns, "sequence_id", "offset"]]
 
     schema = ", ".join(f"`{c}` {t}" for c, t in cut_pieces.dtypes) + ", sequence_id long, offset long"
     return sharded.groupBy("_shard").applyInPandas(work, schema)
 
 
-def run(docs: DataFrame, vocab: str, end_id: int, capacity: int = LENGTH) -> DataFrame:
+def run(docs: DataFrame, vocab: str, end_id: int, capacity: int = LENGTH, **limits) -> DataFrame:
     """The pieces of docs with their places; pieces without ids, some tens of bytes each, are checkpointed."""
-    return pack(cut(pieces(docs, vocab, end_id, capacity)), capacity, capacity, capacity * capacity)
+    return pack(cut(pieces(docs, vocab, end_id, capacity)), capacity, **limits)

@@ -67,6 +67,7 @@ VARIANTS: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op8_url_filter
 
 ORACLES: dict[str, str] = {
     "op2_quality_rules": quality_rules.oracle(),
+    "op4_lm_scoring": lm_scoring.oracle(),
     "op7_source_mixing": source_mixing.oracle(),
     "op8_url_filter": url_filter.oracle(),
     "op10_ngram_join": ngram_join.oracle(),
