@@ -482,10 +482,30 @@ def test_url_templates_reject_by_purity(spark):
     bad = [(i, f"http://h{i % 2}.com/en/{i}/page{i}", "") for i in range(60)]
     near = [(100 + i, f"http://h0.com/EN/{i}", "") for i in range(3)]
     got = url_filter.judge(spark.createDataFrame([*bad, *near], "page_id long, url string, html string")).collect()
-    assert {r.template for r in got if r.page_id < 60} == {"/en/*/*"}
+    assert {r.template for r in got if r.page_id < 60} == {"/*/*/*"}
     assert all(r.verdict == "block" for r in got if r.page_id < 60) and all(r.verdict == "allow" for r in got if r.page_id >= 100)
 
 
+def test_url_siblings_that_differ_are_held_against_each_other(spark):
+    rules = [(f"s{k}.com", f"/{d}/", v) for k in range(1) for d, v in (("a", "block"), ("b", "block"), ("c", "allow"), ("d", "allow"), ("e", "allow"))]
+    urls = [f"http://s0.com/{d}/x{i}/{'ab'[i % 2]}q" for d in "abcdefg" for i in range(40)] + ["http://s0.com/" + "deep/" * 60 + "end"]
+    got = {r.page_id: r for r in url_filter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules=rules).collect()}
+    first = {d: {got[i].template.split("/")[1] for i, u in enumerate(urls) if u.split("/")[3] == d} for d in "abcdefg"}
+    assert first["a"] == first["b"] == {"*+"} and first["c"] == first["d"] == first["e"] == {"*-"} and first["f"] == first["g"] == {"*"}
+    assert got[len(urls) - 1].template == "/*" * 61 and {got[i].verdict for i in range(80)} == {"block"}
+
+
+def test_url_repeated_rows_and_large_frames(spark, monkeypatch):
+    """A url of many rows, null ones too, with the salted joins that large frames take."""
+    monkeypatch.setattr(url_filter, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(url_filter.join_small, "__defaults__", ("inner", 0, 4, None))
+    urls = [None] * 30 + ["http://a.com/en/1"] * 30 + [f"http://a.com/fr/{i}/z" for i in range(9)]
+    rows = [(i, u, "h", "t") for i, u in enumerate(urls)]
+    got = url_filter.judge(spark.createDataFrame(rows, "page_id long, url string, host string, `a.b` string")).collect()
+    assert sorted(r.page_id for r in got) == list(range(69)) and {(r.rule, r.verdict) for r in got if 30 <= r.page_id < 60} == {("com/en/", "block")}
+    assert {(r.host, r.path, r.template, r.verdict) for r in got if r.page_id < 30} == {("", "", "/*", "allow")}
+
+
 def test_toxicity(spark, edge, empty):
     rng = random.Random(7)
     vocabulary = ["".join(rng.choices("abcdefghijklm", k=rng.randint(3, 8))) for _ in range(400)]

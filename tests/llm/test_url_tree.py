@@ -1,4 +1,4 @@
-"""The template tree with paths walked to their end and few siblings, against the SQL at that depth."""
+"""The template tree, walked to the end of its paths, against the SQL at that depth."""
 
 import duckdb
 
@@ -15,7 +15,7 @@ def test_long_paths_and_few_siblings(spark, tmp_path):
     got = {tuple(r) for r in entry.queries()["op8_url_filter_whole"](spark, str(tmp_path)).collect()}
     con = duckdb.connect()
     con.execute(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
-    assert got == set(con.execute(url_filter.oracle(depth=7, children=0)).fetchall())
+    assert got == set(con.execute(url_filter.oracle(levels=7)).fetchall())
     by_url = {urls[r[0]]: r for r in got}
     assert by_url["http://a.com/fr/x/y/z/v/w/p1"][3:] == (None, "block", "/*/*/*/*/*/*/*")  # similar to the branch of the rule
     assert by_url["http://b.com/fr/1"][4] == "allow" and not any("**" in r[5] for r in got)

@@ -69,13 +69,13 @@ def row_key(docs: DataFrame) -> list[Column]:
     return [F.xxhash64(column("doc_id"), text).alias("_r1"), F.xxhash64(text, F.lit(1)).alias("_r2"), row_hash(docs).alias("_r3")]
 
 
-def join_small(rows: DataFrame, small: DataFrame, keys: list[str], how: str = "inner", most: int = BROADCAST_ROWS, salts: int = SALTS) -> DataFrame:
+def join_small(rows: DataFrame, small: DataFrame, keys: list[str], how: str = "inner", most: int = BROADCAST_ROWS, salts: int = SALTS, few: bool | None = None) -> DataFrame:
     """rows joined (inner, left or left_semi) with a stored frame of one short row a key.
 
-    Up to `most` rows are broadcast. Beyond, the rows of a key are dealt over `salts` tasks, each of which gets
+    Up to `most` rows are broadcast (`few`, where the caller has counted them already). Beyond, the rows of a key are dealt over `salts` tasks, each of which gets
     a copy of the key's row, and Spark's adaptive execution splits what is still too large.
     """
-    if small.count() <= most:
+    if small.count() <= most if few is None else few:
         return rows.join(F.broadcast(small), keys, how)
     dealt = rows.withColumn("_salt", F.floor(F.rand(3) * salts).cast("int"))
     copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
