@@ -86,6 +86,14 @@ def test_token_counts_fuzz_and_dropped_states(monkeypatch):
     assert [counter.count([t])[0] for t in some[:100]] == expected[:100]
 
 
+def test_token_counts_of_one_long_token_run():
+    """Changes of more than 127 tokens on one transition, and more states in one call than are kept."""
+    merges = token_counts.Merges([bytes([b]) for b in range(256)] + [b"ab" * k for k in range(1, 2)] + [b"a" * 300], {(b"a", b"b"): 0})
+    raw = np.frombuffer(b"a" * 299 + b"b" + b"a" * 20, np.uint8)
+    got = merges.counts(raw, np.array([0]), np.array([len(raw)]))
+    assert got.tolist() == [len(merges._merge(raw.tobytes()))]
+
+
 @pytest.mark.parametrize("bits", [1, 7, 15, 16, 17, 31])
 def test_packed_ids_round_trip(bits):
     rng = np.random.default_rng(bits)
@@ -249,6 +257,11 @@ def test_ogg_digests(edge, empty):
     assert Counter((None if pd.isna(r.doc_id) else int(r.doc_id), r.payload_sha256) for r in got.itertuples()) == texts
     assert all(hashlib.sha256(m).hexdigest() == h for m, h in zip(got.media, got.media_sha256, strict=True))
     assert got.groupby("payload_sha256").feature.nunique().max() == 1
+    for r, text in zip(got.sort_values("payload_sha256").itertuples(), sorted((x.text or "" for x in edge.select("text").collect()), key=lambda t: hashlib.sha256((b := t.encode()) + b"\0" * (-len(b) % 64 or (0 if b else 64))).hexdigest()), strict=True):
+        raw = text.encode()
+        data = raw + b"\0" * (-len(raw) % 64 or (0 if raw else 64))
+        assert (r.n_bytes, r.payload_bytes, r.tail_crc32, r.media_bytes) == (len(raw), len(data), zlib.crc32(data[-64:]), len(r.media))
+    assert got.groupby("feature").payload_sha256.nunique().max() == 1  # and different texts differ in theirs here
     assert ogg.media(empty).count() == 0
 
 
@@ -431,6 +444,15 @@ def test_quality_rules_edge_cases(edge, empty):
     assert quality_rules.judge(empty).count() == 0 and quality_rules.keep(empty).count() == 0
 
 
+def test_quality_rules_compare_windows_by_their_words(spark, monkeypatch):
+    """Windows that share the bits kept of their hashes are no repeats: here no bits are kept."""
+    text = " ".join(f"w{i}" for i in range(60)) + " w3 w4 w5"
+    df = spark.createDataFrame(rows_of([text]), SCHEMA)
+    expr = F.expr
+    monkeypatch.setattr(quality_rules.F, "expr", lambda s: expr(s.replace("xxhash64(_w[i], _w[i + 1], _w[i + 2])", "0L")))
+    assert quality_rules.judge(df).first().n_repeat_words == 6
+
+
 def test_quality_rules_tell_junk(spark, docs):
     labels = spark.read.parquet(f"{DATA}/labels.parquet")
     got = quality_rules.judge(docs).join(labels, "doc_id").where("not base_failed").toPandas()
@@ -463,6 +485,19 @@ def test_mixing(edge, empty, docs):
     assert source_mixing.plan(empty).count() == 0 and source_mixing.mix(empty).count() == 0
 
 
+def test_mixing_rows_that_repeat_and_odd_columns(spark):
+    """Half of the rows are one row; columns with dots and maps; a key that ties in other columns."""
+    rows = [(1, "one row of five words", "a", 0, {"k": 1})] * 60 + [(i, f"other {i} of five", "ab"[i % 2], i, None) for i in range(2, 40)] + [(2, "other 2 of five", "a", 7, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, `n.c` long, m map<string,int>").repartition(3)
+    got = source_mixing.plan(df, bucket_rows=5).toPandas()
+    assert len(got) == len(rows) and (got.taken <= 3 * got["size"]).all()
+    by = got.groupby("source").agg(target=("target", "first"), taken=("taken", "sum"))
+    assert (by.taken == np.floor(by.target)).all()
+    runs = [sorted(map(str, source_mixing.mix(df.repartition(n)).collect())) for n in (1, 4)]
+    assert runs[0] == runs[1] and source_mixing.mix(df).columns == df.columns
+    assert sum(len(WORDS.findall(r.text)) for r in source_mixing.mix(df).collect()) == int(by.taken.sum())
+
+
 def test_mixing_targets_fill_up(spark):
     got = {r.source: r.target for r in source_mixing.targets(spark.createDataFrame([("a", 10), ("b", 1000), ("c", 20), (None, 5)], "source string, source_size long")).collect()}
     assert got["c"] == 60.0 and got[None] == 15.0 and got["a"] == 30.0 and abs(got["b"] - 930.0) < 1e-9
@@ -530,6 +565,40 @@ def test_toxicity(spark, edge, empty):
     assert toxicity.judge(df, labels.where("toxic = 0")).agg(F.max("score")).first()[0] == 0.0
 
 
+@pytest.mark.parametrize("n", [8, 40, 60])
+def test_toxicity_with_few_labels(spark, n):
+    """Small label sets are fitted and calibrated as large ones, with trees and curve on different rows."""
+    rows = [(i, f"you zorgh zorghed idiot {i}!!" if i % 2 else f"a calm line about {i} things", i % 2) for i in range(6 * n)]
+    df = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows[: 2 * n]], "doc_id long, toxic int")
+    model = toxicity.fit(df, labels)
+    assert model.trees is not None
+    got = toxicity.judge(df, labels).toPandas()
+    assert ((got.score > 0.5) == (got.doc_id % 2 == 1)).mean() > 0.9
+
+
+def test_toxicity_scores_by_brute_force(spark, docs):
+    """The score of every document from its own features, the fitted trees walked by hand, and the curve's line through its corners."""
+    labels = spark.read.parquet(f"{DATA}/labels.parquet")
+    model = toxicity.fit(docs, labels)
+    make, x, y = toxicity.Features(model.lexicon), list(model.curve.boundaries), list(model.curve.predictions)
+    trees = [(w, t) for w, t in zip(model.trees.treeWeights, model.trees.trees, strict=True)]
+
+    def leaf(node, f):
+        while node.numDescendants():
+            split = node.split()
+            node = node.leftChild() if f[split.featureIndex()] <= split.threshold() else node.rightChild()
+        return node.prediction()
+
+    expected = {}
+    for r in docs.select("doc_id", "text").collect():
+        f = make(r.text)
+        margin = sum(w * leaf(t._call_java("rootNode"), f) for w, t in trees)
+        expected[r.doc_id] = min(1.0, max(0.0, float(np.interp(margin, x, y))))
+    got = {r.doc_id: r.score for r in toxicity.judge(docs, labels).collect()}
+    assert set(got) == set(expected) and all(abs(got[k] - expected[k]) < 1e-6 for k in got)
+
+
 def test_toxicity_never_learns_from_held_out(spark):
     docs = spark.createDataFrame([(i, "x y z") for i in range(30)], "doc_id long, text string")
     held = [i for i in range(30) if zlib.crc32(str(i).encode()) % 3 == 1]

@@ -7,7 +7,9 @@ verifies every page's checksum and number, demultiplexes by serial number, reass
 from lacing values and takes times from granule positions, which count samples.
 
 Defined cases: a null text is an empty one; its payload is 64 zero samples. Serial numbers are
-fixed, so equal texts give equal containers.
+fixed, so equal texts, and repeated rows, give equal containers. A very long text is one container of
+its task, whole. There are no ties; an empty table gives no rows; columns besides doc_id and text are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import ship
+from tracewell.llm.common import ship, spread
 
 #: Fixed values of the Ogg page layout.
 CAPTURE = b"OggS"
@@ -149,4 +151,4 @@ def media(docs: DataFrame, keep_media: bool = False) -> DataFrame:
                     out.append((name, n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(raw), hashlib.sha256(raw).hexdigest(), feature(x, seconds), seconds, raw)[: len(fields)])
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*out, strict=True), fields, strict=True)], names=[f for f, _ in fields])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).mapInArrow(work, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).transform(spread).mapInArrow(work, schema)

@@ -9,7 +9,9 @@ needs a minimum number of words.
 Defined cases: a null text is an empty one (no words, so base_failed). A language that is
 null or has no list of common words is compared by character classes only. With no document
 that passes the base rules there is no reference, and the base rules decide alone.
-Repeated rows are judged alike. Columns that clash with the output's names are replaced.
+Repeated rows are judged alike; a divergence that ties with its limit is kept. A very long text is
+read whole, its repeated windows found exactly. An empty table gives no rows. Other columns may have
+any names: judge() ignores them, keep() returns them.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import cut, whole, words
+from tracewell.llm.common import cut, spread, whole, words
 
 #: Frequent function words of four languages.
 COMMON = {
@@ -35,22 +37,23 @@ REPEAT_PERCENT = 50
 CHAR_LIMIT = 0.09
 WORD_LIMIT = 0.08
 WORD_GUARD = 100
+BROADCAST_LANGUAGES = 10_000
 CHAR_CELLS = ("lower", "upper", "digit", "space", "mark", "symbol", "other")
 
 
 def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """One small row per document: base counts, character-class counts, common-word counts.
+    """One row per document: _doc (all its columns), base counts, character-class counts, common-word counts.
 
     A 3-word window is held as the high bits of its 64-bit hash with its position in the low
-    ones, so one primitive sort brings equal windows together: two different windows of a text
-    of n words meet with a probability of about n^3 / 2^65.
+    ones, so one primitive sort brings equal windows together; those that meet are then compared word
+    by word, as different windows of a long text may share these bits.
     """
     lang = F.col(lang_col)
     lists = F.lit(None).cast("array<string>")
     for name, common in COMMON.items():
         lists = F.when(lang == name, F.array(*map(F.lit, common))).otherwise(lists)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    base = docs.select(F.col(id_col).alias("doc_id"), lang.alias("lang"), F.xxhash64(text, lang).alias("_key"), text.alias("_t"), words(F.col(text_col)).alias("_w"), lists.alias("_c"))
+    base = spread(docs).select(whole(docs).alias("_doc"), F.col(id_col).alias("doc_id"), lang.alias("lang"), text.alias("_t"), words(F.col(text_col)).alias("_w"), lists.alias("_c"))
     base = base.select(
         "*",
         F.size("_w").alias("_n"),
@@ -72,17 +75,19 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     )
     base = base.select(
         "*",
-        F.expr("sort_array(transform(filter(_s, (x, j) -> coalesce((x ^ get(_s, j - 1)) between 0 and _mask, false) or coalesce((x ^ get(_s, j + 1)) between 0 and _mask, false)), x -> x & _mask))").alias("_p"),
+        F.expr("sort_array(transform(filter(_s, (x, j) -> coalesce((x ^ get(_s, j - 1)) between 0 and _mask, false) or coalesce((x ^ get(_s, j + 1)) between 0 and _mask, false)), x -> struct(_w[cast(x & _mask as int)] as a, _w[cast(x & _mask as int) + 1] as b, _w[cast(x & _mask as int) + 2] as c, x & _mask as i)))").alias("_m"),
         F.regexp_replace("_rest2", r"\p{Nd}+", "").alias("_rest3"),
         F.length(F.translate("_rest2", SYMBOLS, "")).alias("_nosym"),
     )
+    same = "coalesce(x.a = get(_m, j {0}).a and x.b = get(_m, j {0}).b and x.c = get(_m, j {0}).c, false)"
+    base = base.withColumn("_p", F.expr(f"sort_array(transform(filter(_m, (x, j) -> {same.format('- 1')} or {same.format('+ 1')}), x -> x.i))"))
     size = lambda c: F.length(c).cast("long")
     marks = size(F.col("_rest3")) - size(F.translate("_rest3", MARKS, ""))
     symbols = size(F.col("_rest2")) - F.col("_nosym").cast("long")
     return base.select(
+        "_doc",
         "doc_id",
         "lang",
-        "_key",
         F.col("_n").cast("long").alias("n_words"),
         "word_chars",
         symbols.alias("n_symbols"),
@@ -128,9 +133,16 @@ def judge(docs: DataFrame, char_limit: float = CHAR_LIMIT, word_limit: float = W
     The features, about two hundred bytes a document, are checkpointed, so that texts are read
     once for both the references and the verdicts.
     """
-    feats = cut(features(docs, **cols))
+    feats = cut(features(docs, **cols).drop("_doc"))
+    return verdicts(feats, char_limit, word_limit, word_guard).drop("lang")
+
+
+def verdicts(feats: DataFrame, char_limit: float = CHAR_LIMIT, word_limit: float = WORD_LIMIT, word_guard: int = WORD_GUARD) -> DataFrame:
+    """Stored features, with kept, char_divergence and word_divergence in place of the histograms; references, a row a language, are broadcast."""
     total = F.aggregate("chars", F.lit(0).cast("long"), lambda a, b: a + b).cast("double")
-    rows = feats.join(references(feats), F.col("lang").eqNullSafe(F.col("_lang")), "left").select(
+    known = cut(references(feats))
+    known = F.broadcast(known) if known.count() <= BROADCAST_LANGUAGES else known
+    rows = feats.join(known, F.col("lang").eqNullSafe(F.col("_lang")), "left").select(
         *feats.columns, "_qc", "_qw", total.alias("_total"), _shares(F.col("chars"), total).alias("_pc"), _shares(F.col("common"), F.col("n_words").cast("double")).alias("_pw")
     )
     rest = "concat({0}, array(greatest(0D, 1D - aggregate({0}, 0D, (a, b) -> a + b))))"
@@ -142,17 +154,13 @@ def judge(docs: DataFrame, char_limit: float = CHAR_LIMIT, word_limit: float = W
         F.greatest(F.lit(0.0), _divergence("_pw1", "_qw1") - noise(21, F.col("n_words").cast("double"))).alias("word_divergence"),
     )
     odd = (F.coalesce(F.col("char_divergence"), F.lit(0.0)) > char_limit) | ((F.col("n_words") >= word_guard) & (F.coalesce(F.col("word_divergence"), F.lit(0.0)) > word_limit))
-    return rows.select("doc_id", "_key", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~odd).alias("kept"), "char_divergence", "word_divergence")
+    given = [c for c in feats.columns if c not in ("chars", "common")]
+    return rows.select(*given, (~F.col("base_failed") & ~odd).alias("kept"), "char_divergence", "word_divergence")
 
 
 def keep(docs: DataFrame, **limits) -> DataFrame:
-    """The rows of docs, all columns, whose text the rules keep.
-
-    A verdict depends on text and language alone, so rows are matched to it by their hash and id.
-    """
-    kept = judge(docs, **limits).where("kept").select(F.col("doc_id").alias("_id"), "_key")
-    rows = docs.select(whole(docs).alias("_doc"), F.col("doc_id").alias("_own"), F.xxhash64(F.coalesce(F.col("text"), F.lit("")), F.col("lang")).alias("_hash"))
-    return rows.join(kept, (F.col("_hash") == F.col("_key")) & F.col("_own").eqNullSafe(F.col("_id")), "left_semi").select("_doc.*")
+    """The rows of docs, all columns, whose text the rules keep; rows are checkpointed with their features and no text is shuffled."""
+    return verdicts(cut(features(docs)), **limits).where("kept").select("_doc.*")
 
 
 def oracle(char_limit: float = CHAR_LIMIT, word_limit: float = WORD_LIMIT, word_guard: int = WORD_GUARD) -> str:

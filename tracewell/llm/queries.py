@@ -20,7 +20,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.judge(table(spark, sf_dir, "documents")).drop("_key", "char_divergence", "word_divergence")
+    return quality_rules.judge(table(spark, sf_dir, "documents")).drop("char_divergence", "word_divergence")
 
 
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,12 +5,15 @@ their keys, cut into buckets by the key's leading digits; prefix sums of bucket
 documents inside a bucket, say where each document stands, and the source is cut at exactly
 its budget of words. Budgets above the source's size repeat whole epochs first.
 
-No group grows with the data: a bucket holds about `bucket_rows` documents of one source,
-whatever the source's share, and bucket totals are one row a bucket.
+No group grows with the data: a bucket holds about `bucket_rows` different documents of one source,
+whatever the source's share, and bucket totals are one row a bucket. Rows that are alike in all
+columns are counted before they are dealt, and follow each other in the order.
 
 Defined cases: null and empty texts have size 0 and are never taken. A null source is a source,
-last in order. Repeated rows are separate rows; ties of the key are ordered by the text's hash,
-and rows equal in both are interchangeable. If all sizes are 0 all targets are 0.
+last in order. Repeated rows are separate rows and interchangeable; ties of the key (one doc_id and
+text) are ordered by the hash of the whole row. If all sizes are 0 all targets are 0. A very long text
+is one size; the budget may end inside it. An empty table gives no rows. Other columns may have any
+names and types, maps too: plan() ignores them, mix() returns them.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import cut, whole, words
+from tracewell.llm.common import ROW_KEY, column, cut, one_each, row_key, spread, words
 
 WEIGHTS = (1, 2, 3)
 MOST = 3
@@ -48,13 +51,20 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     return ranked.withColumn("target", F.least(F.col("_cap"), level["l"] * F.col("_w"))).select(*sizes.columns, "target")
 
 
-def plan(docs: DataFrame, seed: int = 7, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken, and _key and _row that name the row, for every row of docs.
+def _times(df: DataFrame, n: str, to: str, piece: int = 4096) -> DataFrame:
+    """Every row of df n times, numbered from 0 in column to; no array has more than about sqrt(n) or `piece` entries."""
+    df = df.withColumn("_k", F.explode(F.expr(f"sequence(0L, ({n} - 1) div {piece})")))
+    return df.withColumn(to, F.explode(F.expr(f"sequence(_k * {piece}, least({n}, (_k + 1) * {piece}) - 1)"))).drop("_k")
+
+
+def _placed(docs: DataFrame, seed: int, weights: tuple[int, ...], most: int, bucket_rows: int) -> DataFrame:
+    """One row for all rows alike: their number m, source, doc_id, size, target, where the first of them stands, and the row key.
 
-    Sizes and keys, under a hundred bytes a document, are checkpointed: texts are read once.
+    Sizes and keys, about a hundred bytes a document, are checkpointed: texts are read once.
     """
-    rows = cut(docs.select("doc_id", "source", F.size(words(F.col("text"))).cast("long").alias("size"), draw(seed).alias("_key"), F.xxhash64(*docs.columns).alias("_row")))
-    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("_rows"))
+    rows = spread(docs).select(column("doc_id").alias("doc_id"), column("source").alias("source"), F.size(words(column("text"))).cast("long").alias("size"), draw(seed).alias("_key"), *row_key(docs))
+    rows = cut(rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("m")))
+    sizes = rows.groupBy("source").agg(F.sum(F.col("size") * F.col("m")).alias("source_size"), F.count(F.lit(1)).alias("_rows"))
     aims = targets(sizes, weights, most).select(
         F.col("source").alias("_source"),
         "source_size",
@@ -67,41 +77,43 @@ def plan(docs: DataFrame, seed: int = 7, weights: tuple[int, ...] = WEIGHTS, mos
     placed = rows.join(F.broadcast(aims) if aims.count() <= BROADCAST_SOURCES else aims, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     placed = placed.withColumn("_bucket", F.expr("shiftright(cast(conv(substring(_key, 1, 8), 16, 10) as bigint) * _buckets, 32)"))
     ahead = W.partitionBy("_sid").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    totals = placed.groupBy("_sid", "_bucket").agg(F.sum("size").alias("_sum")).select("_sid", "_bucket", F.coalesce(F.sum("_sum").over(ahead), F.lit(0)).alias("_ahead"))
+    totals = placed.groupBy("_sid", "_bucket").agg(F.sum(F.col("size") * F.col("m")).alias("_sum")).select("_sid", "_bucket", F.coalesce(F.sum("_sum").over(ahead), F.lit(0)).alias("_ahead"))
     placed = placed.join(totals, ["_sid", "_bucket"])
-    inside = W.partitionBy("_sid", "_bucket").orderBy("_key", "_row").rowsBetween(W.unboundedPreceding, -1)
-    before = F.col("_ahead") + F.coalesce(F.sum("size").over(inside), F.lit(0))
+    inside = W.partitionBy("_sid", "_bucket").orderBy("_key", *ROW_KEY).rowsBetween(W.unboundedPreceding, -1)
+    before = F.col("_ahead") + F.coalesce(F.sum(F.col("size") * F.col("m")).over(inside), F.lit(0))
     epochs = F.expr("case when source_size > 0 then _budget div source_size else 0L end")
-    rest = F.col("_budget") - epochs * F.col("source_size")
-    placed = placed.select("*", before.alias("_before"), epochs.alias("_epochs"), rest.alias("_rest"))
-    taken = F.col("_epochs") * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), F.col("_rest") - F.col("_before")))
-    return placed.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"), "_key", "_row")
+    return placed.select("*", before.alias("_before"), epochs.alias("_epochs"), (F.col("_budget") - epochs * F.col("source_size")).alias("_rest"))
+
+
+def plan(docs: DataFrame, seed: int = 7, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """doc_id, source, size, source_size, target and taken for every row of docs."""
+    each = _times(_placed(docs, seed, weights, most, bucket_rows), "m", "_copy")
+    before = F.col("_before") + F.col("_copy") * F.col("size")
+    taken = F.col("_epochs") * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), F.col("_rest") - before))
+    return each.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"))
 
 
 def draw(seed: int):
     """The hash-random key of a row, as hexadecimal text: from the seed, doc_id and text."""
-    text = F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
-    return F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("|"), text).cast("binary"))
+    text = F.md5(F.coalesce(column("text"), F.lit("")).cast("binary"))
+    return F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(column("doc_id").cast("string"), F.lit("")), F.lit("|"), text).cast("binary"))
 
 
-def mix(docs: DataFrame, seed: int = 7, cut_texts: bool = True, **options) -> DataFrame:
+def mix(docs: DataFrame, seed: int = 7, cut_texts: bool = True, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """docs, all columns, with every row repeated as often as the mix takes it whole; where a source's
     budget ends inside a document, one more copy holds its words up to there, joined by single spaces.
     Without cut_texts that copy is whole, and the source's budget is exceeded by less than a document."""
-    taken = plan(docs, seed, **options).groupBy("_key", "_row").agg(F.sum("taken").alias("_taken"), F.max("size").alias("_size"))
-    rows = docs.select(whole(docs).alias("_doc"), "text", draw(seed).alias("_key"), F.xxhash64(*docs.columns).alias("_row")).dropDuplicates(["_key", "_row"])
-    rows = rows.join(taken.where("_taken > 0"), ["_key", "_row"])
-    copy = F.explode(F.sequence(F.lit(1).cast("long"), F.ceil(F.col("_taken") / F.col("_size"))))
-    rows = rows.select("_doc", "text", "_taken", "_size", copy.alias("_copy"))
+    placed = _placed(docs, seed, weights, most, bucket_rows)
+    all_ = F.col("m") * F.col("size")
+    taken = F.col("_epochs") * all_ + F.greatest(F.lit(0), F.least(all_, F.col("_rest") - F.col("_before")))
+    wanted = placed.select(*ROW_KEY, F.col("m").alias("_same"), "size", taken.cast("long").alias("_taken")).where("_taken > 0")
+    wanted = cut(wanted.withColumn("_copies", F.expr("(_taken + size - 1) div size")))
+    rows = _times(one_each(docs, wanted), "_copies", "_copy")
     if not cut_texts:
         return rows.select("_doc.*")
-    left = F.col("_taken") - (F.col("_copy") - 1) * F.col("_size")
-    short = F.when(left < F.col("_size"), F.array_join(F.slice(words(F.col("text")), F.lit(1), F.greatest(left, F.lit(1)).cast("int")), " "))
-    changed = F.col("_doc").withField("text", F.col("_short"))
-    if "n_chars" in docs.columns:
-        changed = changed.withField("n_chars", F.length("_short").cast(docs.schema["n_chars"].dataType))
-    rows = rows.select("_doc", short.alias("_short"))
-    return rows.select(F.when(F.col("_short").isNull(), F.col("_doc")).otherwise(changed).alias("_doc")).select("_doc.*")
+    left = F.col("_taken") - F.col("_copy") * F.col("size")
+    short = F.array_join(F.slice(words(F.col("_doc.text")), F.lit(1), F.greatest(left, F.lit(1)).cast("int")), " ")
+    return rows.select(F.when(left < F.col("size"), F.col("_doc").withField("text", short)).otherwise(F.col("_doc")).alias("_doc")).select("_doc.*")
 
 
 def oracle(seed: int = 7, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> str:

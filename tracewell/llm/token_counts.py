@@ -15,7 +15,9 @@ pieces of a batch step through it side by side.
 
 Defined cases: a null text is an empty one, with no tokens. A special token's string in a text
 is one token, as by the library's default. A code point that this Python's Unicode tables do
-not know counts as neither letter nor number.
+not know counts as neither letter nor number. A very long text is one group of its task, and states
+beyond twice the bound are dropped within it. Repeated rows are counted each; there are no ties to
+break. An empty table gives no rows; columns besides doc_id and text are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import ship
+from tracewell.llm.common import ship, spread
 
 CHUNK = 128
 GROUP_CHARS = 1_000_000
@@ -43,6 +45,8 @@ LETTER, SHORT, R, V, L_, E, NUMBER, SPACE, WHITE, QUOTE, OTHER, END = range(12)
 WHITE_POINTS = [*range(9, 14), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 (START, IN_LETTERS, IN_NUMBER, IN_OTHER, CLOSED, QUOTED, QUOTED_R, QUOTED_V, QUOTED_L, SPACE_1, SPACE_N, WHITE_1, WHITE_N) = range(13)
 HERE, BEFORE = 1, 2
+#: Added to changes of the count, which are less than the longest token's bytes.
+CHANGE = 1 << 31
 
 
 def _classes() -> np.ndarray:
@@ -171,8 +175,19 @@ class Merges:
         self.filled = 0
         self._room(1 << 18)
 
+    def _forget(self, held: np.ndarray) -> np.ndarray:
+        """Drop all states but those held, and give these their new numbers."""
+        kept, place = np.unique(held, return_inverse=True)
+        kept = [self.states[k] for k in kept.tolist()]
+        self._clear()
+        for x in kept:
+            if x not in self.ids:
+                self.ids[x] = len(self.states)
+                self.states.append(x)
+        return np.array([self.ids[x] for x in kept], np.int64)[place]
+
     def _room(self, slots: int) -> None:
-        """An empty table of transitions: open addressing, keys state << 8 | byte, values state << 8 | change + 128."""
+        """An empty table of transitions: open addressing, keys state << 8 | byte, values state << 32 | change + CHANGE."""
         self.keys, self.values, self.shift = np.full(slots, -1, np.int64), np.zeros(slots, np.int64), np.uint64(65 - slots.bit_length())
 
     def _slots(self, keys: np.ndarray) -> np.ndarray:
@@ -226,13 +241,11 @@ class Merges:
                 break
         else:
             raise ValueError("no token ends here: the vocabulary lacks a byte")
-        if not -128 <= delta < 128:
-            raise ValueError("a transition changes the count by too much")
         after = array("i", [x for c, last, since in steps if self.child[c] for x in (c, last, since + delta)] + [0, t, 0]).tobytes()
         if (to := self.ids.get(after)) is None:
             to = self.ids[after] = len(self.states)
             self.states.append(after)
-        return to << 8 | delta + 128
+        return to << 32 | delta + CHANGE
 
     def counts(self, data: np.ndarray, begins: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """The tokens of each piece data[begin : begin + length]."""
@@ -250,8 +263,10 @@ class Merges:
                 self._store(fresh, np.array([self._compile(k >> 8, k & 255) for k in fresh.tolist()], np.int64))
                 slot = self._slots(key)
             got = self.values[slot]
-            state[:live] = got >> 8
-            total[:live] += (got & 255) - 128
+            state[:live] = got >> 32
+            total[:live] += (got & 0xFFFFFFFF) - CHANGE
+            if len(self.states) > 2 * MOST_STATES:
+                state[:live] = self._forget(state[:live])
         out = np.empty_like(total)
         out[order] = total
         return out
@@ -327,4 +342,4 @@ def token_counts(docs: DataFrame, vocab: str, limit: int = LIMIT) -> DataFrame:
 
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), text.alias("text"))
-    return rows.mapInArrow(work, "doc_id long, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)
+    return spread(rows).mapInArrow(work, "doc_id long, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)

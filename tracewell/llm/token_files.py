@@ -11,7 +11,10 @@ spread), tokenized where they lie, and cut into images of about `image_ids` ids.
 an image is a prefix sum over images within a range and over ranges.
 
 Defined cases: a null text is an empty one and holds the end id alone; a null doc_id comes
-first; rows of one doc_id are in the order of their texts' hashes, then texts.
+first; rows of one doc_id are in the order of their texts' hashes. Repeated rows, which tie, are dealt
+at random over the ranges of their place, so that they are no hot key. A very long text is encoded
+whole in its task. An empty table gives no rows; columns besides doc_id and text are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -108,9 +111,9 @@ def write(docs: DataFrame, vocab: str, end_id: int, path: str, image_ids: int =
     """Tokenize docs (doc_id, text) and write their images, in ascending order of doc_id, under path."""
     ship(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    rows = rows.withColumn("_h", F.xxhash64("text"))
+    rows = rows.withColumn("_h", F.xxhash64("text")).withColumn("_any", F.rand(5))
     parts = max(1, rows.rdd.getNumPartitions())
-    rows = rows.repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), F.col("_h")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "_h", "text")
+    rows = rows.repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), "_h", "_any").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "_h", "_any")
 
     def images(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = memory(vocab)
