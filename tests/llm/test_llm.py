@@ -309,7 +309,7 @@ def test_lm_automaton_fails_twice_and_crosses_lanes():
     texts = ["a b c d e a b", "a b x", "zz b q", " ".join("abcdexyz"[i * i % 7] for i in range(3 * lm_scoring.LANE + 5)), "", "never a b zz"]
     given = [(i, t) for i, t in zip([k for k in range(50) if zlib.crc32(str(k).encode()) % 7 != 2][:5] + [next(k for k in range(50) if zlib.crc32(str(k).encode()) % 7 == 2)], texts, strict=True)]
     train = np.array([True] * 5 + [False])
-    block = lm_scoring.Block.of([t for _, t in given], 64)
+    block = lm_scoring.Block.of([t.encode() for _, t in given], 64)
     counts = block.counts(train)
     words = counts[0]
     n, v, one, two = words.sum(), (words > 0).sum(), (words == 1).sum(), (words == 2).sum()

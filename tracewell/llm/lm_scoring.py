@@ -17,13 +17,13 @@ Texts lie one after the other in lanes of equal length that are traversed side b
 that begins inside a text reads the two tokens before it first, which fix the state.
 
 No model is held whole anywhere. Documents are dealt where they lie into blocks of about
-BLOCK_BYTES and tokenized once. A block sends the hashes of its n-grams, sorted and delta-coded,
-with its own training counts, by hash range to buckets; a bucket adds up the counts of all blocks
-and answers each with the totals of what it asked, in its order. The block, which went the same way
-as numbers of its words, then has the part of the automaton that its texts can reach. Beyond
+BLOCK_BYTES. A block sends the hashes of its n-grams, sorted and delta-coded, with its own training
+counts, by hash range to buckets; a bucket adds up the counts of all blocks and answers each with
+the totals of what it asked, in its order. The block's texts, compressed, go the same way, so that
+they are read once; with the totals they have the part of the automaton that they can reach. Beyond
 FAN blocks, blocks go in groups of FAN: a group's n-grams are first added up by coarse ranges, and
 these sums ask the buckets, so that messages grow by blocks * buckets / FAN and stay whole.
-Words are named by 64 bits, longer n-grams by the bits that leave fewer than one in a million of
+Words are named by 64 bits, longer n-grams by the bits that leave fewer than one in 2 ** 16 of
 them a name in common.
 
 Defined cases: a null text is an empty one and has the end token alone. Repeated rows count as
@@ -43,6 +43,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -68,8 +69,8 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def name_bits(n: int) -> int:
-    """Bits of an n-gram's name, for n training tokens: at most one name in 2 ** 20 is shared."""
-    return min(64, max(40, n.bit_length() + 20))
+    """Bits of an n-gram's name, for n training tokens: at most one name in 2 ** 16 is shared."""
+    return min(64, max(44, n.bit_length() + 16))
 
 
 class Block:
@@ -101,9 +102,9 @@ class Block:
         self.keys, self.places = zip(*(np.unique(k, return_inverse=True) for k in kinds), strict=True)
 
     @classmethod
-    def of(cls, texts: list[str], bits: int) -> Block:
+    def of(cls, texts: list[bytes], bits: int) -> Block:
         names: dict[bytes, int] = {}
-        each = [[names.setdefault(w, len(names)) for w in _WORDS(t.encode().lower())] for t in texts]
+        each = [[names.setdefault(w, len(names)) for w in _WORDS(t.lower())] for t in texts]
         hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in names] + [int(END_KEY), int(BEGIN_KEY)], dtype=np.uint64)
         sizes = np.array([len(x) + 1 for x in each], np.int64)
         return cls(hashes, np.fromiter((w for x in each for w in (*x, len(names))), np.int64, int(sizes.sum())), sizes, bits)
@@ -187,15 +188,15 @@ class Automaton:
 
 
 def _narrow(x: np.ndarray) -> bytes:
-    """Unsigned integers in as few bytes as the largest needs."""
+    """Unsigned integers in as few bytes as the largest needs, all lowest bytes first, which compress better by themselves."""
     width = max(1, (int(x.max()).bit_length() + 7) // 8) if len(x) else 1
-    return bytes([width]) + np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+    return bytes([width]) + np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
 
 
 def _wide(raw: bytes) -> np.ndarray:
     width = raw[0]
     out = np.zeros(((len(raw) - 1) // width, 8), np.uint8)
-    out[:, :width] = np.frombuffer(raw, np.uint8, offset=1).reshape(-1, width)
+    out[:, :width] = np.frombuffer(raw, np.uint8, offset=1).reshape(width, -1).T
     return out.reshape(-1).view("<u8")
 
 
@@ -233,11 +234,15 @@ _ORDERS = range(3)
 def _message(keys: list[np.ndarray], counts: list[np.ndarray], bits: int) -> tuple[bytes, bytes]:
     """Names of words, pairs and triples, and their counts, as two binaries."""
     named = [_keys(k, 64 if o == 0 else bits) for o, k in zip(_ORDERS, keys, strict=True)]
-    return b"".join(len(x).to_bytes(8, "little") + x for x in named), zlib.compress(b"".join(len(x := _narrow(c)).to_bytes(8, "little") + x for c in counts), 1)
+    return _joined(named), _joined([_narrow(c) for c in counts])
+
+
+def _joined(parts: list[bytes]) -> bytes:
+    return zlib.compress(b"".join(len(x).to_bytes(8, "little") + x for x in parts), 1)
 
 
 def _parts(raw: bytes) -> list[bytes]:
-    out, at = [], 0
+    raw, out, at = zlib.decompress(raw), [], 0
     while at < len(raw):
         size = int.from_bytes(raw[at : at + 8], "little")
         out.append(raw[at + 8 : at + 8 + size])
@@ -246,7 +251,7 @@ def _parts(raw: bytes) -> list[bytes]:
 
 
 def _read(keys: bytes, counts: bytes, bits: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    return [_read_keys(x, 64 if o == 0 else bits) for o, x in zip(_ORDERS, _parts(keys), strict=True)], [_wide(x).astype(np.int64) for x in _parts(zlib.decompress(counts))]
+    return [_read_keys(x, 64 if o == 0 else bits) for o, x in zip(_ORDERS, _parts(keys), strict=True)], [_wide(x).astype(np.int64) for x in _parts(counts)]
 
 
 def _add(messages: list[tuple[list, list]]) -> tuple[list[np.ndarray], list[np.ndarray], list[list[np.ndarray]]]:
@@ -260,8 +265,15 @@ def _add(messages: list[tuple[list, list]]) -> tuple[list[np.ndarray], list[np.n
     return keys, counts, places
 
 
-def _totals(counts: list[np.ndarray]) -> bytes:
-    return zlib.compress(b"".join(len(x := _narrow(c)).to_bytes(8, "little") + x for c in counts), 1)
+def _pack(texts: list[bytes], *more: bytes) -> bytes:
+    sizes = _narrow(np.array([len(t) for t in texts], np.int64))
+    return _joined([zstandard.compress(b"".join(texts), 3), sizes, *more])
+
+
+def _unpack(raw: bytes) -> tuple[list[bytes], list[bytes]]:
+    joined, sizes, *more = _parts(raw)
+    joined, ends = zstandard.decompress(joined), np.cumsum(_wide(sizes)).tolist()
+    return [joined[a:b] for a, b in zip([0, *ends], ends, strict=False)], more
 
 
 _WIRE = "asker long, range long, target long, keys binary, counts binary, texts binary"
@@ -280,7 +292,7 @@ def _answers(rows: list[dict], bits: int) -> Iterator[tuple]:
     if asks:
         _, counts, places = _add([_read(r["keys"], r["counts"], bits) for r in asks])
         for k, r in enumerate(asks):
-            yield r["asker"], r["range"], r["asker"], None, _totals([counts[o][places[o][k]] for o in _ORDERS]), None
+            yield r["asker"], r["range"], r["asker"], None, _joined([_narrow(counts[o][places[o][k]]) for o in _ORDERS]), None
 
 
 def score(docs: DataFrame, mod: int = 7, held: int = 2, block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES, fan: int = FAN) -> DataFrame:
@@ -302,7 +314,8 @@ def score(docs: DataFrame, mod: int = 7, held: int = 2, block_bytes: int = BLOCK
         def block() -> pa.RecordBatch:
             t = pa.Table.from_batches(held)
             train, ids = t.column("train").to_numpy(), t.column("doc_id").combine_chunks()
-            b = Block.of(t.column("text").to_pylist(), bits)
+            texts = t.column("text").cast(pa.binary()).to_pylist()
+            b = Block.of(texts, bits)
             counts = b.counts(train)
             name = xxhash.xxh3_64_intdigest(f"{part} {made} ".encode() + b.hashes.tobytes() + b.token.tobytes()) - (1 << 63)
             group = name % groups
@@ -312,8 +325,7 @@ def score(docs: DataFrame, mod: int = 7, held: int = 2, block_bytes: int = BLOCK
                 some = [slice(c[r], c[r + 1]) for c in cuts]
                 if any(x.stop > x.start for x in some):
                     out.append((name, r, group * ranges + r, *_message([k[x] for k, x in zip(b.keys, some, strict=True)], [c[x] for c, x in zip(counts, some, strict=True)], bits), None))
-            kept = [_narrow(b.hashes), _narrow(b.token), _narrow(b.sizes), train.tobytes(), np.asarray(ids.is_null()).tobytes(), ids.fill_null(0).to_numpy().tobytes()]
-            out.append((name, -1, group * ranges + name % ranges, None, None, zlib.compress(b"".join(len(x).to_bytes(8, "little") + x for x in kept), 1)))
+            out.append((name, -1, group * ranges + name % ranges, None, None, _pack(texts, train.tobytes(), np.asarray(ids.is_null()).tobytes(), ids.fill_null(0).to_numpy().tobytes())))
             held.clear()
             return _batch(out)
 
@@ -354,16 +366,16 @@ def score(docs: DataFrame, mod: int = 7, held: int = 2, block_bytes: int = BLOCK
         out = [tuple({**r, "target": r["asker"]}.values()) for r in rows if r["keys"] is None]
         if asks:
             _, _, places = _add([_read(r["keys"], r["counts"], bits) for r in asks])
-            told = [_parts(zlib.decompress(x)) for x in right.sort_by("range").column("counts").to_pylist()]
+            told = [_parts(x) for x in right.sort_by("range").column("counts").to_pylist()]
             every = [np.concatenate([_wide(x[o]) for x in told]) for o in _ORDERS]
-            out += [(r["asker"], r["range"], r["asker"], None, _totals([every[o][places[o][k]] for o in _ORDERS]), None) for k, r in enumerate(asks)]
+            out += [(r["asker"], r["range"], r["asker"], None, _joined([_narrow(every[o][places[o][k]]) for o in _ORDERS]), None) for k, r in enumerate(asks)]
         return pa.Table.from_batches([_batch(out)])
 
     def traverse(group: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = sorted(pa.Table.from_batches(group).to_pylist(), key=lambda r: r["range"])
-        hashes, token, sizes, train, missing, ids = _parts(zlib.decompress(rows[0]["texts"]))
-        block = Block(_wide(hashes).astype(np.uint64), _wide(token).astype(np.int64), _wide(sizes).astype(np.int64), bits)
-        told = [_parts(zlib.decompress(r["counts"])) for r in rows[1:]]
+        texts, (train, missing, ids) = _unpack(rows[0]["texts"])
+        block = Block.of(texts, bits)
+        told = [_parts(r["counts"]) for r in rows[1:]]
         sums = [np.concatenate([_wide(x[o]) for x in told]).astype(np.int64) for o in _ORDERS]
         train = np.frombuffer(train, bool)
         if n:
