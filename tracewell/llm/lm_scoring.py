@@ -50,8 +50,8 @@ from pyspark.sql import functions as F
 
 from tracewell.llm.common import crc_rest, ship, spread, words
 
-BLOCK_BYTES = 8 << 20
-BUCKET_BYTES = 16 << 20
+BLOCK_BYTES = 5 << 20
+BUCKET_BYTES = 10 << 20
 FAN = 256
 LANE = 256
 LAMBDA = 0.4
@@ -267,7 +267,7 @@ def _add(messages: list[tuple[list, list]]) -> tuple[list[np.ndarray], list[np.n
 
 def _pack(texts: list[bytes], *more: bytes) -> bytes:
     sizes = _narrow(np.array([len(t) for t in texts], np.int64))
-    return _joined([zstandard.compress(b"".join(texts), 3), sizes, *more])
+    return _joined([zstandard.compress(b"".join(texts), 6), sizes, *more])
 
 
 def _unpack(raw: bytes) -> tuple[list[bytes], list[bytes]]:
