@@ -16,7 +16,7 @@ import re
 import numpy as np
 
 #: Pieces kept by a worker process; one is about two hundred bytes.
-KEPT = 600_000
+KEPT = 300_000
 #: What a text may hold to be cut into pieces here, besides ASCII: fixed values. No character of these combines with another one.
 _BEYOND = re.compile("[^\x00-\x1b!-\x7e ¡-§©-±´-·º»¿-ɏ‐-‧€]")
 _LETTER = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
