@@ -77,7 +77,9 @@ def months_of(totals: DataFrame, time_range: str = "all", month: str | None = No
     span = totals.agg(_first(F.min("month")).alias("a"), _first(F.max("month")).alias("b")).where("b is not null")
     if month:
         return span.select(F.lit(month).alias("month"))
-    if time_range != "all":
+    if time_range != "all" and time_range not in RANGE_MONTHS:  # an unknown range is an empty view
+        span = span.where(F.lit(False))
+    elif time_range != "all":
         span = span.withColumn("a", F.add_months("b", 1 - RANGE_MONTHS[time_range]))
     return span.select(F.explode(F.expr("sequence(a, b, interval 1 month)")).alias("d")).select(F.date_format("d", "yyyy-MM").alias("month"))
 

@@ -54,12 +54,23 @@ def participants(rows: DataFrame, sender: Column, sender_url: Column, names: Col
     return out.where(((F.col("name") != "") | (F.col("url") != "")) & (F.lower("name") != ANONYMOUS)).withColumn("name", F.coalesce(F.nullif("name", F.lit("")), F.lit("Unknown")))
 
 
+def _own(key: str) -> Column:
+    """A join key in which blanks are all different and equal to nothing, so that they are no hot key."""
+    return F.when(F.coalesce(F.col(key), F.lit("")) == "", F.concat(F.lit("\0"), F.monotonically_increasing_id().cast("string"))).otherwise(F.col(key))
+
+
 def canonical_contacts(people: DataFrame) -> DataFrame:
-    """people (row_idx, name_key, url, ...) with contact: the address, or the one last seen with the same name, or the name."""
-    by_name = people.where((F.col("url") != "") & (F.col("name_key") != "")).groupBy("name_key").agg(F.max_by("url", "row_idx").alias("_known"))
+    """people (row_idx, name_key, url, ...) with contact: the address, or the one last seen with the same name, or the name.
+
+    A person whom a message names more than once is one participant of it: the first by role, address and name.
+    """
+    by_name = people.where((F.col("url") != "") & (F.col("name_key") != "")).groupBy("name_key").agg(F.max_by("url", "row_idx").alias("_known")).withColumnRenamed("name_key", "_own")
     url = F.coalesce(F.nullif("url", F.lit("")), F.col("_known"), F.lit(""))
     key = F.when(url != "", F.concat(F.lit("url:"), url)).otherwise(F.concat(F.lit("name:"), "name_key"))
-    return people.join(by_name, "name_key", "left").withColumn("contact", key).drop("_known")
+    named = people.withColumn("_own", _own("name_key")).join(by_name, "_own", "left").withColumn("contact", key)
+    rest = [c for c in people.columns if c != "row_idx"]
+    first = F.min_by(F.struct(*rest), F.struct(*([F.col("role")] if "role" in rest else []), (F.col("url") == "").alias("z"), "url", "name_key", *(["name"] if "name" in rest else [])))
+    return named.groupBy("row_idx", "contact").agg(first.alias("_p")).select("row_idx", "_p.*", "contact")
 
 
 def contacts(events: DataFrame) -> DataFrame:
@@ -88,14 +99,16 @@ def first_rows(rows: DataFrame, key: str, order: str = "row_idx") -> DataFrame:
 
 def match_connections(people: DataFrame, connections: DataFrame) -> DataFrame:
     """people (url, name_key, ...) with connection: the row_idx of the first connection with the address, else with the name."""
-    by_url = first_rows(connections, "url").select("url", F.col("row_idx").alias("_u"))
-    by_name = first_rows(connections, "name_key").select("name_key", F.col("row_idx").alias("_n"))
-    return people.join(by_url, "url", "left").join(by_name, "name_key", "left").withColumn("connection", F.coalesce("_u", "_n")).drop("_u", "_n")
+    by_url = first_rows(connections, "url").select(F.col("url").alias("_own"), F.col("row_idx").alias("_u"))
+    by_name = first_rows(connections, "name_key").select(F.col("name_key").alias("_own"), F.col("row_idx").alias("_n"))
+    rows = people.withColumn("_own", _own("url")).join(by_url, "_own", "left").withColumn("_own", _own("name_key")).join(by_name, "_own", "left")
+    return rows.withColumn("connection", F.coalesce("_u", "_n")).drop("_u", "_n", "_own")
 
 
 def silent(connections: DataFrame, talked_urls: DataFrame, talked_names: DataFrame) -> DataFrame:
-    """Connections whose address and name never occur among messages; two anti joins, so that neither needs a nested loop."""
-    return connections.join(talked_urls, "url", "left_anti").join(talked_names, "name_key", "left_anti")
+    """Connections whose address and name never occur among messages; two anti joins, so that neither needs a nested loop. Blanks match nothing."""
+    by = lambda rows, talked, key: rows.withColumn("_own", _own(key)).join(talked.where(F.col(key) != "").select(F.col(key).alias("_own")), "_own", "left_anti")
+    return by(by(connections, talked_urls, "url"), talked_names, "name_key").select(*connections.columns)
 
 
 def fading(contact_rows: DataFrame, now: str, days: int = 30) -> DataFrame:
@@ -137,7 +150,7 @@ def pick_self(stats: DataFrame) -> DataFrame:
 
 def widest_coverage(stats: DataFrame) -> DataFrame:
     """The key with most conversations; none where that is a tie."""
-    best = stats.withColumn("m", F.max("convs").over(W.partitionBy())).where("convs = m")
+    best = stats.join(F.broadcast(stats.agg(F.max("convs").alias("convs"))), "convs", "left_semi")  # one row
     return best.agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("self_key")).where("n = 1").select("self_key")
 
 
@@ -171,9 +184,11 @@ def row_diff(a: DataFrame, b: DataFrame, key: str, columns: list[str]) -> DataFr
 
 
 def digest(rows: DataFrame) -> DataFrame:
-    """Row count and an order-free digest of all rows: equal tables, equal digests."""
-    return rows.agg(F.count(F.lit(1)).alias("rows"), F.bit_xor(F.xxhash64(F.sha2(F.to_json(F.struct(*sorted(rows.columns))), 256))).alias("digest"))
-
-
-def rounded_share(part: Column, whole: Column) -> Column:
-    return F.coalesce(js_round(F.try_divide(part, whole) * 100), F.lit(0))
+    """Row count and an order-free digest of all rows: equal tables, equal digests, repeated rows counting each.
+
+    A row's values as text, by column name, nulls marked apart; the digest is the sum of 60 bits of its MD5."""
+    kinds = dict(rows.dtypes)
+    text = lambda c: F.to_json(F.struct(F.col(f"`{c}`"))) if "<" in kinds[c] else F.col(f"`{c}`").cast("string")
+    row = F.concat_ws("\x1f", *[F.coalesce(text(c), F.lit("\x01")) for c in sorted(rows.columns)])
+    part = F.conv(F.substring(F.md5(row.cast("binary")), 1, 15), 16, 10).cast("decimal(38,0)")
+    return rows.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(part), F.lit(0).cast("decimal(38,0)")).cast("string").alias("digest"))

@@ -37,15 +37,6 @@ def query(sql: str | None = None):
     return add
 
 
-def _whole(name: str, *cuts: tuple[str, str]) -> str:
-    """The SQL of a query over a slice of its tables, with each cut replaced, so that it says the same of whole tables."""
-    sql = ORACLES[name]
-    for old, new in cuts:
-        assert old in sql, (name, old)
-        sql = sql.replace(old, new)
-    return sql
-
-
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
@@ -130,11 +121,11 @@ def peaks(spark, sf):
     return best(F.hour("ts"), "peak_hour").crossJoin(best(F.weekday("ts"), "peak_day"))
 
 
-@query("""with d as (select distinct user_id, ts::date as d from events where event_type = 'error'),
+@query("""with d as (select distinct user_id, ts::date as d from events),
 r as (select *, d - (row_number() over (partition by user_id order by d))::int as run from d), g as (select user_id, run, count(*) as n, max(d) as last from r group by all)
 select user_id, max(n) as longest, arg_max(n, last) as current from g group by user_id""")
 def streaks(spark, sf):
-    e = _table(spark, sf, "events").where("event_type = 'error'")
+    e = _table(spark, sf, "events")
     return A.streaks(e.select("user_id", F.col("ts").cast("date").alias("d")), ["user_id"])
 
 
@@ -164,25 +155,21 @@ def topic_shift(spark, sf):
     return A.topic_shift(A.month_totals(a), A.month_topics(a))
 
 
-@query("""with p as (select strftime(o_orderdate, '%Y-%m') as month, count(*) as n from orders where o_custkey % 40 = 0 group by 1), c as (select strftime(l_shipdate, '%Y-%m') as month, count(*) as n from lineitem where l_orderkey % 50 = 0 group by 1),
+@query("""with p as (select strftime(o_orderdate, '%Y-%m') as month, count(*) as n from orders group by 1), c as (select strftime(l_shipdate, '%Y-%m') as month, count(*) as n from lineitem group by 1),
 cal as (select strftime(unnest(generate_series((select greatest((select min(month) from p), (select min(month) from c)) || '-01')::timestamp, (select least((select max(month) from p), (select max(month) from c)) || '-01')::timestamp, interval 1 month)), '%Y-%m') as month),
 r as (select month, coalesce(p.n, 0)::double as p, coalesce(c.n, 0)::double as c from cal left join p using (month) left join c using (month)), b as (select *, row_number() over (order by p desc, month) as busy from r),
 f as (select count(*) as months, covar_pop(p, c) as cov, var_pop(p) * var_pop(c) as var, floor(coalesce(avg(c) filter (where p <= 2), 0) + 0.5)::bigint as quiet_avg, floor(coalesce(avg(c) filter (where busy <= 10), 0) + 0.5)::bigint as top_avg from b),
 g as (select *, case when var > 0 then cov / sqrt(var) end as corr, case when quiet_avg > 0 then floor(top_avg / quiet_avg::double + 0.5)::bigint else 0 end as multiplier from f)
 select months, floor(corr * 100 + 0.5)::bigint / 100::double as corr, quiet_avg, top_avg, multiplier, months >= 12 and coalesce(corr, 0) > 0 and multiplier >= 2 as shown from g""")
 def network_growth(spark, sf):
-    """A slice, in which months are quiet enough for the gate to open; network_growth_whole takes all rows."""
-    return _growth(spark, sf, "o_custkey % 40 = 0", "l_orderkey % 50 = 0")
-
+    by = lambda t, c: t.groupBy(D.month_key(F.col(c)).alias("month")).agg(F.count(F.lit(1)).alias("n"))
+    return A.growth(by(_table(spark, sf, "orders"), "o_orderdate"), by(_table(spark, sf, "lineitem"), "l_shipdate"))
 
-def _growth(spark, sf, orders: str = "true", lines: str = "true"):
-    by = lambda t, w, c: t.where(w).groupBy(D.month_key(F.col(c)).alias("month")).agg(F.count(F.lit(1)).alias("n"))
-    return A.growth(by(_table(spark, sf, "orders"), orders, "o_orderdate"), by(_table(spark, sf, "lineitem"), lines, "l_shipdate"))
 
-
-@query(_whole("network_growth", (" where o_custkey % 40 = 0", ""), (" where l_orderkey % 50 = 0", "")))
+@query(ORACLES["network_growth"])
 def network_growth_whole(spark, sf):
-    return _growth(spark, sf)
+    """The query under the name that it had while network_growth kept a slice; so are the others of this kind."""
+    return network_growth(spark, sf)
 
 
 def _filtered_sql(n, topic=None, share=None, day=None, hour=None) -> str:
@@ -281,15 +268,14 @@ def _connections(spark, sf):
 _CONN = "conn as (select c_custkey as row_idx, c_name as name, c_mktsegment as company, c_nationkey::varchar as position, ts from customer left join (select o_custkey, min(o_orderdate) as ts from orders group by 1) on c_custkey = o_custkey)"
 
 
-@query(f"""with {_CONN}, m as (select date_trunc('month', ts) as d, count(*) as n from conn where ts is not null and row_idx % 97 = 0 group by 1),
+@query(f"""with {_CONN}, m as (select date_trunc('month', ts) as d, count(*) as n from conn where ts is not null group by 1),
 cal as (select unnest(generate_series((select min(d) from m)::timestamp, (select max(d) from m)::timestamp, interval 1 month)) as d)
 select strftime(cal.d, '%Y-%m') as month, coalesce(n, 0) as n from cal left join m on cal.d = m.d""")
 def growth_timeline(spark, sf):
-    """A slice with months between that have no rows; growth_timeline_whole takes all connections."""
-    return P.month_counts(_connections(spark, sf).where("row_idx % 97 = 0"), "ts")
+    return P.month_counts(_connections(spark, sf), "ts")
 
 
-@query(_whole("growth_timeline", (" and row_idx % 97 = 0", "")))
+@query(ORACLES["growth_timeline"])
 def growth_timeline_whole(spark, sf):
     return P.month_counts(_connections(spark, sf), "ts")
 
@@ -339,38 +325,42 @@ def contacts(spark, sf):
     return P.contacts(P.canonical_contacts(_people(spark, sf)))
 
 
+@query(f"""with {_PEOPLE.replace("from orders)", "from orders union all select o_orderkey, (o_orderkey % 500)::varchar, o_orderdate, 'Customer  ' || o_custkey, 'customer ' || o_custkey, '', 'to' from orders)", 1)}
+select contact, count(distinct row_idx) as n, max(ts) as last_ts from ev group by contact""")
+def contacts_named_twice(spark, sf):
+    """Every message names its customer a second time, without the address and in another spelling: it counts once."""
+    p = _people(spark, sf)
+    again = p.withColumn("name", F.regexp_replace("name", "^customer ", "Customer  ")).withColumn("url", F.lit("")).withColumn("role", F.lit("to"))
+    return P.contacts(P.canonical_contacts(p.unionByName(again))).select("contact", "n", "last_ts")
+
+
 @query(f"with {_PEOPLE}, s as (select date_trunc('month', max(ts)) - interval 11 month as start from ev) select contact, count(*) as n, max(ts) as last_ts from ev, s where ts >= start group by contact order by n desc, last_ts desc, contact limit 10")
 def top_contacts(spark, sf):
     return P.top_contacts(P.canonical_contacts(_people(spark, sf)))
 
 
 @query("""with k as (select c_custkey as row_idx, 'customer ' || c_custkey as name_key, case when c_custkey % 3 = 0 then 'https://x.test/' || c_custkey else '' end as url from customer),
-t as (select distinct o_custkey from orders where o_orderdate >= timestamp '2001-01-01') select row_idx, name_key, url from k where row_idx not in (select o_custkey from t)""")
+t as (select distinct o_custkey from orders) select row_idx, name_key, url from k where row_idx not in (select o_custkey from t)""")
 def silent_connections(spark, sf):
     c = _table(spark, sf, "customer")
     url = F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("https://x.test/"), F.col("c_custkey").cast("string"))).otherwise("")
     conn = c.select(F.col("c_custkey").alias("row_idx"), F.concat(F.lit("customer "), F.col("c_custkey").cast("string")).alias("name_key"), url.alias("url"))
-    p = _people(spark, sf).where("ts >= timestamp_ntz'2001-01-01 00:00:00'")
+    p = _people(spark, sf)
     return P.silent(conn, p.where("url <> ''").select("url").distinct(), p.select("name_key").distinct()).select("row_idx", "name_key", "url")
 
 
 @query(f"""with {_PEOPLE}, c as (select contact, max(ts) as last_ts, arg_max(name_key, row_idx) as name_key from ev group by contact),
-m as (select contact, last_ts, case when ck % 4 <> 0 then ck end as connection from (select *, substring(name_key, 10)::bigint as ck from c))
+m as (select contact, last_ts, ck as connection from (select *, substring(name_key, 10)::bigint as ck from c))
 select contact, connection, last_ts, floor((epoch(timestamp '{NOW}') - epoch(last_ts)) / 86400)::bigint as days_since from m where connection is not null and floor((epoch(timestamp '{NOW}') - epoch(last_ts)) / 86400) >= 30""")
 def fading_conversations(spark, sf):
-    """A slice in which some contacts are no connections; fading_conversations_whole takes all connections."""
-    return _fading(spark, sf, "c_custkey % 4 <> 0")
-
-
-def _fading(spark, sf, connections: str = "true"):
-    conn = _table(spark, sf, "customer").where(connections).select(F.col("c_custkey").alias("row_idx"), F.concat(F.lit("customer "), F.col("c_custkey").cast("string")).alias("name_key"), F.lit("").alias("url"))
+    conn = _table(spark, sf, "customer").select(F.col("c_custkey").alias("row_idx"), F.concat(F.lit("customer "), F.col("c_custkey").cast("string")).alias("name_key"), F.lit("").alias("url"))
     ev = P.canonical_contacts(_people(spark, sf)).groupBy("contact").agg(F.max("ts").alias("last_ts"), F.max_by("name_key", "row_idx").alias("name_key"), F.lit("").alias("url"))
     return P.fading(P.match_connections(ev, conn), NOW).select("contact", "connection", "last_ts", "days_since")
 
 
-@query(_whole("fading_conversations", ("case when ck % 4 <> 0 then ck end", "ck")))
+@query(ORACLES["fading_conversations"])
 def fading_conversations_whole(spark, sf):
-    return _fading(spark, sf)
+    return fading_conversations(spark, sf)
 
 
 def _talk(spark, sf):
@@ -466,7 +456,8 @@ def row_diff_whole(spark, sf):
     return P.row_diff(d, changed, "doc_id", ["text", "lang", "source", "n_chars"])
 
 
-@query()
+@query("""with r as (select concat_ws(chr(31), coalesce(doc_id::varchar, chr(1)), coalesce(lang, chr(1)), coalesce(n_chars::varchar, chr(1)), coalesce(source, chr(1)), coalesce(text, chr(1))) as r from documents)
+select count(*) as rows, coalesce(sum(('0x' || substr(md5(r), 1, 15))::bigint), 0)::varchar as digest from r""")
 def dataset_digest(spark, sf):
     return P.digest(_table(spark, sf, "documents"))
 
@@ -618,19 +609,14 @@ def contact_keys(spark, sf):
     return s.select(F.coalesce(F.nullif(url, F.lit("")), X.name_key(F.col("s_name"))).alias("key")).distinct()
 
 
-@query("select p_partkey, case when length(p_name) > 12 then p_name[1:12] || '...' else p_name end as preview from part where p_partkey < 5")
+@query("select p_partkey, case when length(p_name) > 12 then p_name[1:12] || '...' else p_name end as preview from part")
 def preview(spark, sf):
-    """Five rows; preview_whole takes all of part."""
-    return _preview(_table(spark, sf, "part").where("p_partkey < 5"))
-
-
-def _preview(part):
-    return part.select("p_partkey", X.truncate(F.col("p_name"), 12).alias("preview"))
+    return _table(spark, sf, "part").select("p_partkey", X.truncate(F.col("p_name"), 12).alias("preview"))
 
 
-@query(_whole("preview", (" where p_partkey < 5", "")))
+@query(ORACLES["preview"])
 def preview_whole(spark, sf):
-    return _preview(_table(spark, sf, "part"))
+    return preview(spark, sf)
 
 
 @query("select o_orderkey, case when o_orderkey % 30 = 0 then '-' when o_orderkey % 30 < 12 then (o_orderkey % 30) || ' mo' else printf('%.1f', floor((o_orderkey % 30) / 12.0::double * 10 + 0.5) / 10) || ' yr' end as age, strftime(o_orderdate, '%b %Y') as month_label, strftime(date_trunc('week', o_orderdate), '%b %d') as week_label from orders")
