@@ -17,6 +17,8 @@ from tracewell.operators.stored import stored as cut  # noqa: F401
 BROADCAST_ROWS = 200_000
 SALTS = 16
 SMALL_BYTES = 32 << 20
+#: Rows that a Python worker is sent at once, in place of Spark's 10,000: whole texts are in flight on both sides.
+BATCH_ROWS = 1000
 #: Fixed value: what separates words everywhere in this package.
 SPLIT = r"[ \t-\r]+"
 
@@ -108,8 +110,10 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once a session, so that workers find it wherever they start."""
+    """Send this package to the executors, once a session, so that workers find it wherever they start; batches of texts are kept small unless the session sets their size."""
     sc = spark.sparkContext
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     if getattr(sc, "_tracewell_shipped", False):
         return
     root = Path(__file__).resolve().parents[1]

@@ -39,6 +39,9 @@ from tracewell.llm.common import crc_rest, cut, ship, spread, whole
 
 MAX_TRAIN = 20_000
 LEXICON = 400
+#: Distinct units that a task counts before it passes its counts on, and words whose weights a worker remembers.
+MOST_UNITS = 100_000
+MOST_KNOWN = 50_000
 REJECT = 0.7
 #: Plain insults, and second-person words of four languages.
 INSULTS = frozenset("idiot moron stupid loser trash scum worthless pathetic disgusting clown dumb fool imbecile jerk liar ugly filthy vermin garbage coward".split())
@@ -68,7 +71,7 @@ class Features:
 
     def weight(self, word: str) -> float:
         if (w := self.known.get(word)) is None:
-            if len(self.known) > 200_000:
+            if len(self.known) > MOST_KNOWN:
                 self.known.clear()
             w = self.known[word] = weigh(word, self.lexicon)
         return w
@@ -114,12 +117,20 @@ def learn_lexicon(train: DataFrame, toxic: int, clean: int, size: int = LEXICON)
     """Units with their log-odds of toxic against clean training documents; at most `size` of them."""
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in batches:
-            count = {0: Counter(), 1: Counter()}
-            for text, label in zip(rows.column("text").to_pylist(), rows.column("toxic").to_pylist(), strict=True):
-                count[int(label)].update(units(text or ""))
+        count = {0: Counter(), 1: Counter()}
+
+        def counted() -> pa.RecordBatch:
             names = list(count[0] | count[1])
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([count[1][u] for u in names], pa.int64()), pa.array([count[0][u] for u in names], pa.int64())], names=["unit", "a", "b"])
+            columns = [pa.array(names, pa.string()), pa.array([count[1][u] for u in names], pa.int64()), pa.array([count[0][u] for u in names], pa.int64())]
+            count[0].clear(), count[1].clear()
+            return pa.RecordBatch.from_arrays(columns, names=["unit", "a", "b"])
+
+        for rows in batches:
+            for text, label in zip(rows.column("text"), rows.column("toxic"), strict=True):
+                count[label.as_py()].update(units(text.as_py() or ""))
+                if len(count[0]) + len(count[1]) > MOST_UNITS:
+                    yield counted()
+        yield counted()
 
     odds = F.log((F.col("a") + 0.5) / (toxic + 1.0)) - F.log((F.col("b") + 0.5) / (clean + 1.0))
     support = max(3, round(0.004 * toxic))
