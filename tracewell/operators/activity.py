@@ -120,22 +120,39 @@ def filtered_months(tables: dict[str, DataFrame], f: Filters) -> DataFrame:
 
 def view(tables: dict[str, DataFrame], f: Filters) -> dict[str, DataFrame]:
     """The components of a view. Kept months are those with a filtered total; the timeline has all of the range.
-    Heatmap, topics, content mix and active days of the kept months are not scaled."""
+    Heatmap, topics, content mix and active days of the kept months are not scaled. timeline_max is the largest
+    unfiltered month of the range; topics shift only where nothing but the range is filtered; the trend goes by months. The one-row
+    components have a row a month or day to go over, whatever the number of events."""
     months = filtered_months(tables, f).where("total <> 0")
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     line = months_of(tables["totals"], f.time_range, f.month).join(months, "month", "left").select("month", zero("posts"), zero("comments"), zero("total"))
     kept = F.broadcast(months.select("month"))  # a row a month
     whole = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
+    heatmap = tables["hours"].join(kept, "month").groupBy("dow", "hour").agg(F.sum("n").alias("n"))
+    days = tables["days"].join(kept, F.substring("day", 1, 7) == kept["month"]).select("day")
+    plain = f.topic == "all" and f.share_type == "all" and f.day is None and f.hour is None
+    shift = topic_shift(months, tables["topics"].join(kept, "month"))
     return {
         "timeline": line,
+        "timeline_max": months_of(tables["totals"], f.time_range, f.month).join(tables["totals"], "month").agg(F.greatest(F.lit(1), F.coalesce(F.max("total"), F.lit(1))).cast("long").alias("timeline_max")),
+        "peaks": peak(heatmap, "hour", "peak_hour").crossJoin(peak(heatmap, "dow", "peak_day")),  # of one row each
+        "streaks": streaks(days.select(F.to_date("day").alias("d")), []),
+        "trend": trend(line),
+        "topic_shift": shift if plain else shift.where(F.lit(False)),
+        "ratio_trend": ratio_trend(months),
         "totals": months.agg(whole("posts"), whole("comments")).withColumn("total", F.col("posts") + F.col("comments")),
-        "heatmap": tables["hours"].join(kept, "month").groupBy("dow", "hour").agg(F.sum("n").alias("n")),
+        "heatmap": heatmap,
         "topics": top(tables["topics"].join(kept, "month").groupBy("topic").agg(F.sum("n").alias("n")), "n", ["topic"], 12),
         "content_mix": tables["share_types"].join(kept, "month").groupBy("share_type").agg(F.sum("n").alias("n")),
-        "active_days": tables["days"].join(kept, F.substring("day", 1, 7) == kept["month"]).select("day"),
+        "active_days": days,
     }
 
 
+def peak(heatmap: DataFrame, key: str, name: str) -> DataFrame:
+    """One row: the hour or weekday with most activity, the earlier of ties."""
+    return heatmap.groupBy(key).agg(F.sum("n").alias("n")).agg(F.max_by(key, F.struct("n", -F.col(key))).alias(name))
+
+
 def top(rows: DataFrame, by: str, ties: list[str], n: int) -> DataFrame:
     return rows.orderBy(F.desc(by), *ties).limit(n)
 

@@ -208,6 +208,11 @@ _view_query("view_topics_top12", A.Filters("12m"), "topics", _filtered_sql(12) +
 _view_query("view_content_mix", A.Filters("12m"), "content_mix", _filtered_sql(12) + " select share_type, sum(n)::bigint as n from ms semi join kept using (month) group by share_type")
 _view_query("view_active_days", A.Filters("3m"), "active_days", _filtered_sql(3) + " select day from dt semi join kept on dt.day[1:7] = kept.month")
 
+_view_query("view_timeline_max", A.Filters("12m", topic="urgent"), "timeline_max", f"with {_ACT}, {_months(12)} select greatest(1, coalesce(max(total), 1))::bigint as timeline_max from mt semi join cal using (month)")
+_view_query("view_trend", A.Filters("12m", topic="urgent"), "trend", _filtered_sql(12, topic="urgent") + f", line as ({_LINE}), r as (select *, row_number() over (order by month) as k, count(*) over () as n from line), s as (select sum(total) filter (where k <= n // 2)::bigint as older, sum(total) filter (where k > n // 2)::bigint as recent from r), p as (select *, (recent - older) / older::double * 100.0 as percent from s) select older, recent, percent, case when percent > 8 then 'up' when percent < -12 then 'down' else 'flat' end as direction from p")
+_view_query("view_peaks", A.Filters("6m", topic="low"), "peaks", _filtered_sql(6, topic="low") + ", x as (select * from mh semi join kept using (month)) select (select hour from x group by hour order by sum(n) desc, hour limit 1)::int as peak_hour, (select dow from x group by dow order by sum(n) desc, dow limit 1)::int as peak_day")
+_view_query("view_streaks", A.Filters("all", topic="tag3"), "streaks", _filtered_sql(None, topic="tag3") + ", d as (select day::date as d, day::date - (row_number() over (order by day))::int as run from dt semi join kept on dt.day[1:7] = kept.month), g as (select run, count(*) as n, max(d) as last from d group by 1) select max(n) as longest, arg_max(n, last) as current from g")
+
 
 def _weeks_sql(n: int, value: str, ratios: str = "", join: str = "") -> str:
     return f"""with {_ACT}, {_months(n)}, span as (select (min(month) || '-01')::date as a, last_day((max(month) || '-01')::date) as b from cal),
@@ -235,27 +240,38 @@ def donut_shares(spark, sf):
 
 
 @query(f"""with {_ACT}, {_months(12)}, line as (select month, coalesce(total, 0) as total, coalesce(posts, 0) as posts, coalesce(comments, 0) as comments from cal left join mt using (month)), {_TREND},
-h as (select hour as k, sum(n) as n from mh group by 1), d as (select dow as k, sum(n) as n from mh group by 1),
+kk as (select month, posts, comments, row_number() over (order by month) as k, count(*) over () as n from cal join mt using (month)),
+sp as (select month, case when k <= n // 3 then 'from' when k > n - n // 3 then 'to' end as part from kk where n >= 6), sc as (select part, topic, sum(mtopic.n) as n from mtopic join sp using (month) where part is not null group by all),
+sb as (select part, topic, row_number() over (partition by part order by n desc, topic) as x from sc), shift as (select max(topic) filter (where part = 'from') as a, max(topic) filter (where part = 'to') as b from sb where x = 1),
+rs as (select sum(comments) filter (where k <= n // 2) / nullif(sum(posts) filter (where k <= n // 2), 0)::double as prior, sum(comments) filter (where k > n - n // 2) / nullif(sum(posts) filter (where k > n - n // 2), 0)::double as recent from kk where n >= 6),
+dd as (select day::date as d, day::date - (row_number() over (order by day))::int as run from dt semi join cal on dt.day[1:7] = cal.month), ds as (select run, count(*) as n, max(d) as last from dd group by 1), cs as (select arg_max(n, last) as n from ds),
+h as (select hour as k, sum(n) as n from mh semi join cal using (month) group by 1), d as (select dow as k, sum(n) as n from mh semi join cal using (month) group by 1),
 t as (select topic, sum(mtopic.n) as n from mtopic semi join cal using (month) group by 1 order by n desc, topic limit 1),
 f as (select sum(total) as total, sum(comments) / sum(posts)::double as ratio, (sum(total) filter (where k > n // 2) - sum(total) filter (where k <= n // 2)) / (sum(total) filter (where k <= n // 2))::double * 100.0 as pct from r)
 select 0::bigint as position, 'steady-pace' as id, 'Steady Rhythm' as title, lpad((select k from h order by n desc, k limit 1)::varchar, 2, '0') || ':00' as value from f where false
 union all select row_number() over (order by o) - 1, id, title, value from (
   select 1 as o, case when hh <= 5 then 'early-bird' when hh >= 21 then 'night-owl' else 'steady-pace' end as id, case when hh <= 5 then 'Early Bird' when hh >= 21 then 'Night Owl' else 'Steady Rhythm' end as title, lpad(hh::varchar, 2, '0') || ':00' as value from (select (select k from h order by n desc, k limit 1) as hh)
   union all select 2, case when pct > 8 then 'trending-up' else 'slowing' end, case when pct > 8 then 'Trending Up' else 'Taking a Breather' end, abs(floor(pct + 0.5))::bigint::varchar from f where pct > 8 or pct < -12
+  union all select 3, 'topic-shift', 'Focus Shift', a || ' to ' || b from shift where a <> b
+  union all select 4, 'engagement-shift', 'Engagement Style Shift', case when recent / prior >= 1.5 then 'more-engaging' else 'more-posting' end from rs where prior > 0 and (recent / prior >= 1.5 or recent / prior <= 0.6)
   union all select 5, 'quiet-stretch', 'Quiet Stretch', total::varchar from f where total < 12
   union all select 6, 'super-engager', case when ratio >= 25 then 'Engagement Machine' when ratio >= 10 then 'Community Builder' else 'Super Engager' end, printf('%.1f', ratio) from f where ratio >= 3
   union all select 7, 'topic-master', 'Topic Focus', topic || ' ' || n from t
+  union all select 8, 'streak', case when n >= 100 then 'Unstoppable Streak' when n >= 30 then 'Streak Master' else 'Consistency Streak' end, n::varchar from cs where n >= 7
   union all select 9, 'weekday', 'Peak Day', ['Monday', 'Tuesday', 'Wednesday', 'Thursday', 'Friday', 'Saturday', 'Sunday'][(select k from d order by n desc, k limit 1) + 1])""")
 def insight_cards(spark, sf):
-    tables = A.cube(activity(spark, sf))
-    v = A.view(tables, A.Filters("12m"))
-    best = lambda c, name: tables["hours"].groupBy(c).agg(F.sum("n").alias("n")).agg(F.max_by(c, F.struct("n", -F.col(c))).alias(name))
-    facts = v["totals"].crossJoin(best("hour", "peak_hour")).crossJoin(best("dow", "peak_day"))
-    topic = v["topics"].agg(F.max_by("topic", F.struct("n", F.lit(0))).alias("_t"), F.max("n").alias("top_count"))
+    v = A.view(A.cube(activity(spark, sf)), A.Filters("12m"))
+    topic = v["topics"].agg(F.max("n").alias("top_count"))
     first = v["topics"].join(topic, F.col("n") == F.col("top_count")).agg(F.min("topic").alias("top_topic"), F.max("top_count").alias("top_count"))
-    t = A.trend(v["timeline"]).select(F.col("direction").alias("trend_direction"), F.col("percent").alias("trend_percent"))
-    none = F.lit(None).cast("string")
-    facts = facts.crossJoin(first).join(t, F.lit(True), "left").select("*", none.alias("shift_from"), none.alias("shift_to"), none.alias("ratio_direction"), F.lit(0).alias("current_streak"))
+    some = (
+        v["trend"].select(F.col("direction").alias("trend_direction"), F.col("percent").alias("trend_percent")),
+        v["topic_shift"].select(F.col("from_topic").alias("shift_from"), F.col("to_topic").alias("shift_to")),
+        v["ratio_trend"].select(F.col("direction").alias("ratio_direction")),
+        v["streaks"].select(F.col("current").alias("current_streak")),
+    )
+    facts = v["totals"].crossJoin(v["peaks"]).crossJoin(first)
+    for one in some:  # a row, or none
+        facts = facts.join(one, F.lit(True), "left")
     return insights(facts)
 
 
@@ -519,7 +535,7 @@ def url_list(spark, sf):
 _STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
 _TOPICS = f"""d as (select doc_id, trim(regexp_replace(regexp_replace(text || ' #Tag' || (doc_id % 7) || ' #2024', 'https?://\\S+', '', 'g'), '\\s+', ' ', 'g')) as t from documents),
 x as (select doc_id, list_concat(regexp_extract_all(t, '#([A-Za-z0-9_]+)', 1), regexp_extract_all(regexp_replace(t, '#[A-Za-z0-9_]+', ' ', 'g'), '\\b[a-zA-Z]{{3,}}\\b')) as w from d),
-y as (select doc_id, list_filter(list_distinct(list_transform(w, lambda z: lower(z))), lambda z: z not in ({_STOP})) as topics from x)"""
+y as (select doc_id, list_filter(list_transform(w, lambda z: lower(z)), lambda z, i: z not in ({_STOP}) and list_position(list_transform(w, lambda v: lower(v)), z) = i) as topics from x)"""
 
 
 def _doc_topics(spark, sf):
@@ -527,9 +543,9 @@ def _doc_topics(spark, sf):
     return _table(spark, sf, "documents").select("doc_id", X.topics(text).alias("topics"))
 
 
-@query(f"with {_TOPICS} select doc_id, len(topics)::int as n, list_contains(topics, 'tag3') as tagged from y")
+@query(f"with {_TOPICS} select doc_id, len(topics)::int as n, list_contains(topics, 'tag3') as tagged, array_to_string(topics, ' ') as topics from y")
 def topics_extract(spark, sf):
-    return _doc_topics(spark, sf).select("doc_id", F.size("topics").alias("n"), F.array_contains("topics", "tag3").alias("tagged"))
+    return _doc_topics(spark, sf).select("doc_id", F.size("topics").alias("n"), F.array_contains("topics", "tag3").alias("tagged"), F.array_join("topics", " ").alias("topics"))
 
 
 @query(f"with {_TOPICS}, z as (select unnest(topics) as topic from y) select topic, count(*) as n from z group by 1 order by n desc, topic limit 12")
