@@ -24,5 +24,17 @@ ANONYMOUS = "linkedin member"
 RANGE_DAYS = {"1m": 30, "3m": 91, "6m": 182, "12m": 365}
 RANGE_MONTHS = {"1m": 1, "3m": 3, "6m": 6, "12m": 12}
 
+# What ranges are called.
+RANGE_LABELS = {"1m": "Last month", "3m": "Last 3 months", "6m": "Last 6 months", "12m": "Last 12 months", "all": "All time"}
+
+# Stats that say nothing.
+BLANK_STATS = ("", "0", "-")
+
+# The tips of the insights and of the message screen.
+POST_TIP = "You are sharpest on %s around %02d:00. I would post then."
+TOP_AND_FADING_TIP = "%s is your liveliest thread. I would say hello to %s too, quiet for %d days now."
+TOP_TIP = "%s is your top contact in this range. I would keep that rhythm going."
+SILENT_TIP = "I count %d silent %s. One short hello can wake the list up."
+
 # Weekdays from Monday.
 WEEKDAYS = ("Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday")

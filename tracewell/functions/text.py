@@ -101,6 +101,11 @@ def topics(c: Column) -> Column:
     return F.array_except(F.array_distinct(F.concat(lower(tags), lower(words))), F.array(*map(F.lit, STOP_WORDS)))
 
 
+def hashtags(c: Column) -> Column:
+    """All hashtags in order, lower-cased, repeats kept; letters of any script."""
+    return F.transform(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(r"(?U)#(\w+)"), F.lit(1)), F.lower)
+
+
 def share_type(media: Column, link: Column) -> Column:
     return F.when(trim(media) != "", "media").when(trim(link) != "", "links").otherwise("textOnly")
 

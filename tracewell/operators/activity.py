@@ -7,6 +7,7 @@ hour, or day: views touch months, not events.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tracewell.functions.constants import RANGE_MONTHS
 from tracewell.functions.dates import day_key, js_round, month_key
+from tracewell.functions.labels import range_key
 
 SHARE_TYPES = ("textOnly", "links", "media")
 
@@ -31,12 +33,23 @@ class Filters:
     share_type: str = "all"
 
     def toggle(self, **chosen) -> Filters:
-        """The filters after a click: what is chosen is set, or cleared where it was set."""
+        """The filters after a click: what is chosen is set, or cleared where it was set. A week chooses its month."""
+        if "week" in chosen:
+            chosen = {**{k: v for k, v in chosen.items() if k != "week"}, "month": chosen["week"][:7]}
         none = {"topic": "all", "share_type": "all"}
         same = all(getattr(self, k) == v for k, v in chosen.items())
         return Filters(**{**self.__dict__, **({k: none.get(k) for k in chosen} if same else chosen)})
 
 
+    @classmethod
+    def parse(cls, params: dict[str, object]) -> Filters:
+        """Filters of a route's texts (range, topic, month, day, hour, shareType); what is no value of its filter is left unset."""
+        text = lambda k: "" if params.get(k) is None else str(params[k]).strip()
+        whole = lambda k, most: int(text(k)) if re.fullmatch(r"\d+", text(k), re.ASCII) and int(text(k)) <= most else None
+        month = text("month") if re.fullmatch(r"\d{4}-\d{2}", text("month"), re.ASCII) else None
+        return cls(range_key(params.get("range")), text("topic") or "all", month, whole("day", 6), whole("hour", 23), text("shareType") or "all")
+
+
 def month_totals(activity: DataFrame) -> DataFrame:
     rows = activity.where(F.col("ts").isNotNull()).groupBy(month_key(F.col("ts")).alias("month"))
     return rows.agg(F.count_if(F.col("kind") == "post").alias("posts"), F.count_if(F.col("kind") == "comment").alias("comments"), F.count(F.lit(1)).alias("total"))
@@ -149,8 +162,8 @@ def view(tables: dict[str, DataFrame], f: Filters) -> dict[str, DataFrame]:
 
 
 def peak(heatmap: DataFrame, key: str, name: str) -> DataFrame:
-    """One row: the hour or weekday with most activity, the earlier of ties."""
-    return heatmap.groupBy(key).agg(F.sum("n").alias("n")).agg(F.max_by(key, F.struct("n", -F.col(key))).alias(name))
+    """One row: the hour or weekday with most activity, the earlier of ties; 0 where there is none."""
+    return heatmap.groupBy(key).agg(F.sum("n").alias("n")).agg(F.coalesce(F.max_by(key, F.struct("n", -F.col(key))), F.lit(0)).alias(name))
 
 
 def top(rows: DataFrame, by: str, ties: list[str], n: int) -> DataFrame:
@@ -178,7 +191,8 @@ def streaks(days: DataFrame, by: list[str]) -> DataFrame:
     rows = days.select(*by, "d").distinct()
     run = rows.withColumn("run", F.date_sub("d", F.row_number().over(W.partitionBy(*by).orderBy("d"))))
     runs = run.groupBy(*by, "run").agg(F.count(F.lit(1)).alias("n"), F.max("d").alias("last"))
-    return runs.groupBy(*by).agg(F.max("n").alias("longest"), F.max_by("n", "last").alias("current"))
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    return runs.groupBy(*by).agg(zero(F.max("n")).alias("longest"), zero(F.max_by("n", "last")).alias("current"))
 
 
 def trend(line: DataFrame) -> DataFrame:

@@ -22,6 +22,13 @@ def month_counts(rows: DataFrame, ts: str) -> DataFrame:
     return months.join(counts, "d", "left").select(F.date_format("d", "yyyy-MM").alias("month"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
+def months_as_written(rows: DataFrame, column: str) -> DataFrame:
+    """Rows by the first two parts of a date as text; no date is checked, texts without two parts are left out."""
+    part = lambda k: F.coalesce(F.get(F.split(F.col(column), "-"), F.lit(k)), F.lit(""))
+    rows = rows.where((part(0) != "") & (part(1) != "")).groupBy(F.concat_ws("-", part(0), part(1)).alias("month"))
+    return rows.agg(F.count(F.lit(1)).alias("n"))
+
+
 def connection_stats(rows: DataFrame, ts: str, now: str) -> DataFrame:
     age = F.greatest(F.lit(0.0), F.floor(F.datediff(F.lit(now).cast("date"), F.min(F.col(ts)).cast("date")) / 30.44 + 0.5)).cast("long")
     return rows.agg(F.count(F.lit(1)).alias("total"), F.coalesce(age, F.lit(0)).alias("age_months"))
@@ -54,7 +61,7 @@ def participants(rows: DataFrame, sender: Column, sender_url: Column, names: Col
     return out.where(((F.col("name") != "") | (F.col("url") != "")) & (F.lower("name") != ANONYMOUS)).withColumn("name", F.coalesce(F.nullif("name", F.lit("")), F.lit("Unknown")))
 
 
-def _own(key: str) -> Column:
+def own_key(key: str) -> Column:
     """A join key in which blanks are all different and equal to nothing, so that they are no hot key."""
     return F.when(F.coalesce(F.col(key), F.lit("")) == "", F.concat(F.lit("\0"), F.monotonically_increasing_id().cast("string"))).otherwise(F.col(key))
 
@@ -67,7 +74,7 @@ def canonical_contacts(people: DataFrame) -> DataFrame:
     by_name = people.where((F.col("url") != "") & (F.col("name_key") != "")).groupBy("name_key").agg(F.max_by("url", "row_idx").alias("_known")).withColumnRenamed("name_key", "_own")
     url = F.coalesce(F.nullif("url", F.lit("")), F.col("_known"), F.lit(""))
     key = F.when(url != "", F.concat(F.lit("url:"), url)).otherwise(F.concat(F.lit("name:"), "name_key"))
-    named = people.withColumn("_own", _own("name_key")).join(by_name, "_own", "left").withColumn("contact", key)
+    named = people.withColumn("_own", own_key("name_key")).join(by_name, "_own", "left").withColumn("contact", key)
     rest = [c for c in people.columns if c != "row_idx"]
     first = F.min_by(F.struct(*rest), F.struct(*([F.col("role")] if "role" in rest else []), (F.col("url") == "").alias("z"), "url", "name_key", *(["name"] if "name" in rest else [])))
     return named.groupBy("row_idx", "contact").agg(first.alias("_p")).select("row_idx", "_p.*", "contact")
@@ -101,13 +108,13 @@ def match_connections(people: DataFrame, connections: DataFrame) -> DataFrame:
     """people (url, name_key, ...) with connection: the row_idx of the first connection with the address, else with the name."""
     by_url = first_rows(connections, "url").select(F.col("url").alias("_own"), F.col("row_idx").alias("_u"))
     by_name = first_rows(connections, "name_key").select(F.col("name_key").alias("_own"), F.col("row_idx").alias("_n"))
-    rows = people.withColumn("_own", _own("url")).join(by_url, "_own", "left").withColumn("_own", _own("name_key")).join(by_name, "_own", "left")
+    rows = people.withColumn("_own", own_key("url")).join(by_url, "_own", "left").withColumn("_own", own_key("name_key")).join(by_name, "_own", "left")
     return rows.withColumn("connection", F.coalesce("_u", "_n")).drop("_u", "_n", "_own")
 
 
 def silent(connections: DataFrame, talked_urls: DataFrame, talked_names: DataFrame) -> DataFrame:
     """Connections whose address and name never occur among messages; two anti joins, so that neither needs a nested loop. Blanks match nothing."""
-    by = lambda rows, talked, key: rows.withColumn("_own", _own(key)).join(talked.where(F.col(key) != "").select(F.col(key).alias("_own")), "_own", "left_anti")
+    by = lambda rows, talked, key: rows.withColumn("_own", own_key(key)).join(talked.where(F.col(key) != "").select(F.col(key).alias("_own")), "_own", "left_anti")
     return by(by(connections, talked_urls, "url"), talked_names, "name_key").select(*connections.columns)
 
 
@@ -118,8 +125,9 @@ def fading(contact_rows: DataFrame, now: str, days: int = 30) -> DataFrame:
 
 
 def conversations(messages: DataFrame) -> DataFrame:
-    """conv, whether the self started it, and whether another one answered, from conv, ts, row_idx, is_self."""
-    return messages.groupBy("conv").agg(F.min_by("is_self", F.struct("ts", "row_idx")).alias("started_by_self"), F.bool_or(~F.col("is_self")).alias("got_reply"))
+    """conv, whether the self started it, and whether another one answered, from conv, ts, row_idx, is_self (null: nobody known)."""
+    mine = F.coalesce("is_self", F.lit(False))
+    return messages.groupBy("conv").agg(F.min_by(mine, F.struct("ts", "row_idx")).alias("started_by_self"), F.bool_or(F.coalesce(~F.col("is_self"), F.lit(False))).alias("got_reply"))
 
 
 def outreach(messages: DataFrame) -> DataFrame:

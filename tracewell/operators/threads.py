@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tracewell.functions import text as X
 from tracewell.functions.constants import ANONYMOUS
-from tracewell.operators.people import names_to_urls, tail, widest_coverage
+from tracewell.operators.people import names_to_urls, own_key, tail, widest_coverage
 from tracewell.operators.stored import stored
 
 UNKNOWN = "Unknown"
@@ -41,7 +41,7 @@ def mentions(messages: DataFrame) -> DataFrame:
 
 def with_contacts(people: DataFrame, known: DataFrame) -> DataFrame:
     """people with contact: by address, by conversation where anonymous, by the address known for the name, or by name."""
-    rows = people.join(known.select("name_key", F.col("url").alias("_known")), "name_key", "left")
+    rows = people.withColumn("_own", own_key("name_key")).join(known.select(F.col("name_key").alias("_own"), F.col("url").alias("_known")), "_own", "left").drop("_own")
     by_name = F.coalesce(F.concat(F.lit("url:"), "_known"), X.contact_key(F.lit(""), F.col("name_key")))
     return rows.withColumn("contact", F.when(F.col("url") != "", F.concat(F.lit("url:"), "url")).when(F.col("anonymous"), F.concat(F.lit("anon:"), "scope")).otherwise(by_name)).drop("_known")
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tracewell.functions import dates as D
 from tracewell.functions import text as X
+from tracewell.operators import messages as M
 from tracewell.operators import people as P
 from tracewell.operators import threads as T
 from tracewell.operators.stored import stored
@@ -38,13 +39,36 @@ def contact_keys(connections: DataFrame) -> DataFrame:
     return connections.select(F.explode(F.array("name_key", "url")).alias("contact_key")).where("contact_key <> ''").distinct()
 
 
-def events_of(messages: DataFrame) -> DataFrame:
-    """A row a message and person other than the account's owner, with contact; ties about the owner go to who is seen first."""
+def people_of(messages: DataFrame) -> DataFrame:
+    """A row a message and person with a name or an address, mine where it is the account's owner; ties about the owner go to who is seen first."""
     people = P.participants(messages, F.col("sender"), F.col("sender_url"), F.col("names"), F.col("urls")).withColumn("name_key", X.name_key(F.col("name")))
     people = stored(people.select("row_idx", F.when(F.col("conv") != "", F.col("conv")).otherwise(F.concat(F.lit("row-"), F.col("row_idx").cast("string"))).alias("conv"), "ts", "role", "name", "name_key", "url"))
     self = P.pick_self(P.self_stats(people, "url")).select(F.col("self_key").alias("_url")).crossJoin(P.pick_self(P.self_stats(people, "name_key")).select(F.col("self_key").alias("_name")))
     mine = F.coalesce(F.col("url") == F.col("_url"), F.lit(False)) | F.coalesce(F.col("name_key") == F.col("_name"), F.lit(False))
-    return P.canonical_contacts(people.crossJoin(F.broadcast(self)).where(~mine).drop("_url", "_name"))
+    return people.crossJoin(F.broadcast(self)).withColumn("mine", mine).drop("_url", "_name")
+
+
+def events_of(messages: DataFrame) -> DataFrame:
+    """A row a message and person other than the account's owner, with contact."""
+    return P.canonical_contacts(people_of(messages).where("not mine").drop("mine"))
+
+
+def outreach_of(messages: DataFrame) -> DataFrame:
+    """One row, the outreach funnel of dated messages. A sender without a name of their own neither replies nor counts as received."""
+    people = stored(people_of(messages))
+    conv = F.when(F.col("conv") != "", F.col("conv")).otherwise(F.concat(F.lit("row-"), F.col("row_idx").cast("string")))
+    senders = people.where("role = 'from'").select("row_idx", F.col("mine").alias("is_self"))
+    rows = messages.select("row_idx", conv.alias("conv"), "ts").join(senders, "row_idx", "left")
+    sides = P.canonical_contacts(people.where("not mine").drop("mine")).select("row_idx", "contact", "role").join(senders, "row_idx", "left")
+    written = sides.where("is_self or role = 'from'").select("contact", (F.col("role") == "to").alias("is_self"))
+    return P.outreach(rows).crossJoin(M.unanswered(written))  # of one row each
+
+
+def message_facts(rows: DataFrame) -> DataFrame:
+    """One row: what `messages.skipped` counts of a messages export, undated rows included."""
+    dated = messages_of(rows)
+    all_rows = rows.select("row_idx").join(dated.select("row_idx", "ts"), "row_idx", "left")
+    return M.skipped(all_rows, people_of(dated).where("not mine"))
 
 
 def panels(messages: DataFrame, connections: DataFrame, now: str, key: str = "12m", n: int = 10) -> dict[str, DataFrame]:

@@ -12,12 +12,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.functions import dates as D
+from tracewell.functions import labels as LB
 from tracewell.functions import text as X
 from tracewell.functions.constants import MISSING, STOP_WORDS
 from tracewell.operators import activity as A
 from tracewell.operators import explore as E
+from tracewell.operators import messages as M
 from tracewell.operators import people as P
 from tracewell.operators import threads as T
+from tracewell.plans import relationships as R
+from tracewell.plans import report as RP
 from tracewell.plans.insights import insights
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -639,3 +643,120 @@ def preview_whole(spark, sf):
 def labels_text(spark, sf):
     o = _table(spark, sf, "orders")
     return o.select("o_orderkey", D.network_age(F.col("o_orderkey") % 30).alias("age"), F.date_format("o_orderdate", "MMM yyyy").alias("month_label"), F.date_format(F.date_trunc("week", "o_orderdate"), "MMM dd").alias("week_label"))
+
+
+def _dated(spark, sf):
+    """Orders as messages; every seventh has no time, every tenth names nobody."""
+    o = _table(spark, sf, "orders")
+    rows = o.select(F.col("o_orderkey").alias("row_idx"), F.when(F.col("o_orderkey") % 7 > 0, F.col("o_orderdate")).alias("ts"), F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("contact"))
+    return rows, rows.where("row_idx % 10 > 0 and contact is not null")
+
+
+_DATED = "m as (select o_orderkey as row_idx, case when o_orderkey % 7 > 0 then o_orderdate end as ts, 'c' || o_custkey as contact from orders)"
+
+
+@query(f"with {_DATED} select count(*) filter (where ts is null) as undated, count(*) filter (where ts is not null and not named) as nobody, count(*) filter (where ts is null or not named) as skipped from (select *, row_idx % 10 > 0 and contact is not null as named from m)")
+def messages_skipped(spark, sf):
+    return M.skipped(*_dated(spark, sf))
+
+
+@query(f"""with {_DATED}, b as (select date_trunc('month', max(ts)) as z from m), cal as (select unnest(generate_series((select z - interval 11 month from b)::timestamp, (select z from b)::timestamp, interval 1 month)) as d),
+c as (select date_trunc('month', ts) as d, count(*) as n from m where ts is not null group by 1) select strftime(cal.d, '%Y-%m') as month, coalesce(n, 0) as n from cal left join c on c.d = cal.d""")
+def messages_monthly(spark, sf):
+    return M.monthly(_dated(spark, sf)[0])
+
+
+@query(f"""with {_DATED}, s as (select date_trunc('month', max(ts)) - interval 2 month as start from m), r as (select * from m, s where ts >= start)
+select count(distinct row_idx) as messages, count(*) as mentions, count(distinct contact) as people from r""")
+def messages_in_range(spark, sf):
+    return M.range_totals(_dated(spark, sf)[0], "3m")
+
+
+@query(f"with {_DATED} select arg_max(contact, (n, -f)) as contact from (select contact, count(*) as n, min(row_idx) as f from m where contact is not null group by 1)")
+def most_frequent_contact(spark, sf):
+    return M.most_frequent(_dated(spark, sf)[0], "contact")
+
+
+@query("with s as (select o_custkey, bool_or(o_orderstatus = 'F') as sent, bool_or(o_orderstatus <> 'F') as got from orders group by 1) select count(*) filter (where sent and not got) as unanswered_contacts from s")
+def unanswered_contacts(spark, sf):
+    return M.unanswered(_table(spark, sf, "orders").select(F.col("o_custkey").alias("contact"), (F.col("o_orderstatus") == "F").alias("is_self")))
+
+
+_FUNNEL = """mail as (select o_orderkey as row_idx, o_orderdate as ts, case when o_orderkey % 10 > 0 then 'c' || o_custkey else 'row-' || o_orderkey end as conv, o_custkey, o_orderstatus = 'F' as me from orders where o_custkey is not null),
+cv as (select conv, arg_min(me, (ts, row_idx)) as s, bool_or(not me) as r from mail group by conv), un as (select count(*) as unanswered_contacts from (select o_custkey from mail group by 1 having bool_and(me))),
+sd as (select count(*) filter (where me) as sent, count(*) filter (where not me) as received from mail),
+funnel as (select count(*) as conversations, count(*) filter (where s) as self_initiated, count(*) filter (where not s) as others_initiated, count(*) filter (where s and r) as replied, count(*) filter (where s and r) / nullif(count(*) filter (where s), 0)::double as reply_rate from cv)"""
+
+
+@query(f"with {_FUNNEL} select funnel.*, sent, received, sent / nullif(received, 0)::double as sent_received_ratio, unanswered_contacts from funnel, sd, un")
+def outreach_of_mail(spark, sf):
+    """The whole funnel of a mailbox whose owner is told from it."""
+    return R.outreach_of(_mail(spark, sf))
+
+
+@query(f"""with {_FUNNEL}, f as (select *, sent / nullif(received, 0)::double as ratio from funnel, sd, un)
+select 0::bigint as position, 'Outreach initiated' as label, self_initiated::varchar as value from f union all select 1, 'Reply rate', coalesce(floor(reply_rate * 100 + 0.5)::bigint || '%', 'N/A') from f
+union all select 2, 'Unanswered', unanswered_contacts::varchar from f union all select 3, 'Sent : received', coalesce(printf('%.1f : 1', ratio), 'N/A') from f""")
+def all_time_stats(spark, sf):
+    """Without network growth, which months without connections do not show."""
+    none = spark.createDataFrame([], "multiplier long, shown boolean")
+    return RP.all_time_tiles(none, R.outreach_of(_mail(spark, sf)))
+
+
+@query("""with c as (select case c_custkey % 5 when 0 then '' when 1 then 'soon' when 2 then '2024-' else '2024-' || lpad((c_custkey % 14)::varchar, 2, '0') || '-01' end as d from customer)
+select d[1:7] as month, count(*) as n from c where length(d) > 6 group by 1""")
+def connections_as_written(spark, sf):
+    """Months 00 and 13 count as they are written."""
+    k = F.col("c_custkey")
+    d = F.when(k % 5 == 0, "").when(k % 5 == 1, "soon").when(k % 5 == 2, "2024-").otherwise(F.concat(F.lit("2024-"), F.lpad((k % 14).cast("string"), 2, "0"), F.lit("-01")))
+    return P.months_as_written(_table(spark, sf, "customer").select(d.alias("d")), "d")
+
+
+@query(f"""with {_CONN}, r as (select * from conn where ts >= date '{NOW}' - interval 365 day), t as (select company from r group by 1 order by count(*) desc, max(row_idx) limit 1),
+a as (select count(*) as total, greatest(0, floor(date_diff('day', min(ts)::date, date '{NOW}') / 30.44::double + 0.5))::bigint as age from conn)
+select total, (select count(*) from r) as recent, coalesce((select company from t), '-') as top_company, case when age <= 0 then '-' when age < 12 then age || ' mo' else printf('%.1f', age / 12.0::double) || ' yr' end as network_age from a""")
+def connections_view_stats(spark, sf):
+    return RP.connections_view(_connections(spark, sf), NOW)["stats"]
+
+
+@query(f"""with {_CONN}, r as (select * from conn where ts >= date '{NOW}' - interval 365 day) select position as value, count(*) as n, min(row_idx) as first_idx from r where trim(position) <> '' group by 1 order by n desc, first_idx limit 10""")
+def connections_view_positions(spark, sf):
+    return RP.connections_view(_connections(spark, sf), NOW)["positions"]
+
+
+@query(f"""with {_ACT}, {_months(12)}, l as (select month from cal left join mt using (month)) select strftime((min(month) || '-01')::date, '%b %Y') || ' to ' || strftime((max(month) || '-01')::date, '%b %Y') as caption from l""")
+def report_caption(spark, sf):
+    return RP.caption(A.timeline(A.month_totals(activity(spark, sf)), "12m"))
+
+
+@query(f"""with {_ACT}, {_months(12)}, k as (select mt.* from cal join mt using (month)), hh as (select hour, sum(n) as n from mh join k using (month) group by 1), d as (select distinct day::date as d from dt join k on day[1:7] = k.month),
+g as (select d, d - row_number() over (order by d)::int as g from d), s as (select count(*) as n, max(d) as z from g group by g), f as (select sum(posts) as p, sum(comments) as c from k)
+select 0::bigint as position, 'Posts' as label, p::varchar as value from f union all select 1, 'Comments', c::varchar from f union all select 2, 'Total activity', (p + c)::varchar from f
+union all select 3, 'Peak hour', lpad((select hour from hh order by n desc, hour limit 1)::varchar, 2, '0') || ':00' union all select 4, 'Current streak', (select n from s order by z desc limit 1) || ' days'""")
+def activity_stats(spark, sf):
+    return RP.activity_tiles(A.view(A.cube(activity(spark, sf)), A.Filters("12m")))
+
+
+@query("select 'Customers' as label, 'Customers (top 10 of ' || (select count(*) from customer) || ')' as title union all select 'Regions', 'Regions'")
+def report_titles(spark, sf):
+    return RP.titles({"Customers": _table(spark, sf, "customer"), "Regions": _table(spark, sf, "region")})
+
+
+@query("""with t as (select c_name as name from customer order by c_acctbal desc, c_custkey desc, c_name limit 1), s as (select s_name as name, s_suppkey as d from supplier order by s_suppkey desc, s_name limit 1)
+select t.name || ' is your liveliest thread. I would say hello to ' || s.name || ' too, quiet for ' || s.d || ' days now.' as tip from t, s""")
+def message_tip(spark, sf):
+    top = _table(spark, sf, "customer").select(F.col("c_name").alias("name"), F.col("c_acctbal").alias("n"), F.col("c_custkey").alias("last_ts"))
+    fading = _table(spark, sf, "supplier").select(F.col("s_name").alias("name"), F.col("s_suppkey").alias("days_since"), F.col("s_suppkey").alias("last_ts"))
+    return RP.message_tip(top, _table(spark, sf, "region"), fading)
+
+
+@query("select doc_id, array_to_string(list_transform(regexp_extract_all(text || ' #Tag' || (doc_id % 7) || ' ##x #Tag1', '#([0-9A-Za-z_]+)', 1), lambda x: lower(x)), ' ') as tags from documents")
+def hashtags(spark, sf):
+    text = F.concat(F.col("text"), F.lit(" #Tag"), (F.col("doc_id") % 7).cast("string"), F.lit(" ##x #Tag1"))
+    return _table(spark, sf, "documents").select("doc_id", F.array_join(X.hashtags(text), " ").alias("tags"))
+
+
+@query("""select o_orderkey, case when o_orderkey % 5 = 0 then 'N/A' else floor((o_orderkey % 97) / 96.0::double * 100 + 0.5)::bigint || '%' end as rate, case when o_orderkey % 5 = 0 then 'N/A' else printf('%.1f : 1', (o_orderkey % 97) / 5.0::double) end as ratio from orders""")
+def rate_texts(spark, sf):
+    k = F.when(F.col("o_orderkey") % 5 > 0, F.col("o_orderkey") % 97)
+    return _table(spark, sf, "orders").select("o_orderkey", LB.reply_rate(k / 96).alias("rate"), LB.sent_ratio(k / 5).alias("ratio"))
