@@ -1,6 +1,7 @@
 """Export files from bytes to cleaned tables, workbooks and streams."""
 
 import zipfile
+from dataclasses import replace
 from xml.etree import ElementTree
 
 import pytest
@@ -13,8 +14,8 @@ from tracewell.functions import text as X
 from tracewell.operators.clean import clean
 from tracewell.plans import export
 from tracewell.sources import xlsx
-from tracewell.sources.export_csv import ExportError, decode, header_of, kind_of, read_export, rows_of
-from tracewell.sources.specs import SPECS
+from tracewell.sources.export_csv import ExportError, decode, header_of, kind_of, read_export, records, rows_of
+from tracewell.sources.specs import SPECS, WEB_LIMITS
 from tracewell.streaming.activity import windowed_counts
 
 HEAD = "Date,ShareLink,ShareCommentary,SharedUrl,MediaUrl,Visibility\n"
@@ -109,6 +110,7 @@ def test_date_functions(spark):
     assert values(spark, lambda c: D.clean_utc(c, "America/New_York"), ["2026-07-05 02:00:00"]) == ["2026-07-04 22:00:00"]
     assert values(spark, D.clean_long_date, ["30 Feb 2026", "1 SEPTEMBER 2025", "01 sep 2025", "x"]) == ["30 Feb 2026", "2025-09-01", "2025-09-01", "x"]
     assert [str(x) for x in values(spark, D.parse_stamp, ["2026-01-05 07", "2026-01-05 07:08", "2026-01-05", "2026-13-05 07"])] == ["2026-01-05 07:00:00", "2026-01-05 07:08:00", "None", "None"]
+    assert [str(x) for x in values(spark, D.parse_either, ["2026-01-05 07", "2026-01-05 07:08", " 2026-01-05 "])] == ["None", "2026-01-05 07:08:00", "2026-01-05 00:00:00"]
     assert [str(x) for x in values(spark, D.parse_day, ["2026-02-28", "2026-2-3", "2026-02-30", "0000-01-01", None])] == ["2026-02-28", "None", "None", "None", "None"]
 
 
@@ -139,3 +141,58 @@ def test_stream_counts_are_the_batch_ones(spark, tmp_path):
     query = windowed_counts(stream, by=("event_type",)).writeStream.outputMode("complete").format("memory").queryName("counts").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     query.awaitTermination()
     assert sorted(map(tuple, spark.table("counts").collect())) == sorted(map(tuple, windowed_counts(source, by=("event_type",)).collect()))
+
+
+def test_limits_of_files(spark, tmp_path):
+    text = "Date,Link,Message\n2026-01-05 23:30:00,l,hello\n2026-01-06 10:00:00,l,longer text\n"
+    (tmp_path / "c.csv").write_text(text)
+    read = lambda **limits: read_export(spark, str(tmp_path / "c.csv"), "comments", **limits).count()
+    assert read(max_chars=len(text), max_columns=3, max_field_chars=19, max_rows=2) == 2 and read(**WEB_LIMITS) == 2
+    for limits, message in (({"max_chars": len(text) - 1}, "characters"), ({"max_columns": 2}, "columns"), ({"max_field_chars": 18}, "field"), ({"max_rows": 1}, "rows")):
+        with pytest.raises(ExportError, match=message):
+            read(**limits)
+    with pytest.raises(ValueError, match="negative"):
+        read(max_columns=-1)
+
+
+def test_rows_past_a_limit_are_not_read(spark):
+    rows = records("Date,Link,Message\na,b,c\nd,e,f\n\"never closed", replace(SPECS["comments"], max_rows=1))
+    assert next(rows) == ["a", "b", "c"]
+    with pytest.raises(ExportError, match="more than 1 rows"):
+        next(rows)
+
+
+def test_wrong_files_are_named():
+    with pytest.raises(ExportError, match="looks like a comments file"):
+        next(records("Date,Link,Message\n", SPECS["messages"]))
+    with pytest.raises(ExportError, match="does not look like a messages export"):
+        next(records("a,b\n", SPECS["messages"]))
+
+
+def test_times_of_files_are_turned_to_a_zone(spark, tmp_path):
+    (tmp_path / "c.csv").write_text("Date,Link,Message\n2026-01-05 23:30:00,l,hello\n")
+    at = lambda **zone: export.cleaned(spark, str(tmp_path / "c.csv"), "comments", **zone).first()["Date"]
+    assert at() == "2026-01-05 23:30:00" and at(zone="Africa/Lagos") == "2026-01-06 00:30:00"
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+    try:
+        assert at() == "2026-01-06 08:30:00"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_command_line(spark, tmp_path, capsys, monkeypatch):
+    (tmp_path / "c.csv").write_text("Date,Link,Message\n2026-01-05 23:30:00,l,hello\n")
+    args = ["comments", "--input", str(tmp_path / "c.csv"), "--output", str(tmp_path / "out"), "--format", "parquet"]
+    assert cli.main([*args, "--time-zone", "Africa/Lagos"]) == 0 and spark.read.parquet(str(tmp_path / "out")).first()["Date"] == "2026-01-06 00:30:00"
+    assert cli.main([*args, "--max-input-bytes", "5", "--log-format", "json"]) == 1 and '"level": "ERROR"' in capsys.readouterr().err
+    monkeypatch.setenv("TRACEWELL_MAX_INPUT_BYTES", "5")
+    assert cli.main(args) == 1 and cli.main([*args, "--max-input-bytes", "0"]) == 0
+    monkeypatch.setenv("TRACEWELL_MAX_INPUT_BYTES", "-5")
+    assert cli.main(args) == 0 and cli.main([]) == 0
+    for wrong in (["--max-rows", "-1"], ["--version"], ["nothing"]):
+        with pytest.raises(SystemExit):
+            cli.main([*args[:1], *wrong] if wrong[0] != "nothing" else wrong)
+    monkeypatch.setattr(cli, "_run", lambda a: (_ for _ in ()).throw(KeyboardInterrupt))
+    assert cli.main(args) == 130
+    monkeypatch.setattr(cli, "_run", lambda a: 1 // 0)
+    assert cli.main(args) == 1

@@ -10,6 +10,7 @@ from tracewell.functions.text import is_missing, trim
 
 _STAMP = r"^(\d{4})-(\d{2})-(\d{2}) (\d{2}):(\d{2}):(\d{2})\z"
 _LOCAL = r"^(\d{4})-(\d{2})-(\d{2}) (\d{2})(?::(\d{2})(?::(\d{2}))?)?\z"
+_MINUTE = r"^(\d{4})-(\d{2})-(\d{2}) (\d{2}):(\d{2})(?::(\d{2}))?\z"
 _DAY = r"^\d{4}-\d{2}-\d{2}\z"
 
 
@@ -23,10 +24,10 @@ def _stamp(c: Column, pattern: str) -> Column:
     return F.when(c.rlike(pattern) & (p[0] >= 1), F.try_make_timestamp_ntz(p[0], p[1], p[2], p[3], F.coalesce(p[4], zero), F.coalesce(p[5], zero)))
 
 
-def clean_utc(c: Column, zone: str = "UTC") -> Column:
-    """A UTC time as text in a zone; text that is no time stays, without a trailing UTC."""
+def clean_utc(c: Column, zone: str | None = None) -> Column:
+    """A UTC time as text in a zone, the session's if none is named; text that is no time stays, without a trailing UTC."""
     bare = trim(F.regexp_replace(trim(c), r"(?i) UTC\z", ""))
-    local = F.convert_timezone(F.lit("UTC"), F.lit(zone), _stamp(bare, _STAMP))
+    local = F.convert_timezone(F.lit("UTC"), F.lit(zone) if zone else F.current_timezone(), _stamp(bare, _STAMP))
     return F.when(is_missing(c), F.lit("")).otherwise(F.coalesce(F.date_format(local, "yyyy-MM-dd HH:mm:ss"), bare))
 
 
@@ -56,8 +57,14 @@ def parse_day(c: Column) -> Column:
     return F.when(text.rlike(_DAY) & (F.substring(text, 1, 4) > "0000"), text.try_cast("date"))
 
 
+def parse_minute(c: Column) -> Column:
+    """`YYYY-MM-DD HH:MM[:SS]` as a time without zone, else null."""
+    return _stamp(trim(c), _MINUTE)
+
+
 def parse_either(c: Column) -> Column:
-    return F.coalesce(parse_stamp(c), parse_day(trim(c)).cast("timestamp_ntz"))
+    """A time with minutes, or a day."""
+    return F.coalesce(parse_minute(c), parse_day(trim(c)).cast("timestamp_ntz"))
 
 
 def month_key(ts: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,7 +26,7 @@ class Result:
 def cleaned(spark: SparkSession, path: str, kind: str = "auto", **limits) -> DataFrame:
     rows = read_export(spark, path, kind, **limits)
     found = next(s for s in SPECS.values() if set(s.names) <= set(rows.columns) and len(s.names) == len(rows.columns) - 2)
-    return clean(rows, found)
+    return clean(rows, replace(found, zone=limits.get("zone")))
 
 
 def clean_to_workbook(spark: SparkSession, path: str, out: str, kind: str, **limits) -> Result:

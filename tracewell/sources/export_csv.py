@@ -7,7 +7,10 @@ files spreads over the cluster. Rows carry the file and their place in it.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from dataclasses import replace
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -33,57 +36,71 @@ def decode(content: Column, encoding: str | None = None) -> Column:
     return F.regexp_replace(text, "^﻿", "")
 
 
-def rows_of(text: str, escape: str | None = None) -> list[list[str]]:
-    """The rows of a CSV text. A quote opens a section only at a field's start; an escape makes the next character plain."""
-    rows, row, cell, quoted, i, n = [], [], [], False, 0, len(text)
-    started = False
+def iter_rows(text: str, escape: str | None = None, max_columns: int = 0, max_field_chars: int = 0) -> Iterator[list[str]]:
+    """The rows of a CSV text, one at a time, without the blank ones at its end. A quote opens a section only at a
+    field's start; an escape makes the next character plain. Characters between special ones are taken as one piece."""
+    special = re.compile('[,"\\r\\n' + re.escape(escape or "") + "]")
+    row, cell, quoted, started, i, n, blank = [], [], False, False, 0, len(text), []
 
     def end_cell():
         nonlocal started
         row.append("".join(cell))
+        if max_field_chars and len(row[-1]) > max_field_chars:
+            raise ExportError(f"a field of more than {max_field_chars} characters")
+        if max_columns and len(row) > max_columns:
+            raise ExportError(f"a row of more than {max_columns} columns")
         cell.clear()
         started = False
 
     while i < n:
-        c = text[i]
+        found = special.search(text, i)
+        stop = found.start() if found else n
+        if stop > i:
+            cell.append(text[i:stop])
+            started, i = True, stop
+            continue
+        c, after = text[i], text[i + 1 : i + 2]
+        i += 1
         if escape and c == escape:
-            if i + 1 == n:
+            if not after:
                 raise ExportError("the text ends in an escape")
-            cell.append(text[i + 1])
-            started, i = True, i + 2
-            continue
-        if quoted:
-            if c == '"' and text[i + 1 : i + 2] == '"':
+            cell.append(after)
+            started, i = True, i + 1
+        elif quoted:
+            if c != '"':
+                cell.append("" if c == "\r" and after == "\n" else c)
+            elif after == '"':
                 cell.append('"')
                 i += 1
-            elif c == '"':
-                quoted = False
-            elif c == "\r" and text[i + 1 : i + 2] == "\n":
-                pass
             else:
+                quoted = False
+        elif c == '"':
+            if started:
                 cell.append(c)
-        elif c == '"' and not started:
-            quoted = started = True
-        elif c == ",":
-            end_cell()
-        elif c in "\r\n":
+            quoted = quoted or not started
+            started = True
+        else:
             end_cell()
-            rows.append(row)
+            if c == ",":
+                continue
+            i += c == "\r" and after == "\n"
+            blank.append(row)
+            if any(row):
+                yield from blank
+                blank = []
             row = []
-            if c == "\r" and text[i + 1 : i + 2] == "\n":
-                i += 1
-        else:
-            cell.append(c)
-            started = True
-        i += 1
     if quoted:
         raise ExportError("a quote is not closed")
     if row or cell or started:
         end_cell()
-        rows.append(row)
-    while rows and not any(rows[-1]):
-        rows.pop()
-    return rows
+        if any(row):
+            yield from blank
+            yield row
+
+
+def rows_of(text: str, escape: str | None = None) -> list[list[str]]:
+    """All rows of a CSV text."""
+    return list(iter_rows(text, escape))
 
 
 def header_of(row: list[str]) -> list[str]:
@@ -99,28 +116,31 @@ def kind_of(text: str) -> str | None:
     for part in (text[: 1 << 16], text):
         for spec in SPECS.values():
             try:
-                names = header_of(rows_of(part, spec.escape)[spec.skip_rows])
-            except (ExportError, IndexError):
+                names = header_of(next(islice(iter_rows(part, spec.escape), spec.skip_rows, None), []))
+            except ExportError:
                 continue
-            if set(spec.required) <= set(names):
+            if names and set(spec.required) <= set(names):
                 return spec.kind
     return None
 
 
 def records(text: str, spec: ExportSpec) -> Iterator[list[str]]:
     """Cells in the spec's column order; absent columns are blank. ExportError where the file is not the spec's."""
-    rows = rows_of(text, spec.escape)[spec.skip_rows :]
-    if not rows:
+    if spec.max_chars and len(text) > spec.max_chars:
+        raise ExportError(f"more than {spec.max_chars} characters")
+    rows = islice(iter_rows(text, spec.escape, spec.max_columns, spec.max_field_chars), spec.skip_rows, None)
+    first = next(rows, None)
+    if first is None:
         raise ExportError("the file is empty")
-    names = header_of(rows[0])
+    names = header_of(first)
     lacking = [c for c in spec.required if c not in names]
     if lacking:
         other = kind_of(text)
-        hint = f" This looks like a {other} file." if other and other != spec.kind else ""
+        hint = f" This looks like a {other} file, not {spec.kind}." if other and other != spec.kind else "" if other else f" This does not look like a {spec.kind} export."
         raise ExportError(f"Missing required columns: {', '.join(lacking)}.{hint}")
     place = [names.index(c) if c in names else None for c in spec.names]
     seen = 0
-    for row in rows[1:]:
+    for row in rows:
         if all(c.strip().upper() in ("", *MISSING) for c in row):
             continue
         if len(row) > len(names):
@@ -161,8 +181,6 @@ def read_export(spark: SparkSession, path: str, kind: str = "auto", **limits) ->
         kind = kind_of(first.t) if first else None
         if kind is None:
             raise ExportError("the file is none of " + ", ".join(SPECS))
-    from dataclasses import replace
-
     spec = replace(SPECS[kind], **limits)
     rows = read_raw(spark, path, spec)
     bad = rows.where("error is not null").select("file", "error").first()

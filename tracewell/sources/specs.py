@@ -24,7 +24,8 @@ class ColumnSpec:
 
 @dataclass(frozen=True)
 class ExportSpec:
-    """row_required: columns a row must have; any_of: columns not all of which may be missing."""
+    """row_required: columns a row must have; any_of: columns not all of which may be missing. A limit of 0 is none; zone is
+    what times are turned to, the session's where it is not named."""
 
     kind: str
     columns: tuple[ColumnSpec, ...]
@@ -35,10 +36,14 @@ class ExportSpec:
     encoding: str | None = None
     max_bytes: int = 100 * 1024 * 1024
     max_rows: int = 1_000_000
+    max_chars: int = 0
+    max_columns: int = 0
+    max_field_chars: int = 0
+    zone: str | None = None
     names: tuple[str, ...] = field(init=False)
 
     def __post_init__(self):
-        if self.max_bytes < 0 or self.max_rows < 0:
+        if min(self.max_bytes, self.max_rows, self.max_chars, self.max_columns, self.max_field_chars) < 0:
             raise ValueError("limits must not be negative; 0 disables one")
         object.__setattr__(self, "names", tuple(c.name for c in self.columns))
 
@@ -47,6 +52,10 @@ class ExportSpec:
         return tuple(c.name for c in self.columns if c.required)
 
 
+# The limits of files that a browser takes.
+WEB_LIMITS = {"max_bytes": 80 * 1024 * 1024, "max_chars": 60 * 1024 * 1024, "max_rows": 500_000, "max_columns": 256, "max_field_chars": 200_000}
+
+
 def _spec(kind: str, columns: list[ColumnSpec], **rest) -> ExportSpec:
     rest.setdefault("row_required", tuple(c.name for c in columns if c.required))
     return ExportSpec(kind, tuple(columns), **rest)
