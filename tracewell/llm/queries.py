@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from tracewell.llm import decontaminate, lm_scoring, ngram_join, ogg, packing, quality_rules, source_mixing, token_counts, token_files, toxicity, url_filter
+from tracewell.llm import decontaminate, lexical_search, lm_scoring, ngram_join, ogg, packing, quality_rules, source_mixing, token_counts, token_files, toxicity, url_filter
 from tracewell.llm.common import table
 
 #: The id that ends a document.
@@ -60,11 +60,15 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(table(spark, sf_dir, "documents"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_quality_rules, op3_token_files, op4_lm_scoring, op5_token_counts, op6_packing, op7_source_mixing, op8_url_filter, op9_ogg, op10_ngram_join, op12_decontamination)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_quality_rules, op3_token_files, op4_lm_scoring, op5_token_counts, op6_packing, op7_source_mixing, op8_url_filter, op9_ogg, op10_ngram_join, op11_lexical_search, op12_decontamination)}
 
 #: Registered besides the ten.
 VARIANTS: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op8_url_filter_whole": op8_url_filter_whole}
@@ -75,5 +79,6 @@ ORACLES: dict[str, str] = {
     "op7_source_mixing": source_mixing.oracle(),
     "op8_url_filter": url_filter.oracle(),
     "op10_ngram_join": ngram_join.oracle(),
+    "op11_lexical_search": lexical_search.oracle(),
     "op12_decontamination": decontaminate.oracle(),
 }
