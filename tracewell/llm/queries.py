@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from tracewell.llm import decontaminate, lexical_search, lm_scoring, ngram_join, ogg, packing, quality_rules, source_mixing, token_counts, token_files, toxicity, url_filter
+from tracewell.llm import conversation_trie, decontaminate, lexical_search, lm_scoring, ngram_join, ogg, packing, quality_rules, source_mixing, token_counts, token_files, toxicity, url_filter
 from tracewell.llm.common import table
 
 #: The id that ends a document.
@@ -68,7 +68,11 @@ def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_quality_rules, op3_token_files, op4_lm_scoring, op5_token_counts, op6_packing, op7_source_mixing, op8_url_filter, op9_ogg, op10_ngram_join, op11_lexical_search, op12_decontamination)}
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.trie(table(spark, sf_dir, "conversations"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_quality_rules, op3_token_files, op4_lm_scoring, op5_token_counts, op6_packing, op7_source_mixing, op8_url_filter, op9_ogg, op10_ngram_join, op11_lexical_search, op12_decontamination, op13_conversation_trie)}
 
 #: Registered besides the ten.
 VARIANTS: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op8_url_filter_whole": op8_url_filter_whole}
@@ -81,4 +85,5 @@ ORACLES: dict[str, str] = {
     "op10_ngram_join": ngram_join.oracle(),
     "op11_lexical_search": lexical_search.oracle(),
     "op12_decontamination": decontaminate.oracle(),
+    "op13_conversation_trie": conversation_trie.oracle(),
 }
