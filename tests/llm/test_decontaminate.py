@@ -15,8 +15,9 @@ DOCS, ITEMS = "doc_id long, text string, item_id string, _raw string, spans long
 
 def expected(text, items):
     """n_words, n_hit, items and spans by comparing every window with every place."""
-    at = [(m.start(), m.end()) for m in WORD.finditer((text or "").translate(LOWER))]
-    found = [(text or "").translate(LOWER)[a:b] for a, b in at]
+    low = (text or "").translate(LOWER)
+    at = [(m.start(), m.end()) for m in WORD.finditer(low)]
+    found = [low[a:b] for a, b in at]
     hit, names = set(), set()
     for name, said in items:
         w = WORD.findall((said or "").translate(LOWER))
