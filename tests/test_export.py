@@ -127,7 +127,7 @@ def test_workbook(spark, tmp_path):
     assert [p.name for p in out.parent.iterdir()] == ["x.xlsx"]
 
 
-def test_command_line(spark, tmp_path, monkeypatch, capsys):
+def test_command_line_of_all_kinds(spark, tmp_path, monkeypatch, capsys):
     (tmp_path / "Shares.csv").write_text(HEAD + "2026-01-30 10:00:00,l,x,,,\n")
     assert cli.main(["all", "--input-dir", str(tmp_path), "--output-dir", str(tmp_path / "o"), "--skip-missing"]) == 0
     assert (tmp_path / "o" / "shares.xlsx").exists() and "shares: 1 rows" in capsys.readouterr().out
