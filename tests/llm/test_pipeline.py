@@ -1,6 +1,7 @@
 """The pipeline's stages, one after the other, on the smallest tables."""
 
 import corpus_pipeline
+from tracewell.llm import queries
 
 DATA = "/root/testdata/sf0.001"
 
@@ -18,3 +19,13 @@ def test_stages_and_run(spark):
         ids = kept[-1]
     packed = corpus_pipeline.run(spark, DATA).toPandas()
     assert set(packed.doc_id) == kept[-1] and packed.groupby("sequence_id").length.sum().max() <= 1024
+
+
+def test_settings_of_the_session_stay(spark):
+    """No operator changes how the session's later queries run."""
+    keys = [k for k in ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")]
+    before = [spark.conf.get(k) for k in keys]
+    assert before[0] == "10000"
+    for name in ("op1_toxicity", "op3_token_files", "op5_token_counts", "op12_decontamination"):
+        queries.QUERIES[name](spark, DATA).count()
+    assert [spark.conf.get(k) for k in keys] == before

@@ -8,8 +8,8 @@ documents, so it follows the corpus's languages. Trees and the isotonic curve ar
 MLlib on at most MAX_TRAIN labelled rows, the ones with the least hashes; every document's
 features are counted where it lies, and texts are never shuffled. Of the labelled rows of each
 label every fourth is kept for the isotonic curve: neither lexicon nor trees see it, at any size.
-The lexicon holds the LEXICON strongest of the units above its odds and support (on sf0.1 all 249
-of them, from 2,636 training rows; the bound keeps what is sent to the tasks small).
+The lexicon holds every unit above its odds and support (on sf0.1 249 of them, from 2,636 training
+rows). A unit needs 4 in 1,000 of the toxic training rows, so MAX_TRAIN bounds the lexicon as well.
 
 Defined cases: a null text is an empty one: all features are 0 and it gets the score of that.
 Where one label is missing among the rows of the trees or of the curve, the score is the share of
@@ -26,7 +26,6 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -38,7 +37,6 @@ from pyspark.sql import functions as F
 from tracewell.llm.common import crc_rest, cut, ship, spread, whole
 
 MAX_TRAIN = 20_000
-LEXICON = 400
 #: Distinct units that a task counts before it passes its counts on, and words whose weights a worker remembers.
 MOST_UNITS = 100_000
 MOST_KNOWN = 50_000
@@ -113,8 +111,8 @@ class Features:
         ]
 
 
-def learn_lexicon(train: DataFrame, toxic: int, clean: int, size: int = LEXICON) -> dict[str, float]:
-    """Units with their log-odds of toxic against clean training documents; at most `size` of them."""
+def learn_lexicon(train: DataFrame, toxic: int, clean: int) -> dict[str, float]:
+    """Units with their log-odds of toxic against clean training documents."""
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = {0: Counter(), 1: Counter()}
@@ -135,7 +133,7 @@ def learn_lexicon(train: DataFrame, toxic: int, clean: int, size: int = LEXICON)
     odds = F.log((F.col("a") + 0.5) / (toxic + 1.0)) - F.log((F.col("b") + 0.5) / (clean + 1.0))
     support = max(3, round(0.004 * toxic))
     found = train.select("text", "toxic").mapInArrow(tally, "unit string, a long, b long").groupBy("unit").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    found = found.where(F.col("a") >= support).withColumn("odds", odds).where("odds >= 2.5").orderBy(F.desc(F.col("a") * F.col("odds")), "unit").limit(size)
+    found = found.where(F.col("a") >= support).withColumn("odds", odds).where("odds >= 2.5")
     return {r.unit: r.odds for r in found.collect()}
 
 
@@ -157,9 +155,9 @@ class Model:
 def _features(lexicon: dict[str, float], text: Column) -> Column:
     make = Features(lexicon)
 
-    @F.pandas_udf("array<double>")
-    def features(texts: pd.Series) -> pd.Series:
-        return texts.map(make)
+    @F.arrow_udf("array<double>")  # one text at a time: a batch is never turned to Python's strings whole
+    def features(texts: pa.Array) -> pa.Array:
+        return pa.array([make(t.as_py()) for t in texts], pa.list_(pa.float64()))
 
     return features(F.coalesce(text, F.lit("")))
 
