@@ -27,3 +27,9 @@ def test_blank_keys_match_nothing(spark):
 def test_unknown_range_is_an_empty_view(spark):
     totals = spark.createDataFrame([("2024-01", 1)], "month string, posts long")
     assert activity.months_of(totals, "5y").count() == 0 and activity.months_of(totals, "all").count() == 1
+
+
+def test_digest_tells_values_apart(spark):
+    of = lambda *row: people.digest(spark.createDataFrame([row], "a string, b string")).first().digest
+    rows = [("a\x1fb", "c"), ("a", "b\x1fc"), (None, "c"), ("\x01", "c"), ("-", "c"), ("", "c"), ("1:", "c"), ("", "1:c"), ("-1:c", ""), (None, None), ("é", "c")]
+    assert len({of(*r) for r in rows}) == len(rows)

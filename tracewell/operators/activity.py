@@ -16,8 +16,11 @@ from pyspark.sql import functions as F
 
 from tracewell.functions.constants import RANGE_MONTHS
 from tracewell.functions.dates import day_key, js_round, month_key
-from tracewell.functions.labels import range_key
+from tracewell.functions.labels import month_label, range_key
+from tracewell.operators.stored import stored
 
+#: Ranges whose timeline goes by weeks.
+WEEKLY_RANGES = ("1m", "3m")
 SHARE_TYPES = ("textOnly", "links", "media")
 
 
@@ -76,8 +79,47 @@ def day_totals(activity: DataFrame) -> DataFrame:
     return rows.agg(F.count_if(F.col("kind") == "post").alias("posts"), F.count_if(F.col("kind") == "comment").alias("comments"), F.count(F.lit(1)).alias("total"), *kinds)
 
 
-def cube(activity: DataFrame) -> dict[str, DataFrame]:
-    return {"totals": month_totals(activity), "topics": month_topics(activity), "hours": month_hours(activity), "share_types": month_share_types(activity), "days": day_totals(activity)}
+#: A cell of the cube: what an event counts for, by table.
+_CELL = "struct<level:string,day:string,dow:int,hour:int,name:string>"
+
+
+def cube_cells(activity: DataFrame) -> DataFrame:
+    """All tables of the cube in one: a row a table (level) and key, from one scan of the events and one shuffle.
+
+    An event is repeated for each cell that it counts for: its month, its day, its weekday and hour,
+    its share type where it is a post, and each of its topics."""
+    month, day = month_key(F.col("ts")), day_key(F.col("ts"))
+    post, comment = F.col("kind") == "post", F.col("kind") == "comment"
+    cell = lambda level, **at: F.struct(F.lit(level).alias("level"), *[at.get(k, F.lit(None)).cast(t).alias(k) for k, t in (("day", "string"), ("dow", "int"), ("hour", "int"), ("name", "string"))])
+    none = F.array().cast(f"array<{_CELL}>")
+    cells = F.concat(
+        F.array(cell("totals"), cell("days", day=day), cell("hours", dow=F.weekday("ts"), hour=F.hour("ts"))),
+        F.when(post, F.array(cell("share_types", name=F.col("share_type")))).otherwise(none),
+        F.coalesce(F.transform(F.array_distinct("topics"), lambda t: cell("topics", name=t)), none),
+    )
+    rows = activity.where(F.col("ts").isNotNull()).select("ts", month.alias("month"), post.alias("post"), comment.alias("comment"), "share_type", F.explode(cells).alias("cell"))
+    kinds = [F.count_if(F.col("post") & (F.col("share_type") == s)).alias(f"n_{s}") for s in SHARE_TYPES]
+    return rows.groupBy("month", "cell").agg(F.count_if("post").alias("posts"), F.count_if("comment").alias("comments"), F.count(F.lit(1)).alias("total"), *kinds, F.min("ts").alias("first"), F.max("ts").alias("last")).select("month", "cell.*", "posts", "comments", "total", *[f"n_{s}" for s in SHARE_TYPES], "first", "last")
+
+
+def cube(activity: DataFrame, joins: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The stored cube by its tables, which views read instead of events. `facts` has totals and the first and last time;
+    with joins (month, n), the new connections by month, `growth` says how they follow the posts, where there is activity."""
+    cells = stored(cube_cells(activity))
+    of = lambda level, *columns: cells.where(F.col("level") == level).select(*columns)
+    n = F.col("total").alias("n")
+    tables = {
+        "totals": of("totals", "month", "posts", "comments", "total"),
+        "topics": of("topics", "month", F.col("name").alias("topic"), n),
+        "hours": of("hours", "month", "dow", "hour", n),
+        "share_types": of("share_types", "month", F.col("name").alias("share_type"), n),
+        "days": of("days", "day", "posts", "comments", "total", *[f"n_{s}" for s in SHARE_TYPES]),
+        "facts": of("totals", "*").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("posts", "comments", "total")], F.min("first").alias("first"), F.max("last").alias("last")),
+    }
+    if joins is not None:
+        tables["joins"] = joins
+        tables["growth"] = growth(tables["totals"].select("month", F.col("posts").alias("n")), joins)
+    return tables
 
 
 def _first(month: str | Column) -> Column:
@@ -134,8 +176,10 @@ def filtered_months(tables: dict[str, DataFrame], f: Filters) -> DataFrame:
 def view(tables: dict[str, DataFrame], f: Filters) -> dict[str, DataFrame]:
     """The components of a view. Kept months are those with a filtered total; the timeline has all of the range.
     Heatmap, topics, content mix and active days of the kept months are not scaled. timeline_max is the largest
-    unfiltered month of the range; topics shift only where nothing but the range is filtered; the trend goes by months. The one-row
+    unfiltered month of the range; topics shift only where nothing but the range is filtered. Of WEEKLY_RANGES timeline,
+    timeline_max and trend go by weeks. points are the timeline's key, label and value, whatever it goes by. The one-row
     components have a row a month or day to go over, whatever the number of events."""
+    by_week = f.time_range in WEEKLY_RANGES
     months = filtered_months(tables, f).where("total <> 0")
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     line = months_of(tables["totals"], f.time_range, f.month).join(months, "month", "left").select("month", zero("posts"), zero("comments"), zero("total"))
@@ -145,12 +189,19 @@ def view(tables: dict[str, DataFrame], f: Filters) -> dict[str, DataFrame]:
     days = tables["days"].join(kept, F.substring("day", 1, 7) == kept["month"]).select("day")
     plain = f.topic == "all" and f.share_type == "all" and f.day is None and f.hour is None
     shift = topic_shift(months, tables["topics"].join(kept, "month"))
+    if by_week:
+        line = week_line(tables, f)
+        points, most = line.select(F.col("week").alias("key"), "label", "value"), week_line(tables, Filters(f.time_range, month=f.month)).select("value")
+    else:
+        points = line.select(F.col("month").alias("key"), month_label(F.col("month")).alias("label"), F.col("total").alias("value"))
+        most = months_of(tables["totals"], f.time_range, f.month).join(tables["totals"], "month").select(F.col("total").alias("value"))
     return {
         "timeline": line,
-        "timeline_max": months_of(tables["totals"], f.time_range, f.month).join(tables["totals"], "month").agg(F.greatest(F.lit(1), F.coalesce(F.max("total"), F.lit(1))).cast("long").alias("timeline_max")),
+        "points": points,
+        "timeline_max": most.agg(F.greatest(F.lit(1), F.coalesce(F.max("value"), F.lit(1))).cast("long").alias("timeline_max")),
         "peaks": peak(heatmap, "hour", "peak_hour").crossJoin(peak(heatmap, "dow", "peak_day")),  # of one row each
         "streaks": streaks(days.select(F.to_date("day").alias("d")), []),
-        "trend": trend(line),
+        "trend": trend(points.select(F.col("key").alias("month"), F.col("value").alias("total"))),
         "topic_shift": shift if plain else shift.where(F.lit(False)),
         "ratio_trend": ratio_trend(months),
         "totals": months.agg(whole("posts"), whole("comments")).withColumn("total", F.col("posts") + F.col("comments")),
@@ -186,6 +237,12 @@ def weekly(tables: dict[str, DataFrame], f: Filters) -> DataFrame:
     return weeks.join(sums, "week", "left").select(F.date_format("week", "yyyy-MM-dd").alias("week"), js_round(F.coalesce("v", F.lit(0.0))).alias("value"))
 
 
+def week_line(tables: dict[str, DataFrame], f: Filters) -> DataFrame:
+    """week, month, label and value of each week of weekly(); a week belongs to the month of its Monday."""
+    weeks = weekly(tables, f)
+    return weeks.select("week", F.substring("week", 1, 7).alias("month"), F.date_format(F.to_date("week"), "MMM dd").alias("label"), "value")
+
+
 def streaks(days: DataFrame, by: list[str]) -> DataFrame:
     """Longest run of days and the run that ends at the latest day, for distinct days (`d`) by keys."""
     rows = days.select(*by, "d").distinct()

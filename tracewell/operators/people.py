@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from tracewell.functions.constants import ANONYMOUS, RANGE_DAYS, RANGE_MONTHS
 from tracewell.functions.dates import days_since, js_round
+from tracewell.operators.ordinal import numbered
+from tracewell.operators.stored import stored
 
 
 def month_counts(rows: DataFrame, ts: str) -> DataFrame:
@@ -93,9 +95,11 @@ def range_start(events: DataFrame, key: str) -> DataFrame:
 
 
 def top_contacts(events: DataFrame, key: str = "12m", n: int = 10) -> DataFrame:
+    """The contacts with most messages of a range; ties go by the last time, then by the latest name, before the list is cut."""
     rows = events.crossJoin(F.broadcast(range_start(events, key))).where("start is null or ts >= start")
     counts = rows.groupBy("contact").agg(F.count(F.lit(1)).alias("n"), F.max("ts").alias("last_ts"))
-    return counts.orderBy(F.desc("n"), F.desc("last_ts"), "contact").limit(n)
+    named = counts.join(events.groupBy("contact").agg(F.max_by("name", "row_idx").alias("_name")), "contact")
+    return named.orderBy(F.desc("n"), F.desc("last_ts"), "_name", "contact").limit(n).drop("_name")
 
 
 def first_rows(rows: DataFrame, key: str, order: str = "row_idx") -> DataFrame:
@@ -191,12 +195,36 @@ def row_diff(a: DataFrame, b: DataFrame, key: str, columns: list[str]) -> DataFr
     )
 
 
+def positional_diff(a: DataFrame, b: DataFrame, first: int = 3) -> tuple[DataFrame, DataFrame]:
+    """(counts, places) of two tables compared row by row in the order in which they are read; they need no key.
+
+    counts is one row: rows_differ and cells_differ of rows that both have, only_a and only_b. places has row, column, a and b
+    (as text) of the first cells that differ. Columns are taken by place too; those that one table lacks differ where the other has a value.
+    """
+    width = max(len(a.columns), len(b.columns))
+
+    def cells(df: DataFrame, name: str) -> DataFrame:
+        texts = [F.col(f"`{c}`").cast("string") for c in df.columns] + [F.lit(None).cast("string")] * (width - len(df.columns))
+        return numbered(df.select(F.array(*texts).alias(name)), "row")
+
+    both = cells(a, "a").join(cells(b, "b"), "row", "full_outer")
+    at = F.sequence(F.lit(0), F.lit(width - 1))
+    unlike = F.filter(at, lambda k: ~F.get("a", k).eqNullSafe(F.get("b", k)))
+    rows = stored(both.withColumn("unlike", F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), unlike)).where("a is null or b is null or size(unlike) > 0"))
+    counts = rows.agg(
+        F.count_if(F.size("unlike") > 0).alias("rows_differ"), F.coalesce(F.sum(F.when(F.col("unlike").isNotNull(), F.size("unlike"))), F.lit(0)).alias("cells_differ"), F.count_if(F.col("b").isNull()).alias("only_a"), F.count_if(F.col("a").isNull()).alias("only_b")
+    )
+    wide = rows.where("size(unlike) > 0").orderBy("row").limit(first).select("row", F.explode("unlike").alias("column"), "a", "b")
+    return counts, wide.orderBy("row", "column").limit(first).select("row", "column", F.get("a", F.col("column")).alias("a"), F.get("b", F.col("column")).alias("b"))
+
+
 def digest(rows: DataFrame) -> DataFrame:
     """Row count and an order-free digest of all rows: equal tables, equal digests, repeated rows counting each.
 
-    A row's values as text, by column name, nulls marked apart; the digest is the sum of 60 bits of its MD5."""
+    A row's values as text, by column name, each after its length, which no null has; the digest is the sum of 60 bits of its MD5."""
     kinds = dict(rows.dtypes)
     text = lambda c: F.to_json(F.struct(F.col(f"`{c}`"))) if "<" in kinds[c] else F.col(f"`{c}`").cast("string")
-    row = F.concat_ws("\x1f", *[F.coalesce(text(c), F.lit("\x01")) for c in sorted(rows.columns)])
+    value = lambda t: F.coalesce(F.concat(F.length(t).cast("string"), F.lit(":"), t), F.lit("-"))
+    row = F.concat(F.lit(""), *[value(text(c)) for c in sorted(rows.columns)])
     part = F.conv(F.substring(F.md5(row.cast("binary")), 1, 15), 16, 10).cast("decimal(38,0)")
     return rows.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(part), F.lit(0).cast("decimal(38,0)")).cast("string").alias("digest"))

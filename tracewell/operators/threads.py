@@ -12,7 +12,7 @@ pre-aggregated before each shuffle. Where the account's owner cannot be told, di
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.functions import text as X
@@ -87,32 +87,73 @@ def aliases(people: DataFrame, messages: DataFrame, known: DataFrame) -> DataFra
     return lent.join(known, "name_key", "left_anti")
 
 
-def within_budget(threads: DataFrame, people: int = 10) -> DataFrame:
+#: Threads that the budget looks at in one go.
+FOLD = 4096
+
+
+def _fold(rows: list, seen: dict[str, int], taken: list, people: int) -> None:
+    """Take the threads in order while the people they add fit; seen says which of the taken ones added a person."""
+    for r in rows:
+        new = [m for m in dict.fromkeys(r.members) if m not in seen]
+        if new and len(seen) + len(new) <= people:
+            seen.update((m, len(taken)) for m in new)
+            taken.append(r)
+        if len(seen) >= people:
+            return
+
+
+def within_budget(threads: DataFrame, people: int = 10, block: int = FOLD) -> DataFrame:
     """thread and members (their number) of the threads taken, newest first, while the people they add fit the budget.
 
-    A thread that does not fit is passed over. Each round finds the next thread that adds someone, an
-    aggregate over all threads; there are at most `people` rounds, and the driver holds their members alone.
-    Equal times are ordered by thread. threads has thread, last_ts and members (array).
+    A thread that does not fit is passed over, for good: people seen later leave as much less room as they leave
+    it fewer to add. So only threads that add somebody and fit matter, and of equal sets of members the first. The next
+    `block` of them, a sort that every partition cuts to that many, are folded in order; what they add leaves few or
+    none, and a round more is made only where some are left, at most one a person of the budget. The others are taken
+    where all their members were seen before them. Equal times are ordered by thread. threads has thread, last_ts and members (array).
     """
     rows = stored(threads.select("thread", "last_ts", "members"))
-    seen: list[str] = []
-    taken = F.lit(False)
-    at, full = None, False
-    later = lambda x: (F.col("last_ts") < F.lit(x.last_ts)) | ((F.col("last_ts") == F.lit(x.last_ts)) & (F.col("thread") > x.thread))
-    while not full:
-        held = F.array(*map(F.lit, seen)).cast("array<string>")
-        added = F.size(F.array_except("members", held))
-        ahead = rows if at is None else rows.where(later(at))
-        found = ahead.where((added > 0) & (added <= people - len(seen))).orderBy(F.desc("last_ts"), "thread").limit(1).collect()
-        inside = (added == 0) & (later(at) if at is not None else F.lit(True))
-        if not found:
-            taken = taken | inside
+    time = F.unix_micros(F.col("last_ts").cast("timestamp")) if dict(rows.dtypes)["last_ts"].startswith("timestamp") else F.col("last_ts").cast("long")
+    order = F.struct(F.coalesce(-time, F.lit(2**63 - 1)).alias("t"), F.col("thread"))
+    sets = rows.where(F.size(F.array_distinct("members")) <= people).groupBy(F.array_sort(F.array_distinct("members")).alias("members")).agg(F.min(order).alias("at"))
+    seen: dict[str, int] = {}
+    taken: list = []
+    while len(seen) < people:
+        added = F.size(F.array_except("members", F.array(*map(F.lit, seen)).cast("array<string>")))
+        found = sets.where((added > 0) & (added <= people - len(seen))).where(F.lit(True) if not taken else F.col("at") > _at(taken[-1])).orderBy("at").limit(block).collect()
+        _fold(found, seen, taken, people)
+        if len(found) < block:
             break
-        taken = taken | (inside & ~later(found[0])) | (F.col("thread") == found[0].thread)
-        at = found[0]
-        seen += [m for m in dict.fromkeys(at.members) if m not in seen]
-        full = len(seen) >= people
-    return rows.where(taken).select("thread", F.size("members").alias("members"))
+    if not taken:
+        return rows.where(F.size("members") == 0).select("thread", F.size("members").alias("members"))
+    # A person counts from the thread that added them; one who was never added from none.
+    since = F.create_map(*[F.lit(x) for m, k in seen.items() for x in (m, k)])
+    reached = sum((order >= _at(r)).cast("int") for r in taken)  # how many of the taken ones are not after a thread
+    known = F.forall("members", lambda m: F.coalesce(F.element_at(since, m) < reached, F.lit(False)))
+    inside = known & ((order <= _at(taken[-1])) if len(seen) >= people else F.lit(True))
+    return rows.where(inside).select("thread", F.size("members").alias("members"))
+
+
+def _at(row) -> Column:
+    return F.struct(F.lit(row["at"]["t"]).cast("long").alias("t"), F.lit(row["at"]["thread"]).alias("thread"))
+
+
+def thread_sets(people: DataFrame, group: str = "conv") -> DataFrame:
+    """group, thread and size: groups of mentions (contact) with the same people have one thread, the least of them.
+
+    A set is told by two sums of its members' hashes and their number, which partial aggregates merge, so no row grows with
+    a group's members. Groups of one sum are then compared with the first of them, member by member; one that
+    differs, by a clash of hashes, is a thread of its own.
+    """
+    each = stored(people.select(F.col(group).alias("group"), "contact").distinct())
+    whole = lambda c: F.sum(c.cast("decimal(20,0)"))
+    marks = stored(each.groupBy("group").agg(F.count(F.lit(1)).alias("size"), whole(F.xxhash64("contact")).alias("a"), whole(F.xxhash64(F.lit(7), "contact")).alias("b")))
+    first = marks.groupBy("size", "a", "b").agg(F.min("group").alias("first"), F.count(F.lit(1)).alias("n"))
+    placed = stored(marks.join(first, ["size", "a", "b"]).select("group", "size", "first", "n"))
+    several = placed.where("n > 1 and group <> first")
+    own = each.join(several.select("group", "first"), "group").select("first", "contact", "group")
+    model = each.join(several.select(F.col("first").alias("group")).distinct(), "group").select(F.col("group").alias("first"), "contact")
+    equal = own.join(model, ["first", "contact"]).groupBy("group").agg(F.count(F.lit(1)).alias("same"))
+    return placed.join(equal, "group", "left").select("group", F.when((F.col("n") == 1) | (F.col("group") == F.col("first")) | (F.coalesce("same", F.lit(0)) == F.col("size")), F.col("first")).otherwise(F.col("group")).alias("thread"), "size")
 
 
 def recent_threads(messages: DataFrame, contact_keys: DataFrame, people: int = 10, each: int = 5) -> DataFrame:
@@ -132,7 +173,9 @@ def recent_threads(messages: DataFrame, contact_keys: DataFrame, people: int = 1
     group = F.when(F.col("conv") != "", F.concat(F.lit("id:"), "conv")).otherwise(F.concat(F.lit("people:"), F.array_join(F.array_sort("_set"), "|")))
     by_row = by_row.select("row_idx", group.alias("group"))
     placed = rows.join(by_row, "row_idx")
-    groups = stored(placed.groupBy("group").agg(F.array_sort(F.collect_set("contact")).alias("members")).withColumn("thread", F.array_join("members", "|")))
+    sets = stored(thread_sets(placed, "group").where(F.col("size") <= people))  # no budget takes a wider thread
+    members = placed.join(sets.where("group = thread").select("group"), "group").groupBy(F.col("group").alias("thread")).agg(F.array_sort(F.collect_set("contact")).alias("members"))
+    groups = stored(sets.select("group", "thread").join(members, "thread").select("group", "members", F.array_join("members", "|").alias("thread")))
     lone = messages.where("conv <> ''").select("row_idx", F.concat(F.lit("id:"), "conv").alias("group")).unionByName(by_row.where(~F.col("group").startswith("id:")))
     entries = messages.join(lone, "row_idx").join(groups.select("group", "thread"), "group")
     totals = entries.groupBy("thread").agg(F.count(F.lit(1)).alias("message_count"), F.max("ts").alias("last_ts"))

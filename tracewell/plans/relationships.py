@@ -71,6 +71,37 @@ def message_facts(rows: DataFrame) -> DataFrame:
     return M.skipped(all_rows, people_of(dated).where("not mine"))
 
 
+def message_state(rows: DataFrame) -> dict[str, DataFrame]:
+    """All that a messages export says, from one stored table of mentions: a row a dated message and person.
+
+    events: mentions of others with their contact. contacts: their messages, last time, name and address. owner: the
+    account's address and name. names: addresses first seen with a name. talked: addresses and names of others.
+    skipped, months, unanswered, outreach: as of `message_facts`, `messages.monthly` and `outreach_of`. facts is one
+    row: messages, first and last time, people, mentions.
+    """
+    dated = stored(messages_of(rows))
+    people = stored(people_of(dated))
+    events = stored(P.canonical_contacts(people.where("not mine").drop("mine")))
+    conv = F.when(F.col("conv") != "", F.col("conv")).otherwise(F.concat(F.lit("row-"), F.col("row_idx").cast("string")))
+    senders = people.where("role = 'from'").select("row_idx", F.col("mine").alias("is_self"))
+    sides = events.select("row_idx", "contact", "role").join(senders, "row_idx", "left").where("is_self or role = 'from'")
+    written = sides.select("contact", (F.col("role") == "to").alias("is_self"))
+    times = dated.agg(F.count(F.lit(1)).alias("messages"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+    return {
+        "messages": dated,
+        "events": events,
+        "contacts": P.contacts(events),
+        "owner": people.where("mine").agg(F.max(F.nullif("url", F.lit(""))).alias("url"), F.max(F.nullif("name_key", F.lit(""))).alias("name_key")),
+        "names": P.names_to_urls(people),
+        "talked": events.select(F.explode(F.array("url", "name_key")).alias("contact_key")).where("contact_key <> ''").distinct(),
+        "skipped": M.skipped(rows.select("row_idx").join(dated.select("row_idx", "ts"), "row_idx", "left"), people.where("not mine")),
+        "months": M.monthly(dated),
+        "unanswered": M.unanswered(written),
+        "outreach": P.outreach(dated.select("row_idx", conv.alias("conv"), "ts").join(senders, "row_idx", "left")).crossJoin(M.unanswered(written)),  # of one row each
+        "facts": times.crossJoin(events.agg(F.countDistinct("contact").alias("people"), F.count(F.lit(1)).alias("mentions"))),
+    }
+
+
 def panels(messages: DataFrame, connections: DataFrame, now: str, key: str = "12m", n: int = 10) -> dict[str, DataFrame]:
     """The top, silent and fading lists in their own order, with the column names of their sheets."""
     events = stored(events_of(messages))

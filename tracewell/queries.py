@@ -20,9 +20,11 @@ from tracewell.operators import explore as E
 from tracewell.operators import messages as M
 from tracewell.operators import people as P
 from tracewell.operators import threads as T
+from tracewell.operators.stored import stored
 from tracewell.plans import relationships as R
 from tracewell.plans import report as RP
 from tracewell.plans.insights import insights
+from tracewell.streaming import sessions as SE
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -235,6 +237,17 @@ def timeline_weekly_filtered(spark, sf):
     return A.weekly(A.cube(activity(spark, sf)), A.Filters("3m", topic="urgent", share_type="media"))
 
 
+_WEEKS = _weeks_sql(3, "total::double")
+_view_query("view_weekly_points", A.Filters("3m"), "points", f"select week as key, strftime(week::date, '%b %d') as label, value from ({_WEEKS})")
+_view_query("view_weekly_max", A.Filters("3m", topic="urgent", day=2), "timeline_max", f"select greatest(1, coalesce(max(value), 1))::bigint as timeline_max from ({_WEEKS})")
+_view_query("view_weekly_trend", A.Filters("3m"), "trend", f"with r as (select *, row_number() over (order by week) as k, count(*) over () as n from ({_WEEKS})), s as (select sum(value) filter (where k <= n // 2)::bigint as older, sum(value) filter (where k > n // 2)::bigint as recent from r), p as (select *, (recent - older) / older::double * 100.0 as percent from s) select older, recent, percent, case when percent > 8 then 'up' when percent < -12 then 'down' else 'flat' end as direction from p")
+
+
+@query(f"with {_ACT} select count(*) filter (where kind = 'post') as posts, count(*) filter (where kind = 'comment') as comments, count(*) as total, min(ts) as first, max(ts) as last from act")
+def cube_facts(spark, sf):
+    return A.cube(activity(spark, sf))["facts"]
+
+
 @query(f"with {_ACT}, s as (select sum(n) as w from ms) select share_type, sum(n)::bigint as n, sum(n) / max(w)::double as share from ms, s group by share_type")
 def donut_shares(spark, sf):
     from pyspark.sql import Window as W
@@ -295,6 +308,15 @@ def growth_timeline(spark, sf):
     return P.month_counts(_connections(spark, sf), "ts")
 
 
+_GROWTH = ORACLES["network_growth"].split("\n", 1)[1]
+
+
+@query(f"with {_ACT}, {_CONN}, p as (select month, posts as n from mt), c as (select strftime(ts, '%Y-%m') as month, count(*) as n from conn where ts is not null group by 1),\n{_GROWTH}")
+def cube_growth(spark, sf):
+    """How connections follow posts, from the months of the cube."""
+    return A.cube(activity(spark, sf), P.month_counts(_connections(spark, sf), "ts"))["growth"]
+
+
 @query(ORACLES["growth_timeline"])
 def growth_timeline_whole(spark, sf):
     return P.month_counts(_connections(spark, sf), "ts")
@@ -354,7 +376,7 @@ def contacts_named_twice(spark, sf):
     return P.contacts(P.canonical_contacts(p.unionByName(again))).select("contact", "n", "last_ts")
 
 
-@query(f"with {_PEOPLE}, s as (select date_trunc('month', max(ts)) - interval 11 month as start from ev) select contact, count(*) as n, max(ts) as last_ts from ev, s where ts >= start group by contact order by n desc, last_ts desc, contact limit 10")
+@query(f"with {_PEOPLE}, s as (select date_trunc('month', max(ts)) - interval 11 month as start from ev) select contact, count(*) as n, max(ts) as last_ts from ev, s where ts >= start group by contact order by n desc, last_ts desc, (select arg_max(name, row_idx) from ev e where e.contact = ev.contact), contact limit 10")
 def top_contacts(spark, sf):
     return P.top_contacts(P.canonical_contacts(_people(spark, sf)))
 
@@ -419,6 +441,14 @@ def threads(spark, sf):
     return P.threads(P.canonical_contacts(_people(spark, sf)))
 
 
+@query(f"""with {_PEOPLE.replace("(o_orderkey % 500)::varchar as conv", "o_custkey // 2 || ' ' || year(o_orderdate) as conv", 1)}, c as (select conv as "group", list_sort(list_distinct(list(contact))) as members from ev group by conv)
+select "group", min("group") over (partition by members) as thread, len(members)::bigint as size from c""")
+def thread_sets(spark, sf):
+    """What two customers order in a year is a conversation; most have the people of another year."""
+    conv = F.concat_ws(" ", F.floor(F.substring("name_key", 10, 20).cast("long") / 2).cast("string"), F.year("ts").cast("string"))
+    return T.thread_sets(P.canonical_contacts(_people(spark, sf).withColumn("conv", conv)))
+
+
 @query("select conv_id as conv, turn as ts from (select *, row_number() over (partition by conv_id order by turn desc) as r from conversations where role <> 'system') where r <= 5")
 def thread_tail(spark, sf):
     return P.tail(_talk(spark, sf), "conv", "ts", "row_idx").select("conv", "ts")
@@ -446,7 +476,10 @@ def recent_threads(spark, sf):
     return T.recent_threads(_mail(spark, sf), spark.createDataFrame([], "contact_key string"))
 
 
-@query()
+@query("""with recursive p as (select o_orderdate as ts, o_custkey as c, o_custkey // 12 || ' ' || strftime(date_trunc('quarter', o_orderdate), '%Y-%m') as thread from orders where o_custkey is not null),
+g as (select thread, max(ts) as last_ts, list_distinct(list(c)) as members from p group by 1), t as (select *, row_number() over (order by last_ts desc, thread) as k from g),
+f as (select 0::bigint as k, []::bigint[] as seen, false as took union all select t.k, case when len(list_distinct(list_concat(seen, members))) <= 10 then list_distinct(list_concat(seen, members)) else seen end, len(list_distinct(list_concat(seen, members))) <= 10 from f join t on t.k = f.k + 1 where len(seen) < 10)
+select thread, len(members)::int as members from f join t using (k) where took""")
 def people_budget(spark, sf):
     """A thread is what a circle of twelve customers writes in a quarter, with all its members: a handful at every size, at times more than the budget."""
     ev = P.canonical_contacts(_people(spark, sf))
@@ -476,7 +509,47 @@ def row_diff_whole(spark, sf):
     return P.row_diff(d, changed, "doc_id", ["text", "lang", "source", "n_chars"])
 
 
-@query("""with r as (select concat_ws(chr(31), coalesce(doc_id::varchar, chr(1)), coalesce(lang, chr(1)), coalesce(n_chars::varchar, chr(1)), coalesce(source, chr(1)), coalesce(text, chr(1))) as r from documents)
+_SIZED = " || ".join(f"coalesce(length({c}::varchar) || ':' || {c}::varchar, '-')" for c in ("doc_id", "lang", "n_chars", "source", "text"))
+
+
+_BY_PLACE = """a as (select row_number() over () - 1 as row, doc_id::varchar as c0, lang as c1, n_chars::varchar as c2, text as c3 from documents),
+b as (select row_number() over () - 1 as row, doc_id::varchar as c0, case when doc_id % 7 = 0 then null else lang end as c1, (n_chars + (doc_id % 5 = 0)::int)::varchar as c2, text || case when doc_id % 11 = 3 then '!' else '' end as c3 from documents where doc_id <> 5),
+j as (select coalesce(a.row, b.row) as row, a.row is not null as x, b.row is not null as y, [a.c0, a.c1, a.c2, a.c3] as a, [b.c0, b.c1, b.c2, b.c3] as b from a full join b on a.row = b.row),
+u as (select *, list_filter([0, 1, 2, 3], lambda k: a[k + 1] is distinct from b[k + 1]) as unlike from j)"""
+
+
+def _by_place(spark, sf):
+    d = _table(spark, sf, "documents")
+    b = d.where("doc_id <> 5").select("doc_id", F.when(F.col("doc_id") % 7 > 0, F.col("lang")).alias("lang"), F.col("n_chars") + (F.col("doc_id") % 5 == 0).cast("int"), F.concat("text", F.when(F.col("doc_id") % 11 == 3, F.lit("!")).otherwise("")))
+    return P.positional_diff(d.select("doc_id", "lang", "n_chars", "text"), b)
+
+
+@query(f"with {_BY_PLACE} select count(*) filter (where x and y and len(unlike) > 0) as rows_differ, coalesce(sum(len(unlike)) filter (where x and y), 0)::bigint as cells_differ, count(*) filter (where not y) as only_a, count(*) filter (where not x) as only_b from u")
+def row_diff_by_place(spark, sf):
+    """Documents against a copy in which a row is missing, so that all after it differ by place."""
+    return _by_place(spark, sf)[0]
+
+
+@query(f"""with {_BY_PLACE}, c as (select row, unnest(unlike)::int as "column", a, b from u where x and y) select row, "column", a["column" + 1] as a, b["column" + 1] as b from c order by row, "column" limit 3""")
+def row_diff_places(spark, sf):
+    return _by_place(spark, sf)[1]
+
+
+@query("""with e as (select user_id, ts, case when ts - lag(ts) over (partition by user_id order by ts) < interval 24 hour then 0 else 1 end as new from events where ts is not null),
+s as (select *, sum(new) over (partition by user_id order by ts rows unbounded preceding) as k from e) select user_id, min(ts) as first_ts, max(ts) as last_ts, count(*) as n from s group by user_id, k""")
+def user_sessions(spark, sf):
+    return SE.sessions(_table(spark, sf, "events"), "user_id")
+
+
+@query("with s as (select user_id, max(ts) as last_ts from events group by 1), n as (select max(ts) as now from events) select user_id, last_ts, coalesce(last_ts < now - interval 24 hour, true) as stale from s, n")
+def stale_users(spark, sf):
+    """Who has been silent for more than a session's life when the last event comes."""
+    e = _table(spark, sf, "events")
+    last = e.groupBy("user_id").agg(F.max("ts").alias("last_ts"))
+    return last.crossJoin(F.broadcast(e.agg(F.max("ts").alias("now")))).select("user_id", "last_ts", SE.stale(F.col("last_ts"), F.col("now")).alias("stale"))
+
+
+@query(f"""with r as (select {_SIZED} as r from documents)
 select count(*) as rows, coalesce(sum(('0x' || substr(md5(r), 1, 15))::bigint), 0)::varchar as digest from r""")
 def dataset_digest(spark, sf):
     return P.digest(_table(spark, sf, "documents"))
@@ -737,11 +810,80 @@ def activity_stats(spark, sf):
     return RP.activity_tiles(A.view(A.cube(activity(spark, sf)), A.Filters("12m")))
 
 
+def _report(spark, sf):
+    """The whole report, of the last twelve months, all connections and the mailbox, with names."""
+    conn, mail = _connections(spark, sf).withColumn("url", F.lit("")).withColumn("name_key", X.name_key(F.col("name"))), stored(_mail(spark, sf))
+    tables = A.cube(activity(spark, sf), P.month_counts(conn, "ts"))
+    view = A.view(tables, A.Filters("12m"))
+    window = RP.caption(view["timeline"], LB.range_label("12m"))
+    ev = stored(R.events_of(mail))
+    named = conn.withColumn("name", F.concat(F.lit("customer "), F.col("row_idx").cast("string"))).withColumn("name_key", F.col("name"))
+    lists = R.panels(mail, named, NOW)
+    boards = RP.activity_dashboard(view, window), RP.connections_dashboard(RP.connections_view(conn, NOW, "all")), RP.messages_dashboard(mail, ev, conn, lists["fading"], lists)
+    peaks = view["totals"].crossJoin(view["peaks"])  # of one row each
+    return RP.report_model(*boards, window, insight_cards(spark, sf), RP.post_tip(peaks), RP.all_time_tiles(tables["growth"], R.outreach_of(mail)))
+
+
+_SAY = "list({'label': label, 'value': value} order by position)"
+_ITEMS = "list({'label': value, 'value': n} order by n desc, first_idx)"
+_CHARTS = "{{'type': '{0}', 'title': {1}, 'points': {2}::STRUCT(label VARCHAR, value BIGINT)[], 'items': {3}::STRUCT(label VARCHAR, value BIGINT)[], 'grid': {4}::BIGINT[][], 'entries': {5}::STRUCT(\"primary\" VARCHAR, \"secondary\" VARCHAR, value VARCHAR)[]}}"
+
+
+def _chart_sql(kind: str, title: str, **parts: str) -> str:
+    return _CHARTS.format(kind, title, *(parts.get(k, "null") for k in ("points", "items", "grid", "entries")))
+
+
+def _board_sql(title: str, subtitle: str, stats: str, *charts: str) -> str:
+    return f"{{'title': '{title}', 'subtitle': {subtitle}, 'stats': {stats}, 'charts': [{', '.join(charts)}]}}"
+
+
+def _report_sql() -> str:
+    """The same document from the SQL of its parts."""
+    part = lambda name: f"({ORACLES[name]})"
+    conn = f"(with {_CONN} select {{}} as value, count(*) as n, min(row_idx) as first_idx from conn where trim({{}}) <> '' group by 1 order by n desc, first_idx limit 10)"
+    ctes = f"""window_ as (select caption from {part("report_caption")}),
+points as (select list({{'label': strftime((month || '-01')::date, '%b %Y'), 'value': total}} order by month) as x from {part("timeline_12m")}),
+topics as (select list({{'label': topic, 'value': n}} order by n desc, topic) as x from {part("view_topics_top12")}),
+hm as (with {_ACT}, {_months(12)} select dow, hour, sum(n)::bigint as n from mh semi join cal using (month) group by all),
+grid as (select list(x order by d) as x from (select d, list(coalesce(n, 0)::bigint order by h) as x from range(7) a(d), range(24) b(h) left join hm on dow = d and hour = h group by d)),
+act_ as (select {_SAY} as x from {part("activity_stats")}),
+line as (select list({{'label': strftime((month || '-01')::date, '%b %Y'), 'value': n}} order by month) as x from {part("growth_timeline")}),
+companies as (select {_ITEMS} as x from {conn.format("company", "company")}), positions as (select {_ITEMS} as x from {conn.format("position", "position")}),
+cs as (with {_CONN}, a as (select count(*) as total, greatest(0, floor(date_diff('day', min(ts)::date, date '{NOW}') / 30.44::double + 0.5))::bigint as age from conn), t as (select company from conn where trim(company) <> '' group by 1 order by count(*) desc, max(row_idx) limit 1)
+  select [{{'label': 'Total connections', 'value': total::varchar}}, {{'label': 'Top company', 'value': coalesce((select company from t), '-')}}, {{'label': 'Network age', 'value': case when age <= 0 then '-' when age < 12 then age || ' mo' else printf('%.1f', age / 12.0::double) || ' yr' end}}] as x from a),
+mail as (select o_orderkey as row_idx, o_orderdate as ts, o_custkey as c, 'customer ' || o_custkey as name, case when o_custkey % 3 = 0 then 'https://x.test/' || o_custkey else '' end as url from orders where o_custkey is not null),
+mb as (select date_trunc('month', max(ts)) as z from mail), mcal as (select unnest(generate_series((select z - interval 11 month from mb)::timestamp, (select z from mb)::timestamp, interval 1 month)) as d),
+mc as (select date_trunc('month', ts) as d, count(*) as n from mail group by 1), mline as (select list({{'label': strftime(mcal.d, '%b %Y'), 'value': coalesce(n, 0)}} order by mcal.d) as x, strftime(min(mcal.d), '%b %Y') || ' to ' || strftime(max(mcal.d), '%b %Y') as caption from mcal left join mc on mc.d = mcal.d),
+inr as (select * from mail where ts >= (select z - interval 11 month from mb)), tops as (select name, count(*) as n, max(ts) as last_ts from inr group by name),
+top_ as (select list({{'primary': name, 'secondary': 'Last message: ' || strftime(last_ts, '%b %-d, %Y'), 'value': n || ' msgs'}} order by n desc, last_ts desc, name) as x from (select * from tops order by n desc, last_ts desc, name limit 10)),
+fade as (select name, max(ts) as last_ts, floor((epoch(timestamp '{NOW}') - epoch(max(ts))) / 86400)::bigint as days from mail group by name having floor((epoch(timestamp '{NOW}') - epoch(max(ts))) / 86400) >= 30),
+fade_ as (select count(*) as n, list({{'primary': name, 'secondary': 'Last message: ' || strftime(last_ts, '%b %-d, %Y'), 'value': days || ' days'}} order by last_ts desc, name)[1:10] as x from fade),
+quiet as (select 'customer ' || c_custkey as name, c_mktsegment as company, c_nationkey::varchar as position from customer where c_custkey not in (select c from mail)),
+quiet_ as (select count(*) as n, list({{'primary': name, 'secondary': position || ' @ ' || company, 'value': 'No date'}} order by name)[1:10] as x from quiet),
+ms_ as (select [{{'label': 'Messages in range', 'value': (select count(*) from inr)::varchar}}, {{'label': 'People in range', 'value': (select count(*) from tops)::varchar}}, {{'label': 'Total connections', 'value': (select count(*) from customer)::varchar}}, {{'label': 'Fading conversations', 'value': (select n from fade_)::varchar}}] as x),
+cards as (select list({{'id': id, 'title': title, 'value': value}} order by position) as x from {part("insight_cards")}),
+pk as (with {_ACT}, {_months(12)}, x as (select * from mh semi join cal using (month)) select (select hour from x group by hour order by sum(n) desc, hour limit 1)::int as h, (select dow from x group by dow order by sum(n) desc, dow limit 1)::int as d),
+grown as (select multiplier from {part("cube_growth")} where shown),
+ever as (select list({{'label': label, 'value': value}} order by position) as x from (select -1 as position, 'Network growth' as label, multiplier || '×' as value from grown union all select position, label, value from {part("all_time_stats")}))"""
+    title = lambda label, n: f"case when {n} > 10 then '{label} (top 10 of ' || {n} || ')' else '{label}' end"
+    activity_ = _board_sql("Analytics", "(select caption from window_)", "(select x from act_)", _chart_sql("line", "'Activity timeline'", points="(select x from points)"), _chart_sql("bar", "'Top topics'", items="(select x from topics)"), _chart_sql("heatmap", "'When you are active'", grid="(select x from grid)"))
+    connections_ = _board_sql("Connections", "'All time'", "(select x from cs)", _chart_sql("line", "'Connection growth'", points="(select x from line)"), _chart_sql("bar", "'Top companies'", items="(select x from companies)"), _chart_sql("bar", "'Top positions'", items="(select x from positions)"))
+    lists = _chart_sql("list", title("Top contacts", "(select len(x) from top_)"), entries="(select x from top_)"), _chart_sql("list", title("Silent connections", "(select n from quiet_)"), entries="(select coalesce(x, []) from quiet_)"), _chart_sql("list", title("Fading conversations", "(select n from fade_)"), entries="(select coalesce(x, []) from fade_)")
+    messages_ = _board_sql("Messages", "'Messages and people: ' || (select caption from mline) || '. Connections, silent and fading: all time.'", "(select x from ms_)", _chart_sql("line", "'Messages per month'", points="(select x from mline)"), *lists)
+    tip = "(select 'You are sharpest on ' || ['Monday', 'Tuesday', 'Wednesday', 'Thursday', 'Friday', 'Saturday', 'Sunday'][d + 1] || ' around ' || lpad(h::varchar, 2, '0') || ':00. I would post then.' from pk)"
+    return f"with {ctes} select to_json({{'range_label': (select caption from window_), 'dashboards': [{activity_}, {connections_}, {messages_}], 'insights': (select x from cards), 'tip': {tip}, 'all_time': (select x from ever)}})::varchar as document"
+
+
 @query("select 'Customers' as label, 'Customers (top 10 of ' || (select count(*) from customer) || ')' as title union all select 'Regions', 'Regions'")
 def report_titles(spark, sf):
     return RP.titles({"Customers": _table(spark, sf, "customer"), "Regions": _table(spark, sf, "region")})
 
 
+@query(_report_sql())
+def report_model(spark, sf):
+    return RP.as_json(_report(spark, sf))
+
+
 @query("""with t as (select c_name as name from customer order by c_acctbal desc, c_custkey desc, c_name limit 1), s as (select s_name as name, s_suppkey as d from supplier order by s_suppkey desc, s_name limit 1)
 select t.name || ' is your liveliest thread. I would say hello to ' || s.name || ' too, quiet for ' || s.d || ' days now.' as tip from t, s""")
 def message_tip(spark, sf):
