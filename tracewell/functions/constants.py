@@ -34,6 +34,7 @@ BLANK_STATS = ("", "0", "-")
 POST_TIP = "You are sharpest on %s around %02d:00. I would post then."
 TOP_AND_FADING_TIP = "%s is your liveliest thread. I would say hello to %s too, quiet for %d days now."
 TOP_TIP = "%s is your top contact in this range. I would keep that rhythm going."
+NO_CONNECTIONS_TIP = "Upload Connections.csv and I can point out who has gone quiet on you."
 SILENT_TIP = "I count %d silent %s. One short hello can wake the list up."
 
 # Weekdays from Monday.

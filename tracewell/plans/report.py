@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.functions import labels as L
-from tracewell.functions.constants import BLANK_STATS, POST_TIP, SILENT_TIP, TOP_AND_FADING_TIP, TOP_TIP, WEEKDAYS
+from tracewell.functions.constants import BLANK_STATS, NO_CONNECTIONS_TIP, POST_TIP, SILENT_TIP, TOP_AND_FADING_TIP, TOP_TIP, WEEKDAYS
 from tracewell.functions.dates import network_age
 from tracewell.operators import messages as M
 from tracewell.operators import people as P
@@ -205,6 +205,8 @@ def message_tip(top: DataFrame, silent: DataFrame, fading: DataFrame, connection
     """One row, the tip of the message screen, null where there is nothing to say. Without a file of connections it asks for one.
 
     top has name, n and last_ts, fading name, days_since and last_ts; the first of each in its list's order counts."""
+    if not connections:
+        return silent.agg(F.lit(NO_CONNECTIONS_TIP).alias("tip"))
     first = top.orderBy(F.desc("n"), F.desc("last_ts"), "name").limit(1).select(F.col("name").alias("_top"))
     faded = fading.orderBy(F.desc("last_ts"), "name").limit(1).select(F.col("name").alias("_fading"), "days_since")
     facts = silent.agg(F.count(F.lit(1)).alias("_n")).join(first, F.lit(True), "left").join(faded, F.lit(True), "left")  # of a row each
