@@ -14,12 +14,12 @@ _MINUTE = r"^(\d{4})-(\d{2})-(\d{2}) (\d{2}):(\d{2})(?::(\d{2}))?\z"
 _DAY = r"^\d{4}-\d{2}-\d{2}\z"
 
 
-def _part(c: Column, pattern: str, k: int) -> Column:
-    return F.nullif(F.regexp_extract(c, pattern, k), F.lit("")).cast("int")
+#: Where year, month, day, hour, minute and second stand in a text that any of the patterns above fits.
+_PLACES = ((1, 4), (6, 2), (9, 2), (12, 2), (15, 2), (18, 2))
 
 
 def _stamp(c: Column, pattern: str) -> Column:
-    p = [_part(c, pattern, k) for k in range(1, 7)]
+    p = [F.substring(c, at, n).try_cast("int") for at, n in _PLACES]
     zero = F.lit(0)
     return F.when(c.rlike(pattern) & (p[0] >= 1), F.try_make_timestamp_ntz(p[0], p[1], p[2], p[3], F.coalesce(p[4], zero), F.coalesce(p[5], zero)))
 
@@ -67,6 +67,11 @@ def parse_either(c: Column) -> Column:
     return F.coalesce(parse_minute(c), parse_day(trim(c)).cast("timestamp_ntz"))
 
 
+def connected_ms(c: Column) -> Column:
+    """Milliseconds since 1970 of exactly `YYYY-MM-DD`; 0 for other text."""
+    return F.coalesce(F.unix_date(parse_day(c)).cast("long") * 86_400_000, F.lit(0))
+
+
 def month_key(ts: Column) -> Column:
     return F.date_format(ts, "yyyy-MM")
 

@@ -98,7 +98,7 @@ def topics(c: Column) -> Column:
     rest = F.regexp_replace(text, r"#[A-Za-z0-9_]+", " ")
     words = F.regexp_extract_all(rest, F.lit(r"(?<![A-Za-z0-9_])[a-zA-Z]{3,}(?![A-Za-z0-9_])"), F.lit(0))
     lower = lambda a: F.transform(a, F.lower)
-    return F.array_except(F.array_distinct(F.concat(lower(tags), lower(words))), F.array(*map(F.lit, STOP_WORDS)))
+    return F.filter(F.array_distinct(F.concat(lower(tags), lower(words))), lambda w: ~w.isin(*STOP_WORDS))
 
 
 def hashtags(c: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.functions.dates import js_round
+from tracewell.functions.text import hashtags
 from tracewell.operators.activity import top
 
 
@@ -26,6 +27,12 @@ def histogram(rows: DataFrame, field: str) -> DataFrame:
     return rows.groupBy(F.coalesce(F.nullif(field, F.lit("")), F.lit("?")).alias("value")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def top_hashtags(rows: DataFrame, text: str, n: int = 10) -> DataFrame:
+    """tag and n of the hashtags written most often, every use counting; ties go by the tag."""
+    tags = rows.select(F.explode(hashtags(F.col(text))).alias("tag"))
+    return top(tags.groupBy("tag").agg(F.count(F.lit(1)).alias("n")), "n", ["tag"], n)
+
+
 def initiated(messages: DataFrame) -> DataFrame:
     """Conversations, and those whose last row of the file, the earliest message, is the self's."""
     first = messages.groupBy("conv").agg(F.max_by("is_self", "row_idx").alias("mine"))

@@ -102,6 +102,12 @@ def top_contacts(events: DataFrame, key: str = "12m", n: int = 10) -> DataFrame:
     return named.orderBy(F.desc("n"), F.desc("last_ts"), "_name", "contact").limit(n).drop("_name")
 
 
+def with_people(counts: DataFrame, people: DataFrame) -> DataFrame:
+    """counts (contact, ...) with name and url of the contact; Unknown and blank where people does not have it."""
+    rows = counts.join(people.select("contact", "name", "url"), "contact", "left")
+    return rows.withColumn("name", F.coalesce(F.nullif("name", F.lit("")), F.lit("Unknown"))).withColumn("url", F.coalesce("url", F.lit("")))
+
+
 def first_rows(rows: DataFrame, key: str, order: str = "row_idx") -> DataFrame:
     """The first row of each non-blank key."""
     ranked = rows.where(F.col(key) != "").withColumn("_r", F.row_number().over(W.partitionBy(key).orderBy(order)))

@@ -50,6 +50,24 @@ def clean_to_parquet(spark: SparkSession, path: str, out: str, kind: str, **limi
     return Result(True, spark.read.parquet(out).count(), out)
 
 
+#: Rows and characters of a cell that a preview shows.
+PREVIEW_ROWS, PREVIEW_CHARS = 5, 50
+
+
+def preview(rows: DataFrame, n: int = PREVIEW_ROWS, most: int = PREVIEW_CHARS) -> DataFrame:
+    """The first rows of a cleaned export (file, row_idx, ...), long cells cut."""
+    shown = [c for c in rows.columns if c not in ("file", "row_idx")]
+    return rows.orderBy("file", "row_idx").limit(n).select("file", "row_idx", *[X.truncate(F.col(f"`{c}`"), most).alias(c) for c in shown])
+
+
+def connections_of_file(spark: SparkSession, path: str, **limits) -> DataFrame:
+    """Cleaned connections; ExportError where the file has no valid row."""
+    rows = cleaned(spark, path, "connections", **limits)
+    if rows.isEmpty():
+        raise ExportError("the connections file has no valid rows")
+    return rows
+
+
 def activity_of(shares: DataFrame, comments: DataFrame) -> DataFrame:
     """Cleaned shares and comments as an activity table."""
     posts = shares.select(D.parse_stamp(F.col("Date")).alias("ts"), F.lit("post").alias("kind"), X.share_type(F.col("MediaUrl"), F.col("SharedUrl")).alias("share_type"), X.topics(F.col("ShareCommentary")).alias("topics"), "row_idx")

@@ -11,10 +11,22 @@ from tracewell.operators import messages as M
 from tracewell.operators import people as P
 from tracewell.operators import threads as T
 from tracewell.operators.stored import stored
+from tracewell.sources.specs import MESSAGES
 
 PANELS = ("top", "silent", "fading")
 
 
+def exported(rows: DataFrame) -> DataFrame:
+    """Raw rows of a messages export as a report takes them: cells cleaned but for CONTENT, which stays as it was written, and no
+    cell made safe for a sheet; rows that lack what a message must have are left out, as in the cleaned file."""
+    cells = [(F.coalesce(F.col(f"`{c.name}`"), F.lit("")) if c.name == "CONTENT" else c.cleaner(F.col(f"`{c.name}`"))).alias(c.name) for c in MESSAGES.columns]
+    extra = [c for c in rows.columns if c not in MESSAGES.names]
+    out = rows.select(*[f"`{c}`" for c in extra], *cells)
+    for name in MESSAGES.row_required:
+        out = out.where(~X.is_missing(F.col(f"`{name}`")))
+    return out
+
+
 def messages_of(rows: DataFrame) -> DataFrame:
     """Dated messages of a messages export, as `tracewell.operators.threads` takes them; rows may be cleaned or raw."""
     urls = X.url_keys(F.col("RECIPIENT PROFILE URLS"))

@@ -29,6 +29,12 @@ def has_data(chart: DataFrame, cell: str | None = None) -> bool:
     return not (chart.where(F.col(cell) > 0) if cell else chart).isEmpty()
 
 
+def exportable(insights: DataFrame | None = None, growth: DataFrame | None = None, outreach: DataFrame | None = None, *files: DataFrame) -> bool:
+    """Whether a report would hold anything: cards, growth that is shown, an outreach row, or a row of activity, messages or connections."""
+    shown = growth.where("shown") if growth is not None else None
+    return any(d is not None and not d.isEmpty() for d in (insights, shown, outreach, *files))
+
+
 def caption(months: DataFrame, fallback: str = "") -> DataFrame:
     """One row: the first to the last month of a timeline (month), or the fallback where it has none."""
     text = L.window_caption(F.min("month"), F.max("month"))

@@ -21,6 +21,7 @@ from tracewell.operators import messages as M
 from tracewell.operators import people as P
 from tracewell.operators import threads as T
 from tracewell.operators.stored import stored
+from tracewell.plans import export as EX
 from tracewell.plans import relationships as R
 from tracewell.plans import report as RP
 from tracewell.plans.insights import insights
@@ -702,6 +703,41 @@ def contact_keys(spark, sf):
     return s.select(F.coalesce(F.nullif(url, F.lit("")), X.name_key(F.col("s_name"))).alias("key")).distinct()
 
 
+@query("select '' as file, p_partkey as row_idx, case when length(t) > 50 then t[1:50] || '...' else t end as cell from (select p_partkey, p_name || ' ' || p_type || ' ' || repeat(p_brand, p_size % 9) as t from part order by p_partkey limit 5)")
+def preview_rows(spark, sf):
+    """The first five parts, long cells cut."""
+    p = _table(spark, sf, "part")
+    text = F.concat_ws(" ", "p_name", "p_type", F.repeat(F.col("p_brand"), F.col("p_size") % 9))
+    return EX.preview(p.select(F.lit("").alias("file"), F.col("p_partkey").alias("row_idx"), text.alias("cell")))
+
+
+@query("select tag, count(*) as n from (select unnest(list_transform(regexp_extract_all(text || ' #Tag' || (doc_id % 17) || ' ##x #Tag1', '#([0-9A-Za-z_]+)', 1), lambda x: lower(x))) as tag from documents) group by tag order by n desc, tag limit 10")
+def explore_hashtags(spark, sf):
+    text = F.concat(F.col("text"), F.lit(" #Tag"), (F.col("doc_id") % 17).cast("string"), F.lit(" ##x #Tag1"))
+    return E.top_hashtags(_table(spark, sf, "documents").select(text.alias("text")), "text")
+
+
+@query("select count(*) as rows, count(*) filter (where o_orderpriority = '1-URGENT') as visible, 100 * count(*) filter (where o_orderpriority = '1-URGENT') // greatest(count(*), 1) as percent from orders")
+def explore_media(spark, sf):
+    """Posts with media, and their percent."""
+    return E.visible(_table(spark, sf, "orders").select(F.when(F.col("o_orderpriority") == "1-URGENT", "https://x.test/m").alias("media")), "media")
+
+
+@query(f"""with {_PEOPLE}, k as (select contact, count(*) as n from ev group by 1), p as (select contact, arg_max(name, row_idx) as name, arg_min(url, row_idx) as url from ev where row_idx % 4 = 0 group by 1)
+select contact, n, coalesce(name, 'Unknown') as name, coalesce(url, '') as url from k left join p using (contact)""")
+def counts_named(spark, sf):
+    """Contacts' messages with the name and address that every fourth row knows them by."""
+    ev = P.canonical_contacts(_people(spark, sf))
+    return P.with_people(ev.groupBy("contact").agg(F.count(F.lit(1)).alias("n")), P.contacts(ev.where("row_idx % 4 = 0")))
+
+
+@query("select o_orderkey, case when o_orderkey % 5 > 0 then epoch_ms(date_trunc('day', o_orderdate)) else 0 end::bigint as ms from orders")
+def connected_ms(spark, sf):
+    o = _table(spark, sf, "orders")
+    text = F.when(F.col("o_orderkey") % 5 > 0, F.date_format("o_orderdate", "yyyy-MM-dd")).otherwise(F.date_format("o_orderdate", "dd MMM yyyy"))
+    return o.select("o_orderkey", D.connected_ms(text).alias("ms"))
+
+
 @query("select p_partkey, case when length(p_name) > 12 then p_name[1:12] || '...' else p_name end as preview from part")
 def preview(spark, sf):
     return _table(spark, sf, "part").select("p_partkey", X.truncate(F.col("p_name"), 12).alias("preview"))
