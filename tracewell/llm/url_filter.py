@@ -13,11 +13,12 @@ is `purity` or more, with `support` labels, is rejected.
 
 Only counts by (host, template, segment) are grouped and joined, and they are broadcast up to a
 number of rows and salted beyond, so a host with a third of all urls is pre-aggregated before each
-shuffle and its urls are never gathered in one task. A level reads only the paths that go on; a
-branch that holds one path is finished at once, since an only child never differs from its branch.
-Every level, a row a distinct path, is checkpointed, which keeps plans short; there are as
-many as the longest path that shares its template so far with another one has segments. Urls meet
-their path's verdict by join_small as well, so that a url that occurs very often is no hot key.
+shuffle and its urls are never gathered in one task. A round reads only the paths that go on. An only
+child never differs from its branch, so the segments that all paths of a branch share are wildcards and
+taken in one step; a branch that holds one path is finished by it. Every round, a row a distinct
+path, is checkpointed, which keeps plans short; there are as many as a path has places where its branch
+divides, whatever its length. Urls meet their path's verdict by join_small as well, so that a url that
+occurs very often is no hot key.
 
 Defined cases: a null url or one without `://` has an empty host and path, fits no rule and is
 allowed unless its (empty) template is rejected. Repeated rows are judged alike and each counts. A
@@ -67,9 +68,9 @@ def _away(b: str, n: str, of_b: str, of_n: str, z: float) -> Column:
 
 
 def _names(kids: DataFrame, few: bool, support: int, z: float) -> DataFrame:
-    """host, tpl, _seg, _name (what a child is called in templates) and _m, the paths of the branch; kids has _b blocked of _l labelled urls and _c paths."""
+    """host, tpl, _seg and _name, what a child is called in templates; kids has _b blocked of _l labelled urls."""
     at, kept = ["host", "tpl"], (lambda df: df) if few else cut
-    branch = kept(kids.groupBy(*at).agg(F.sum("_b").alias("_pb"), F.sum("_l").alias("_pl"), F.sum("_c").alias("_m")))
+    branch = kept(kids.groupBy(*at).agg(F.sum("_b").alias("_pb"), F.sum("_l").alias("_pl")))
     kids = join_small(kids, branch, at, few=few)
     above = F.col("_b") * (F.col("_pl") + 1.0) > (F.col("_pb") + 0.5) * F.col("_l")
     out = (F.col("_l") >= support) & (_away("_b", "_l", "_pb", "_pl", z) > 0)
@@ -77,28 +78,36 @@ def _names(kids: DataFrame, few: bool, support: int, z: float) -> DataFrame:
     sides = kept(kids.where("_side <> '*'").groupBy(*at, "_side").agg(F.sum("_b").alias("_sb"), F.sum("_l").alias("_sl"), F.count(F.lit(1)).alias("_n")))
     kids = join_small(kids, sides, [*at, "_side"], "left", few=few)
     alone = (F.col("_side") != "*") & ((F.col("_n") == 1) | (_away("_b", "_l", "_sb", "_sl", z) > 0))
-    return kept(kids.select(*at, "_seg", F.when(alone, F.col("_seg")).otherwise(F.col("_side")).alias("_name"), "_m"))
+    return kept(kids.select(*at, "_seg", F.when(alone, F.col("_seg")).otherwise(F.col("_side")).alias("_name")))
 
 
 def templates(paths: DataFrame, support: int = SUPPORT, z: float = Z) -> DataFrame:
-    """host, path, n_block, n_allow -> and tpl, the path's template."""
-    rows = paths.withColumn("_segs", F.split(F.regexp_replace("path", "^/", ""), "/")).withColumn("tpl", F.lit(""))
-    keep, at, done, level = [*paths.columns, "tpl"], ["host", "tpl", "_seg"], [], 0
+    """host, path, n_block, n_allow -> and tpl, the path's template.
+
+    A round first takes the segments that all paths of a branch go on with, in one step: the longest common beginning
+    of its first and its last path in order. Then it names the children of what is left."""
+    variable = F.transform(F.split(F.regexp_replace("path", "^/", ""), "/"), lambda x: F.when(x.rlike("[0-9]"), F.lit("*")).otherwise(x))
+    rows = paths.withColumn("_segs", variable).withColumn("tpl", F.lit("")).withColumn("_at", F.lit(0))
+    keep, branch, at, done = [*paths.columns, "tpl"], ["host", "tpl"], ["host", "tpl", "_seg"], []
+    ended = F.col("_at") >= F.size("_segs")
     while True:
-        seg = F.get(F.col("_segs"), F.lit(level))
-        rows = rows.withColumn("_seg", F.when(seg.rlike("[0-9]"), F.lit("*")).otherwise(seg))
-        kids = cut(rows.groupBy(*at).agg(F.sum("n_block").alias("_b"), F.sum(F.col("n_block") + F.col("n_allow")).alias("_l"), F.count(F.lit(1)).alias("_c")))
-        n = kids.count()  # of this level; branches and sides are fewer
+        rest = F.slice("_segs", F.col("_at") + 1, F.size("_segs"))
+        runs = rows.groupBy(*branch).agg(F.min(rest).alias("_lo"), F.max(rest).alias("_hi"))
+        differ = F.array_position(F.zip_with("_lo", "_hi", lambda x, y: F.coalesce(x != y, F.lit(True))), True)
+        runs = cut(runs.select(*branch, F.when(differ > 0, differ - 1).otherwise(F.size("_lo")).cast("int").alias("_run")))
+        n = runs.count()
         if not n:
             return functools.reduce(DataFrame.union, done, paths.withColumn("tpl", F.lit("")).where(F.lit(False)))
-        level += 1
+        rows = join_small(rows, runs, branch, few=n <= BROADCAST_ROWS)
+        rows = cut(rows.withColumn("tpl", F.concat("tpl", F.repeat(F.lit("/*"), F.col("_run")))).withColumn("_at", F.col("_at") + F.col("_run")).drop("_run"))
+        done.append(rows.where(ended).select(*keep))
+        rows = rows.where(~ended).withColumn("_seg", F.get("_segs", F.col("_at")))
+        kids = cut(rows.groupBy(*at).agg(F.sum("n_block").alias("_b"), F.sum(F.col("n_block") + F.col("n_allow")).alias("_l")))
+        n = kids.count()  # of this round; branches and sides are fewer
         named = join_small(rows, _names(kids, n <= BROADCAST_ROWS, support, z), at, few=n <= BROADCAST_ROWS)
-        rest = F.size("_segs") - level
-        only = F.repeat(F.lit("/*"), F.when(F.col("_m") == 1, 1 + rest).otherwise(0))
-        tpl = F.concat("tpl", F.when(F.col("_m") > 1, F.concat(F.lit("/"), "_name")).otherwise(only))
-        rows = cut(named.withColumn("tpl", tpl).withColumn("_open", (F.col("_m") > 1) & (rest > 0)).drop("_seg", "_name", "_m"))
-        done.append(rows.where("not _open").select(*keep))
-        rows = rows.where("_open").drop("_open")
+        rows = cut(named.withColumn("tpl", F.concat("tpl", F.lit("/"), "_name")).withColumn("_at", F.col("_at") + 1).drop("_seg", "_name"))
+        done.append(rows.where(ended).select(*keep))
+        rows = rows.where(~ended)
 
 
 def judge(pages: DataFrame, rules=RULES, purity: float = PURITY, prior: float = PRIOR, support: int = SUPPORT, z: float = Z) -> DataFrame:
