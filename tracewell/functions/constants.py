@@ -37,5 +37,25 @@ TOP_TIP = "%s is your top contact in this range. I would keep that rhythm going.
 NO_CONNECTIONS_TIP = "Upload Connections.csv and I can point out who has gone quiet on you."
 SILENT_TIP = "I count %d silent %s. One short hello can wake the list up."
 
+# Icon, accent and text of each insight card; %s is the card's value.
+CARDS = {
+    "early-bird": ("rooster", "accent-yellow", "Your peak hour is %s. Mornings are your power time."),
+    "night-owl": ("owl", "accent-purple", "Your peak hour is %s. Late hours work best for you."),
+    "steady-pace": ("calendar", "accent-blue", "Most activity happens around %s. You keep a consistent rhythm."),
+    "trending-up": ("rocket", "accent-blue", "Activity is up %s%% compared to the previous period."),
+    "slowing": ("sloth", "accent-purple", "Activity is down %s%% compared to the previous period."),
+    "topic-shift": ("compass", "accent-purple", "Your focus shifted from %s."),
+    "engagement-shift": ("scale", "accent-blue", "%s"),
+    "quiet-stretch": ("monkey", "accent-purple", "This period is lighter on activity. A small push could restart momentum."),
+    "super-engager": ("handshake", "accent-green", "You comment %sx more than you post. "),
+    "topic-master": ("trophy", "accent-yellow", "%s times in your recent activity."),
+    "streak": ("flame", "accent-red", "You have a %s-day activity streak going."),
+    "weekday": ("calendar", "accent-blue", "%s is your strongest day for activity."),
+}
+
+# Texts of the two shifts of engagement, and what is added for the titles of comments per post.
+SHIFTS = {"more-engaging": "You are commenting more and posting less than before, leaning into conversations.", "more-posting": "You are posting more and commenting less than before, leaning into creating."}
+NOTES = {"Engagement Machine": "Conversations are clearly your superpower.", "Community Builder": "You invest heavily in other people's posts.", "Super Engager": "You build community."}
+
 # Weekdays from Monday.
 WEEKDAYS = ("Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.functions.constants import WEEKDAYS
+from tracewell.functions.constants import CARDS, NOTES, SHIFTS, WEEKDAYS
 
 # Card ids and titles by tier; the highest threshold that is met wins.
 ENGAGER_TIERS = ((25, "Engagement Machine"), (10, "Community Builder"), (3, "Super Engager"))
@@ -41,3 +41,15 @@ def insights(facts: DataFrame) -> DataFrame:
     )
     rows = facts.where("total > 0").select(F.posexplode(F.filter(cards, lambda c: c.isNotNull())).alias("position", "card"))
     return rows.select(F.col("position").cast("long").alias("position"), "card.id", "card.title", "card.value")
+
+
+def with_texts(cards: DataFrame) -> DataFrame:
+    """Cards (id, title, value, ...) with body, icon and accent."""
+    of = lambda table, key: F.element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), key)
+    value = F.when(F.col("id") == "engagement-shift", of(SHIFTS, F.col("value"))).when(F.col("id") == "topic-master", F.regexp_replace("value", r" (\d+)\z", " shows up $1")).otherwise(F.col("value"))
+    body = F.lit(None).cast("string")
+    for name, (_, _, text) in CARDS.items():
+        body = F.when(F.col("id") == name, F.format_string(text, value) if "%s" in text else F.lit(text)).otherwise(body)
+    note = F.when(F.col("id") == "super-engager", of(NOTES, F.col("title"))).otherwise("")
+    icon, accent = (of({k: v[i] for k, v in CARDS.items()}, F.col("id")) for i in (0, 1))
+    return cards.select("*", F.concat(body, note).alias("body"), icon.alias("icon"), accent.alias("accent"))

@@ -10,6 +10,7 @@ from tracewell.functions.constants import BLANK_STATS, NO_CONNECTIONS_TIP, POST_
 from tracewell.functions.dates import network_age
 from tracewell.operators import messages as M
 from tracewell.operators import people as P
+from tracewell.plans.insights import with_texts
 
 
 def tiles(facts: DataFrame, *stats: tuple[str, Column]) -> DataFrame:
@@ -172,10 +173,10 @@ def messages_dashboard(messages: DataFrame, events: DataFrame, connections: Data
 def report_model(activity: DataFrame, connections: DataFrame, messages: DataFrame, windows: DataFrame, cards: DataFrame, tip: DataFrame, all_time: DataFrame, threads: DataFrame | None = None) -> DataFrame:
     """One row, the whole report: range_label, dashboards (those with something to show, in their order), insights, tip, all_time and threads.
 
-    windows is the caption of the activity months; the messages' window stands in where that is empty. threads has
+    cards are those of `tracewell.plans.insights`, here with their texts. windows is the caption of the activity months; the messages' window stands in where that is empty. threads has
     `tracewell.operators.threads.recent_threads`'s columns. `as_json` writes the row as a document."""
     stat = "struct<label:string,value:string>"
-    parts = [activity, connections, messages, windows, _listed(cards, F.struct("id", "title", "value"), "insights", F.col("position")), tip.agg(F.max("tip").alias("tip")), _stats(all_time, "all_time")]
+    parts = [activity, connections, messages, windows, _listed(with_texts(cards), F.struct("id", "title", "body", "icon", "accent"), "insights", F.col("position")), tip.agg(F.max("tip").alias("tip")), _stats(all_time, "all_time")]
     if threads is not None:
         entry = F.struct("ts", "direction", "body")
         one = threads.groupBy("thread", "name", "message_count", "last_ts").agg(F.array_sort(F.collect_list(F.struct("ts", "seq", entry.alias("e")))).alias("e"))  # a thread's few last messages

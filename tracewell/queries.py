@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tracewell.functions import dates as D
 from tracewell.functions import labels as LB
 from tracewell.functions import text as X
-from tracewell.functions.constants import MISSING, STOP_WORDS
+from tracewell.functions.constants import CARDS, MISSING, NOTES, SHIFTS, STOP_WORDS
 from tracewell.operators import activity as A
 from tracewell.operators import explore as E
 from tracewell.operators import messages as M
@@ -24,7 +24,7 @@ from tracewell.operators.stored import stored
 from tracewell.plans import export as EX
 from tracewell.plans import relationships as R
 from tracewell.plans import report as RP
-from tracewell.plans.insights import insights
+from tracewell.plans.insights import insights, with_texts
 from tracewell.streaming import sessions as SE
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -293,6 +293,21 @@ def insight_cards(spark, sf):
     return insights(facts)
 
 
+def _cards_sql() -> str:
+    """Texts of the cards, from their values."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    value = "case id when 'engagement-shift' then case value " + " ".join(f"when '{k}' then {quoted(v)}" for k, v in SHIFTS.items()) + " end when 'topic-master' then regexp_replace(value, ' (\\d+)$', ' shows up \\1') else value end"
+    body = "case id " + " ".join(f"when '{k}' then replace(replace({quoted(t)}, '%s', {value}), '%%', '%')" for k, (_, _, t) in CARDS.items()) + " end"
+    note = "case when id = 'super-engager' then case title " + " ".join(f"when {quoted(k)} then {quoted(v)}" for k, v in NOTES.items()) + " end else '' end"
+    pick = lambda k: "case id " + " ".join(f"when '{i}' then '{v[k]}'" for i, v in CARDS.items()) + " end"
+    return f"select position, id, title, value, {body} || {note} as body, {pick(0)} as icon, {pick(1)} as accent from ({ORACLES['insight_cards']})"
+
+
+@query(_cards_sql())
+def insight_texts(spark, sf):
+    return with_texts(insight_cards(spark, sf))
+
+
 def _connections(spark, sf):
     o, c = _table(spark, sf, "orders"), _table(spark, sf, "customer")
     seen = o.groupBy("o_custkey").agg(F.min("o_orderdate").alias("ts"))
@@ -897,7 +912,7 @@ fade_ as (select count(*) as n, list({{'primary': name, 'secondary': 'Last messa
 quiet as (select 'customer ' || c_custkey as name, c_mktsegment as company, c_nationkey::varchar as position from customer where c_custkey not in (select c from mail)),
 quiet_ as (select count(*) as n, list({{'primary': name, 'secondary': position || ' @ ' || company, 'value': 'No date'}} order by name)[1:10] as x from quiet),
 ms_ as (select [{{'label': 'Messages in range', 'value': (select count(*) from inr)::varchar}}, {{'label': 'People in range', 'value': (select count(*) from tops)::varchar}}, {{'label': 'Total connections', 'value': (select count(*) from customer)::varchar}}, {{'label': 'Fading conversations', 'value': (select n from fade_)::varchar}}] as x),
-cards as (select list({{'id': id, 'title': title, 'value': value}} order by position) as x from {part("insight_cards")}),
+cards as (select list({{'id': id, 'title': title, 'body': body, 'icon': icon, 'accent': accent}} order by position) as x from {part("insight_texts")}),
 pk as (with {_ACT}, {_months(12)}, x as (select * from mh semi join cal using (month)) select (select hour from x group by hour order by sum(n) desc, hour limit 1)::int as h, (select dow from x group by dow order by sum(n) desc, dow limit 1)::int as d),
 grown as (select multiplier from {part("cube_growth")} where shown),
 ever as (select list({{'label': label, 'value': value}} order by position) as x from (select -1 as position, 'Network growth' as label, multiplier || '×' as value from grown union all select position, label, value from {part("all_time_stats")}))"""
