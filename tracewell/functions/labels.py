@@ -26,6 +26,11 @@ def month_label(month: Column) -> Column:
     return F.date_format(F.concat(month, F.lit("-01")).try_cast("date"), "MMM yyyy")
 
 
+def week_label(day: Column) -> Column:
+    """The Monday of a day's week, as `Jan 05`."""
+    return F.date_format(F.date_trunc("week", day), "MMM dd")
+
+
 def window_caption(first: Column, last: Column) -> Column:
     """The months from first to last; a single month once, nothing where there is none."""
     return F.when(first.isNull() | last.isNull(), F.lit("")).when(first == last, month_label(first)).otherwise(F.concat_ws(" to ", month_label(first), month_label(last)))

@@ -79,6 +79,24 @@ def day_totals(activity: DataFrame) -> DataFrame:
     return rows.agg(F.count_if(F.col("kind") == "post").alias("posts"), F.count_if(F.col("kind") == "comment").alias("comments"), F.count(F.lit(1)).alias("total"), *kinds)
 
 
+def totals(activity: DataFrame) -> DataFrame:
+    """One row: posts, comments, both together, days with any, and the first and the last of these."""
+    return activity.agg(
+        F.count_if(F.col("kind") == "post").alias("posts"), F.count_if(F.col("kind") == "comment").alias("comments"), F.count(F.lit(1)).alias("total"),
+        F.countDistinct(day_key(F.col("ts"))).alias("active_days"), day_key(F.min("ts")).alias("first_day"), day_key(F.max("ts")).alias("last_day"),
+    )
+
+
+def heatmap(rows: DataFrame, ts: str = "ts") -> DataFrame:
+    """Rows by weekday (0 for Monday) and hour."""
+    return rows.groupBy(F.weekday(ts).alias("dow"), F.hour(ts).alias("hour")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def shares(mix: DataFrame) -> DataFrame:
+    """A content mix (share_type, n) with each type's share of all; none where all are 0."""
+    return mix.withColumn("share", F.try_divide(F.col("n"), F.sum("n").over(W.partitionBy())))  # a row a share type
+
+
 #: A cell of the cube: what an event counts for, by table.
 _CELL = "struct<level:string,day:string,dow:int,hour:int,name:string>"
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.functions.dates import js_round
@@ -27,6 +27,24 @@ def histogram(rows: DataFrame, field: str) -> DataFrame:
     return rows.groupBy(F.coalesce(F.nullif(field, F.lit("")), F.lit("?")).alias("value")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def posts_by(rows: DataFrame, by: str, text: str, marked: Column) -> DataFrame:
+    """Rows of each value of `by`, the whole mean length of their texts, and the whole percent that is marked."""
+    of = rows.select(F.col(by), F.length(text).cast("long").alias("_length"), marked.alias("_marked")).groupBy(by)
+    return of.agg(F.count(F.lit(1)).alias("n"), F.expr("sum(_length) div greatest(count(1), 1)").alias("mean_length"), F.expr("100 * count_if(_marked) div greatest(count(1), 1)").alias("percent"))
+
+
+def one_sided(rows: DataFrame, key: str, sent: Column, got: Column) -> DataFrame:
+    """One row: keys that were only written to (ghosts) and keys that only wrote (fans)."""
+    sides = rows.groupBy(key).agg(F.coalesce(F.bool_or(sent), F.lit(False)).alias("s"), F.coalesce(F.bool_or(got), F.lit(False)).alias("g"))
+    return sides.where(F.col(key).isNotNull()).agg(F.count_if(F.col("s") & ~F.col("g")).alias("ghosts"), F.count_if(F.col("g") & ~F.col("s")).alias("fans"))
+
+
+def comments_by_post(rows: DataFrame, post: str) -> DataFrame:
+    """One row: comments, the posts they are on, and the most on one."""
+    each = rows.groupBy(post).agg(F.count(F.lit(1)).alias("n"))
+    return each.agg(F.sum("n").alias("comments"), F.count(F.lit(1)).alias("posts"), F.max("n").alias("most"))
+
+
 def top_hashtags(rows: DataFrame, text: str, n: int = 10) -> DataFrame:
     """tag and n of the hashtags written most often, every use counting; ties go by the tag."""
     tags = rows.select(F.explode(hashtags(F.col(text))).alias("tag"))

@@ -111,21 +111,19 @@ def timeline_12m(spark, sf):
 
 @query("select count(*) filter (where o_orderstatus = 'F') as posts, count(*) filter (where o_orderstatus <> 'F') as comments, count(*) as total, count(distinct o_orderdate::date) as active_days, strftime(min(o_orderdate), '%Y-%m-%d') as first_day, strftime(max(o_orderdate), '%Y-%m-%d') as last_day from orders")
 def activity_totals(spark, sf):
-    a = activity(spark, sf)
-    return a.agg(F.count_if(F.col("kind") == "post").alias("posts"), F.count_if(F.col("kind") == "comment").alias("comments"), F.count(F.lit(1)).alias("total"), F.countDistinct(D.day_key(F.col("ts"))).alias("active_days"), D.day_key(F.min("ts")).alias("first_day"), D.day_key(F.max("ts")).alias("last_day"))
+    return A.totals(activity(spark, sf))
 
 
 @query("select (isodow(ts) - 1)::int as dow, hour(ts)::int as hour, count(*) as n from events group by all")
 def heatmap_dow_hour(spark, sf):
-    return _table(spark, sf, "events").groupBy(F.weekday("ts").alias("dow"), F.hour("ts").alias("hour")).agg(F.count(F.lit(1)).alias("n"))
+    return A.heatmap(_table(spark, sf, "events"))
 
 
 @query("""with h as (select hour(ts)::int as k, count(*) as n from events group by 1), d as (select (isodow(ts) - 1)::int as k, count(*) as n from events group by 1)
 select (select k from h order by n desc, k limit 1) as peak_hour, (select k from d order by n desc, k limit 1) as peak_day""")
 def peaks(spark, sf):
-    e = _table(spark, sf, "events")
-    best = lambda c, name: e.groupBy(c.alias("k")).agg(F.count(F.lit(1)).alias("n")).agg(F.max_by("k", F.struct("n", -F.col("k"))).alias(name))
-    return best(F.hour("ts"), "peak_hour").crossJoin(best(F.weekday("ts"), "peak_day"))
+    grid = stored(A.heatmap(_table(spark, sf, "events")))
+    return A.peak(grid, "hour", "peak_hour").crossJoin(A.peak(grid, "dow", "peak_day"))  # of one row each
 
 
 @query("""with d as (select distinct user_id, ts::date as d from events),
@@ -251,10 +249,7 @@ def cube_facts(spark, sf):
 
 @query(f"with {_ACT}, s as (select sum(n) as w from ms) select share_type, sum(n)::bigint as n, sum(n) / max(w)::double as share from ms, s group by share_type")
 def donut_shares(spark, sf):
-    from pyspark.sql import Window as W
-
-    mix = A.month_share_types(activity(spark, sf)).groupBy("share_type").agg(F.sum("n").alias("n"))
-    return mix.withColumn("share", F.try_divide(F.col("n"), F.sum("n").over(W.partitionBy())))
+    return A.shares(A.month_share_types(activity(spark, sf)).groupBy("share_type").agg(F.sum("n").alias("n")))
 
 
 @query(f"""with {_ACT}, {_months(12)}, line as (select month, coalesce(total, 0) as total, coalesce(posts, 0) as posts, coalesce(comments, 0) as comments from cal left join mt using (month)), {_TREND},
@@ -654,21 +649,18 @@ def explore_busiest_months(spark, sf):
 
 @query("select source as visibility, count(*) as n, sum(length(text))::bigint // greatest(count(*), 1) as mean_length, 100 * count(*) filter (where lang = 'en') // greatest(count(*), 1) as percent_en from documents group by 1")
 def explore_histogram(spark, sf):
-    d = _table(spark, sf, "documents").groupBy(F.col("source").alias("visibility"))
-    return d.agg(F.count(F.lit(1)).alias("n"), F.expr("sum(cast(length(text) as bigint)) div greatest(count(1), 1)").alias("mean_length"), F.expr("100 * count_if(lang = 'en') div greatest(count(1), 1)").alias("percent_en"))
+    return E.posts_by(_table(spark, sf, "documents").withColumnRenamed("source", "visibility"), "visibility", "text", F.col("lang") == "en").withColumnRenamed("percent", "percent_en")
 
 
 @query("""with m as (select distinct o_custkey from orders where o_orderstatus = 'F'), r as (select distinct o_custkey from orders where o_orderstatus = 'O') select (select count(*) from m where o_custkey not in (select o_custkey from r)) as ghosts, (select count(*) from r where o_custkey not in (select o_custkey from m)) as fans""")
 def explore_ghosts_fans(spark, sf):
-    o = _table(spark, sf, "orders")
-    sent, got = (o.where(F.col("o_orderstatus") == s).select("o_custkey").distinct() for s in "FO")
-    return sent.join(got, "o_custkey", "left_anti").agg(F.count(F.lit(1)).alias("ghosts")).crossJoin(got.join(sent, "o_custkey", "left_anti").agg(F.count(F.lit(1)).alias("fans")))
+    status = F.col("o_orderstatus")
+    return E.one_sided(_table(spark, sf, "orders"), "o_custkey", status == "F", status == "O")
 
 
 @query("with c as (select l_partkey as post, count(*) as n from lineitem group by 1) select sum(n)::bigint as comments, count(*) as posts, max(n) as most from c")
 def explore_comments(spark, sf):
-    c = _table(spark, sf, "lineitem").groupBy("l_partkey").agg(F.count(F.lit(1)).alias("n"))
-    return c.agg(F.sum("n").alias("comments"), F.count(F.lit(1)).alias("posts"), F.max("n").alias("most"))
+    return E.comments_by_post(_table(spark, sf, "lineitem"), "l_partkey")
 
 
 @query(f"""with {_ACT}, l as (select * from mt where posts > 0 order by month desc limit 6) select month, floor(comments / posts::double * 10 + 0.5) / 10 as ratio from l""")
@@ -766,7 +758,7 @@ def preview_whole(spark, sf):
 @query("select o_orderkey, case when o_orderkey % 30 = 0 then '-' when o_orderkey % 30 < 12 then (o_orderkey % 30) || ' mo' else printf('%.1f', floor((o_orderkey % 30) / 12.0::double * 10 + 0.5) / 10) || ' yr' end as age, strftime(o_orderdate, '%b %Y') as month_label, strftime(date_trunc('week', o_orderdate), '%b %d') as week_label from orders")
 def labels_text(spark, sf):
     o = _table(spark, sf, "orders")
-    return o.select("o_orderkey", D.network_age(F.col("o_orderkey") % 30).alias("age"), F.date_format("o_orderdate", "MMM yyyy").alias("month_label"), F.date_format(F.date_trunc("week", "o_orderdate"), "MMM dd").alias("week_label"))
+    return o.select("o_orderkey", D.network_age(F.col("o_orderkey") % 30).alias("age"), F.date_format("o_orderdate", "MMM yyyy").alias("month_label"), LB.week_label(F.col("o_orderdate")).alias("week_label"))
 
 
 def _dated(spark, sf):
