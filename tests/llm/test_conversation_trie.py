@@ -66,7 +66,7 @@ def some(seed, convs):
     return [(*r, 1, "k", None) for r in rows]
 
 
-@pytest.mark.parametrize("sizes", [(4096, 32, 64, 8), (3, 2, 2, 2), (1, 3, 4, 3), (16, 2, 1, 8)])
+@pytest.mark.parametrize("sizes", [(4096, 32, 64, 8), (8, 4, 3, 4)])
 def test_is_a_trie(spark, sizes):
     rows = some(sizes[0], 90)
     block, fan, first, grow = sizes
@@ -76,7 +76,7 @@ def test_is_a_trie(spark, sizes):
 @pytest.mark.parametrize("rows", [[], [(5, 0, "user", "hi")], [(None, None, None, None)], [(1, 0, "user", "a"), (3, 0, "user", "a")], [(c, t, "u", "x") for c in range(0, 60) for t in range(2)]])
 def test_small_tables(spark, rows):
     rows = [(*r, 0, "", "") for r in rows]
-    assert got(conversation_trie.trie(spark.createDataFrame(rows, SCHEMA), 2, 2)) == (expected(rows) if rows else [])
+    assert got(conversation_trie.trie(spark.createDataFrame(rows, SCHEMA), 24, 2)) == (expected(rows) if rows else [])
 
 
 def test_levels_agree_on_random_arrays():
