@@ -64,7 +64,7 @@ def test_is_brute_force(tables, monkeypatch, blocks):
 
 def test_batches_and_repeated_queries(tables, spark):
     docs, items, df, _ = tables
-    assert got(lexical_search.search(df, spark.createDataFrame([*items, items[3]], ITEMS), k=5, batch_queries=8)) == expected(docs, [*items, items[3]], 5)
+    assert got(lexical_search.search(df, spark.createDataFrame([*items, items[3]], ITEMS), k=5, batch_queries=12)) == expected(docs, [*items, items[3]], 5)
 
 
 def test_empty_tables(tables, spark):

@@ -261,7 +261,7 @@ def _digests(ends: DataFrame) -> DataFrame:
 def _intervals(rows: DataFrame, n: int, block: int, fan: int) -> tuple[DataFrame, int, list[str]]:
     """Rows of all levels, by kind, how many levels there were, and the folders that hold them; rows are conversations in order."""
     spark = rows.sparkSession
-    blocks = -(-n // block)
+    blocks = max(1, -(-n // block))
     home = F.floor(F.col("ordinal") / block).cast("long")
     ends_block = F.col("ordinal") % block == block - 1
     near = rows.withColumn("home", home).withColumn("block", F.explode(F.when(ends_block, F.array(home, home + 1)).otherwise(F.array(home)))).where(F.col("block") < blocks)
