@@ -2,9 +2,12 @@
 
 from datetime import datetime
 
+import duckdb
 import pytest
 
+from tests.sql_compare import _rows
 from tracewell import queries
+from tracewell.operators.ordinal import in_file_order, with_place
 
 DATA = "/root/testdata/sf0.001"
 
@@ -38,3 +41,36 @@ def test_growth_of_whole_tables(spark, tmp_path):
 def test_row_diff_sees_texts_and_every_row(spark, tmp_path, ids, expected):
     write(spark, tmp_path, "documents", [(i, f"text {i}", "en", None, 6) for i in ids], "doc_id long, text string, lang string, source string, n_chars long")
     assert tuple(queries.QUERIES["row_diff_whole"](spark, str(tmp_path)).first()) == expected
+
+
+def in_files(spark, folder, sizes):
+    """documents as files of these many rows, each longer text by text, so that Spark deals later files first."""
+    at = 0
+    for k, n in enumerate(sizes):
+        rows = [(at + i, f"text {at + i} " * (1 + 40 * k), "en", None, 6) for i in range(n)]
+        made = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+        made.toPandas().to_parquet(folder / f"part-{k:04d}.parquet", index=False)
+        at += n
+    return at
+
+
+@pytest.mark.parametrize("name", ["row_diff_by_place"])
+def test_rows_by_place_of_several_files(spark, tmp_path, name):
+    folder = tmp_path / "documents.parquet"
+    folder.mkdir()
+    in_files(spark, folder, (3, 9, 27, 40))
+    got = queries.QUERIES[name](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{folder}/*.parquet'")
+    found = con.execute(queries.ORACLES[name])
+    columns = [c[0] for c in found.description]
+    assert _rows(map(tuple, got.collect()), got.columns) == _rows(found.fetchall(), columns)
+
+
+@pytest.mark.parametrize("block", [1, 4, 4096])
+def test_places_in_file_order(spark, tmp_path, block):
+    total = in_files(spark, tmp_path, (3, 9, 27))
+    rows = in_file_order(with_place(spark.read.parquet(str(tmp_path))).where("doc_id % 4 <> 1"), block=block)
+    assert "_place" not in rows.columns
+    assert [r.doc_id for r in rows.orderBy("ordinal").collect()] == [k for k in range(total) if k % 4 != 1]
+    assert sorted(r.ordinal for r in rows.collect()) == list(range(sum(k % 4 != 1 for k in range(total))))

@@ -23,6 +23,27 @@ def numbered(df: DataFrame, name: str = "ordinal") -> DataFrame:
     return out.withColumn(name, F.col("_before") + F.col("_at").bitwiseAND((1 << _PLACE_BITS) - 1)).drop("_part", "_before", "_at")
 
 
+#: Rows of a file that are ranked together; sums before them run over such blocks.
+FILE_BLOCK = 4096
+
+
+def with_place(df: DataFrame, name: str = "_place") -> DataFrame:
+    """A table as `read.parquet` gives it, with the file and the place in it of each row. Partitions do not show that
+    order: Spark deals files by their sizes, several to a task."""
+    return df.select("*", F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")).alias(name))
+
+
+def in_file_order(df: DataFrame, place: str = "_place", name: str = "ordinal", block: int = FILE_BLOCK) -> DataFrame:
+    """df, without place, with the place of each row from 0 in the order of file names and of rows in a file; rows may have been left out."""
+    rows = df.withColumn("_file", F.col(f"{place}.file")).withColumn("_block", F.floor(F.col(f"{place}.row") / block))
+    sizes = rows.groupBy("_file", "_block").agg(F.count(F.lit(1)).alias("_n"))  # one row a block
+    before = F.coalesce(F.sum("_n").over(W.orderBy("_file", "_block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select("_file", "_block", before.alias("_before"))
+    ranked = rows.withColumn("_r", F.row_number().over(W.partitionBy("_file", "_block").orderBy(f"{place}.row")) - 1)
+    out = ranked.join(F.broadcast(starts), ["_file", "_block"])
+    return out.withColumn(name, F.col("_before") + F.col("_r")).drop("_file", "_block", "_before", "_r", place)
+
+
 def ordinal(df: DataFrame, *order: Column, name: str = "ordinal") -> DataFrame:
     """df, stored, with the place of each row from 0 in this order over the whole table.
 

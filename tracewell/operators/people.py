@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tracewell.functions.constants import ANONYMOUS, RANGE_DAYS, RANGE_MONTHS
 from tracewell.functions.dates import days_since, js_round
-from tracewell.operators.ordinal import numbered
+from tracewell.operators.ordinal import in_file_order, numbered
 from tracewell.operators.stored import stored
 
 
@@ -201,17 +201,20 @@ def row_diff(a: DataFrame, b: DataFrame, key: str, columns: list[str]) -> DataFr
     )
 
 
-def positional_diff(a: DataFrame, b: DataFrame, first: int = 3) -> tuple[DataFrame, DataFrame]:
-    """(counts, places) of two tables compared row by row in the order in which they are read; they need no key.
+def positional_diff(a: DataFrame, b: DataFrame, first: int = 3, place: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(counts, places) of two tables compared row by row, without a key: in the order of their files where place names a column of
+    `ordinal.with_place`, which is not compared, else in that of their partitions.
 
     counts is one row: rows_differ and cells_differ of rows that both have, only_a and only_b. places has row, column, a and b
     (as text) of the first cells that differ. Columns are taken by place too; those that one table lacks differ where the other has a value.
     """
-    width = max(len(a.columns), len(b.columns))
+    columns = lambda df: [c for c in df.columns if c != place]
+    width = max(len(columns(a)), len(columns(b)))
 
     def cells(df: DataFrame, name: str) -> DataFrame:
-        texts = [F.col(f"`{c}`").cast("string") for c in df.columns] + [F.lit(None).cast("string")] * (width - len(df.columns))
-        return numbered(df.select(F.array(*texts).alias(name)), "row")
+        texts = [F.col(f"`{c}`").cast("string") for c in columns(df)] + [F.lit(None).cast("string")] * (width - len(columns(df)))
+        one = F.array(*texts).alias(name)
+        return in_file_order(df.select(one, place), place, "row") if place else numbered(df.select(one), "row")
 
     both = cells(a, "a").join(cells(b, "b"), "row", "full_outer")
     at = F.sequence(F.lit(0), F.lit(width - 1))

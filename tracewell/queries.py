@@ -20,6 +20,7 @@ from tracewell.operators import explore as E
 from tracewell.operators import messages as M
 from tracewell.operators import people as P
 from tracewell.operators import threads as T
+from tracewell.operators.ordinal import with_place
 from tracewell.operators.stored import stored
 from tracewell.plans import export as EX
 from tracewell.plans import relationships as R
@@ -530,9 +531,9 @@ u as (select *, list_filter([0, 1, 2, 3], lambda k: a[k + 1] is distinct from b[
 
 
 def _by_place(spark, sf):
-    d = _table(spark, sf, "documents")
-    b = d.where("doc_id <> 5").select("doc_id", F.when(F.col("doc_id") % 7 > 0, F.col("lang")).alias("lang"), F.col("n_chars") + (F.col("doc_id") % 5 == 0).cast("int"), F.concat("text", F.when(F.col("doc_id") % 11 == 3, F.lit("!")).otherwise("")))
-    return P.positional_diff(d.select("doc_id", "lang", "n_chars", "text"), b)
+    d = with_place(_table(spark, sf, "documents"))
+    b = d.where("doc_id <> 5").select("doc_id", F.when(F.col("doc_id") % 7 > 0, F.col("lang")).alias("lang"), F.col("n_chars") + (F.col("doc_id") % 5 == 0).cast("int"), F.concat("text", F.when(F.col("doc_id") % 11 == 3, F.lit("!")).otherwise("")), "_place")
+    return P.positional_diff(d.select("doc_id", "lang", "n_chars", "text", "_place"), b, place="_place")
 
 
 @query(f"with {_BY_PLACE} select count(*) filter (where x and y and len(unlike) > 0) as rows_differ, coalesce(sum(len(unlike)) filter (where x and y), 0)::bigint as cells_differ, count(*) filter (where not y) as only_a, count(*) filter (where not x) as only_b from u")
