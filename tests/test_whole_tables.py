@@ -54,7 +54,7 @@ def in_files(spark, folder, sizes):
     return at
 
 
-@pytest.mark.parametrize("name", ["row_diff_by_place"])
+@pytest.mark.parametrize("name", ["row_diff_by_place", "row_diff_places"])
 def test_rows_by_place_of_several_files(spark, tmp_path, name):
     folder = tmp_path / "documents.parquet"
     folder.mkdir()
