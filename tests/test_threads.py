@@ -6,6 +6,7 @@ from datetime import datetime
 import pytest
 
 from tracewell.functions.constants import ANONYMOUS
+from tracewell.operators import threads
 from tracewell.operators.threads import recent_threads, within_budget
 
 SCHEMA = "row_idx long, conv string, ts timestamp_ntz, sender string, sender_url string, names array<string>, urls array<string>, several boolean, body string"
@@ -68,3 +69,13 @@ def test_budget_is_the_plain_loop(spark, seed):
             break
     got = within_budget(spark.createDataFrame(rows, "thread string, last_ts long, members array<string>"), 5)
     assert {r.thread for r in got.collect()} == expected
+
+
+def test_messages_alike_are_counted_once_read(spark, monkeypatch):
+    """People are looked up by kinds of messages, not message by message."""
+    ada = ("Ada", "https://x/ada")
+    rows = [("1", ME, [ada], f"a{k}") if k % 3 else ("1", ada, [ME], f"a{k}") for k in range(24)] + [("", ada, [ME], "b"), ("", ada, [ME], "c")]
+    looked = []
+    monkeypatch.setattr(threads, "mentions", lambda found, whole=threads.mentions: looked.append(found.count()) or whole(found))
+    assert threads_of(spark, rows, contacts=["https://x/ada"]) == {("Ada", "https://x/ada", 26): [("received", "a21"), ("sent", "a22"), ("sent", "a23"), ("received", "b"), ("received", "c")]}
+    assert looked == [4]

@@ -6,6 +6,7 @@ import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -22,3 +23,12 @@ def stored(df: DataFrame) -> DataFrame:
     """df from the checkpoint folder, computed once, with its lineage cut."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+#: Rows up to which a stored table goes to every task of a join.
+SMALL = 200_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """A stored table, marked for broadcast where it has few rows."""
+    return F.broadcast(df) if df.count() <= SMALL else df

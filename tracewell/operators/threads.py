@@ -4,9 +4,9 @@ A messages table has row_idx (place in the file), conv (blank where the file has
 sender_url, names and urls of recipients (arrays, zipped by place), several (whether the raw row
 names more than one recipient) and body. Rows without a time are left out by the caller.
 
-Messages become mentions, one row a person and message; everything else is grouping and joining
-of mentions by conversation, contact or thread, so a conversation with a third of all messages is
-pre-aggregated before each shuffle. Where the account's owner cannot be told, directions are
+Messages of a conversation that name the same people are first counted as one kind. Kinds become
+mentions, one row a person and kind; everything else is grouping and joining of mentions by conversation, contact or
+thread. Only the last messages of the chosen threads are read again. Where the account's owner cannot be told, directions are
 `unknown` and the owner counts as a correspondent.
 """
 
@@ -18,11 +18,20 @@ from pyspark.sql import functions as F
 from tracewell.functions import text as X
 from tracewell.functions.constants import ANONYMOUS
 from tracewell.operators.people import names_to_urls, own_key, tail, widest_coverage
-from tracewell.operators.stored import stored
+from tracewell.operators.stored import small, stored
 
 UNKNOWN = "Unknown"
 
 
+def kinds(messages: DataFrame) -> DataFrame:
+    """Messages of a conversation that are alike but for time and body as one: their number n, first row_idx and last ts.
+
+    Messages without a conversation stay apart. The first row's place tells a kind."""
+    lone = F.when(F.col("conv") != "", F.lit(None)).otherwise(F.col("row_idx"))
+    rows = messages.groupBy("conv", "sender", "sender_url", "names", "urls", "several", lone.alias("_lone"))
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.min("row_idx").alias("row_idx"), F.max("ts").alias("ts")).drop("_lone")
+
+
 def mentions(messages: DataFrame) -> DataFrame:
     """row_idx, conv, scope, ts, pos, role, name, name_key, url and anonymous of every person a message names.
 
@@ -41,16 +50,20 @@ def mentions(messages: DataFrame) -> DataFrame:
 
 def with_contacts(people: DataFrame, known: DataFrame) -> DataFrame:
     """people with contact: by address, by conversation where anonymous, by the address known for the name, or by name."""
-    rows = people.withColumn("_own", own_key("name_key")).join(known.select(F.col("name_key").alias("_own"), F.col("url").alias("_known")), "_own", "left").drop("_own")
+    direct = (F.col("url") != "") | F.col("anonymous")  # no name is looked up for these
     by_name = F.coalesce(F.concat(F.lit("url:"), "_known"), X.contact_key(F.lit(""), F.col("name_key")))
-    return rows.withColumn("contact", F.when(F.col("url") != "", F.concat(F.lit("url:"), "url")).when(F.col("anonymous"), F.concat(F.lit("anon:"), "scope")).otherwise(by_name)).drop("_known")
+    named = people.where(~direct).withColumn("_own", own_key("name_key")).join(known.select(F.col("name_key").alias("_own"), F.col("url").alias("_known")), "_own", "left").withColumn("contact", by_name)
+    rest = people.where(direct).withColumn("contact", F.when(F.col("url") != "", F.concat(F.lit("url:"), "url")).otherwise(F.concat(F.lit("anon:"), "scope")))
+    return rest.unionByName(named.drop("_own", "_known"))
 
 
 def identities(people: DataFrame) -> DataFrame:
-    """key, convs, sent, received, urls and names of every contact with an identity of its own."""
+    """key, convs, urls and names of every contact with an identity of its own."""
+    rows = people.where(~F.col("anonymous")).withColumnRenamed("contact", "key")
+    convs = rows.select("key", "scope").distinct().groupBy("key").agg(F.count(F.lit(1)).alias("convs"))
     real = lambda c: F.collect_set(F.nullif(c, F.lit("")))
-    rows = people.where(~F.col("anonymous")).groupBy(F.col("contact").alias("key"))
-    return rows.agg(F.countDistinct("scope").alias("convs"), F.count_if(F.col("role") == "from").alias("sent"), F.count_if(F.col("role") == "to").alias("received"), real("url").alias("urls"), real("name_key").alias("names"))
+    spelled = rows.select("key", "url", "name_key").distinct().groupBy("key").agg(real("url").alias("urls"), real("name_key").alias("names"))
+    return convs.join(spelled, "key")
 
 
 def owner(index: DataFrame, contact_keys: DataFrame) -> DataFrame:
@@ -162,31 +175,35 @@ def recent_threads(messages: DataFrame, contact_keys: DataFrame, people: int = 1
     contact_keys has contact_key, addresses and names of known contacts. Messages without a conversation
     are grouped by the people they name; conversations of the same people are one thread.
     """
-    named = stored(mentions(messages))
+    alike = stored(kinds(messages))
+    named = stored(mentions(alike))
     known = stored(names_to_urls(named.where("not anonymous")))
     self = stored(owner(stored(identities(with_contacts(named.where("not anonymous"), known))), contact_keys))
     marked = named.crossJoin(F.broadcast(self)).withColumn("is_self", _is_self())
     others = marked.where("not is_self").drop("self_urls", "self_names", "is_self")
-    known = known.unionByName(aliases(others.where("not anonymous"), messages, known))
+    known = known.unionByName(aliases(others.where("not anonymous"), alike, known))
     rows = stored(with_contacts(others, known))
-    by_row = rows.groupBy("conv", "row_idx").agg(F.collect_set("contact").alias("_set"))
-    group = F.when(F.col("conv") != "", F.concat(F.lit("id:"), "conv")).otherwise(F.concat(F.lit("people:"), F.array_join(F.array_sort("_set"), "|")))
-    by_row = by_row.select("row_idx", group.alias("group"))
-    placed = rows.join(by_row, "row_idx")
+    in_conv, conv_group = F.col("conv") != "", F.concat(F.lit("id:"), "conv")
+    lone = rows.where(~in_conv).groupBy("row_idx").agg(F.concat(F.lit("people:"), F.array_join(F.array_sort(F.collect_set("contact")), "|")).alias("group"))
+    grouped = lambda df: df.where(in_conv).withColumn("group", conv_group).unionByName(df.where(~in_conv).join(lone, "row_idx"))
+    placed = grouped(rows)
     sets = stored(thread_sets(placed, "group").where(F.col("size") <= people))  # no budget takes a wider thread
     members = placed.join(sets.where("group = thread").select("group"), "group").groupBy(F.col("group").alias("thread")).agg(F.array_sort(F.collect_set("contact")).alias("members"))
     groups = stored(sets.select("group", "thread").join(members, "thread").select("group", "members", F.array_join("members", "|").alias("thread")))
-    lone = messages.where("conv <> ''").select("row_idx", F.concat(F.lit("id:"), "conv").alias("group")).unionByName(by_row.where(~F.col("group").startswith("id:")))
-    entries = messages.join(lone, "row_idx").join(groups.select("group", "thread"), "group")
-    totals = entries.groupBy("thread").agg(F.count(F.lit(1)).alias("message_count"), F.max("ts").alias("last_ts"))
-    threads = totals.join(groups.select("thread", "members").dropDuplicates(["thread"]), "thread")
-    chosen = stored(within_budget(threads, people).select("thread"))
-    who = placed.join(groups.select("group", "thread"), "group").join(F.broadcast(chosen), "thread")  # at most 2 ** people threads
+    entries = grouped(alike.select("row_idx", "conv", "n", "ts"))
+    totals = lambda df: df.groupBy("thread").agg(F.sum("n").alias("message_count"), F.max("ts").alias("last_ts"))
+    threads = totals(entries.join(groups.select("group", "thread"), "group")).join(groups.select("thread", "members").dropDuplicates(["thread"]), "thread")
+    chosen = stored(within_budget(threads, people).select("thread"))  # at most 2 ** people threads
+    picked = small(stored(groups.select("group", "thread").join(F.broadcast(chosen), "thread")))
+    who = placed.join(picked, "group")
     order = F.struct("row_idx", "pos")
     label = who.groupBy("thread", "contact").agg(F.min(order).alias("o"), F.min_by("name", F.when(F.col("name") != UNKNOWN, order)).alias("n"), F.min_by("url", F.when(F.col("url") != "", order)).alias("u"))
     label = label.select("thread", F.struct("o", F.coalesce("n", F.nullif("u", F.lit("")), F.lit(UNKNOWN)).alias("label")).alias("l"), F.coalesce("u", F.lit("")).alias("u"))
     label = label.groupBy("thread").agg(F.array_join(F.transform(F.array_sort(F.collect_list("l")), lambda x: x["label"]), ", ").alias("name"), F.when(F.count(F.lit(1)) == 1, F.max("u")).otherwise("").alias("url"))
-    last = tail(entries.join(F.broadcast(chosen), "thread"), "thread", "ts", "row_idx", each).crossJoin(F.broadcast(self))
+    at = F.when(in_conv, conv_group).otherwise(F.concat(F.lit("row:"), F.col("row_idx").cast("string")))
+    where = small(stored(entries.join(picked, "group").select(at.alias("_at"), "thread").distinct()))  # conversations and lone rows of the chosen threads
+    last = tail(messages.withColumn("_at", at).join(where, "_at").drop("_at"), "thread", "ts", "row_idx", each).crossJoin(F.broadcast(self))
     owned = F.array_contains("self_urls", F.col("sender_url")) | F.array_contains("self_names", X.name_key(F.col("sender")))
     direction = F.when(F.size("self_urls") + F.size("self_names") == 0, "unknown").when(owned, "sent").otherwise("received")
-    return last.join(totals, "thread").join(F.broadcast(label), "thread").select("thread", "name", "url", "message_count", "last_ts", F.col("row_idx").alias("seq"), "ts", direction.alias("direction"), "body")
+    counted = totals(entries.join(picked, "group"))
+    return last.join(counted, "thread").join(F.broadcast(label), "thread").select("thread", "name", "url", "message_count", "last_ts", F.col("row_idx").alias("seq"), "ts", direction.alias("direction"), "body")
