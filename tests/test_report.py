@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.test_relationships import MESSAGES
+from tracewell import queries
 from tracewell.functions import labels as L
 from tracewell.functions import text as X
 from tracewell.operators import activity as A
@@ -106,3 +107,11 @@ def test_view_without_activity(spark):
 def test_hashtags(spark):
     row = spark.createDataFrame([("#Größe und #a_1 ##b #A_1",), (None,)], "t string").select(X.hashtags(F.col("t")).alias("h")).collect()
     assert row[0].h == ["größe", "a_1", "b", "a_1"] and row[1].h == []
+
+
+def test_report_takes_people_from_messages_once(spark, monkeypatch):
+    """Lists, tiles and the funnel share one table of people and one of events."""
+    made = []
+    monkeypatch.setattr(P, "participants", lambda *a, whole=P.participants: made.append(1) or whole(*a))
+    queries._report(spark, "/root/testdata/sf0.001")
+    assert len(made) == 1

@@ -60,18 +60,22 @@ def people_of(messages: DataFrame) -> DataFrame:
     return people.crossJoin(F.broadcast(self)).withColumn("mine", mine).drop("_url", "_name")
 
 
-def events_of(messages: DataFrame) -> DataFrame:
-    """A row a message and person other than the account's owner, with contact."""
-    return P.canonical_contacts(people_of(messages).where("not mine").drop("mine"))
+def events_of(messages: DataFrame, people: DataFrame | None = None) -> DataFrame:
+    """A row a message and person other than the account's owner, with contact; people is that of `people_of`, where it is at hand."""
+    people = people_of(messages) if people is None else people
+    return P.canonical_contacts(people.where("not mine").drop("mine"))
 
 
-def outreach_of(messages: DataFrame) -> DataFrame:
-    """One row, the outreach funnel of dated messages. A sender without a name of their own neither replies nor counts as received."""
-    people = stored(people_of(messages))
+def outreach_of(messages: DataFrame, people: DataFrame | None = None, events: DataFrame | None = None) -> DataFrame:
+    """One row, the outreach funnel of dated messages. A sender without a name of their own neither replies nor counts as received.
+
+    people and events, where they are at hand, are those of `people_of` and `events_of`, stored."""
+    people = stored(people_of(messages)) if people is None else people
+    events = P.canonical_contacts(people.where("not mine").drop("mine")) if events is None else events
     conv = F.when(F.col("conv") != "", F.col("conv")).otherwise(F.concat(F.lit("row-"), F.col("row_idx").cast("string")))
     senders = people.where("role = 'from'").select("row_idx", F.col("mine").alias("is_self"))
     rows = messages.select("row_idx", conv.alias("conv"), "ts").join(senders, "row_idx", "left")
-    sides = P.canonical_contacts(people.where("not mine").drop("mine")).select("row_idx", "contact", "role").join(senders, "row_idx", "left")
+    sides = events.select("row_idx", "contact", "role").join(senders, "row_idx", "left")
     written = sides.where("is_self or role = 'from'").select("contact", (F.col("role") == "to").alias("is_self"))
     return P.outreach(rows).crossJoin(M.unanswered(written))  # of one row each
 
@@ -114,9 +118,9 @@ def message_state(rows: DataFrame) -> dict[str, DataFrame]:
     }
 
 
-def panels(messages: DataFrame, connections: DataFrame, now: str, key: str = "12m", n: int = 10) -> dict[str, DataFrame]:
-    """The top, silent and fading lists in their own order, with the column names of their sheets."""
-    events = stored(events_of(messages))
+def panels(messages: DataFrame, connections: DataFrame, now: str, key: str = "12m", n: int = 10, events: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The top, silent and fading lists in their own order, with the column names of their sheets; events is that of `events_of`, where it is stored."""
+    events = stored(events_of(messages)) if events is None else events
     who = P.contacts(events).withColumn("url", F.when(F.col("contact").startswith("url:"), F.substring(F.col("contact"), 5, 1 << 20)).otherwise(""))
     top = P.top_contacts(events, key, n).join(who.select("contact", "name", "url"), "contact").orderBy(F.desc("n"), F.desc("last_ts"), "name")
     quiet = P.silent(connections, events.where("url <> ''").select("url").distinct(), events.where("name_key <> ''").select("name_key").distinct())

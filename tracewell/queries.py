@@ -274,7 +274,10 @@ union all select row_number() over (order by o) - 1, id, title, value from (
   union all select 8, 'streak', case when n >= 100 then 'Unstoppable Streak' when n >= 30 then 'Streak Master' else 'Consistency Streak' end, n::varchar from cs where n >= 7
   union all select 9, 'weekday', 'Peak Day', ['Monday', 'Tuesday', 'Wednesday', 'Thursday', 'Friday', 'Saturday', 'Sunday'][(select k from d order by n desc, k limit 1) + 1])""")
 def insight_cards(spark, sf):
-    v = A.view(A.cube(activity(spark, sf)), A.Filters("12m"))
+    return _cards(A.view(A.cube(activity(spark, sf)), A.Filters("12m")))
+
+
+def _cards(v):
     topic = v["topics"].agg(F.max("n").alias("top_count"))
     first = v["topics"].join(topic, F.col("n") == F.col("top_count")).agg(F.min("topic").alias("top_topic"), F.max("top_count").alias("top_count"))
     some = (
@@ -860,12 +863,13 @@ def _report(spark, sf):
     tables = A.cube(activity(spark, sf), P.month_counts(conn, "ts"))
     view = A.view(tables, A.Filters("12m"))
     window = RP.caption(view["timeline"], LB.range_label("12m"))
-    ev = stored(R.events_of(mail))
+    people = stored(R.people_of(mail))
+    ev = stored(R.events_of(mail, people))
     named = conn.withColumn("name", F.concat(F.lit("customer "), F.col("row_idx").cast("string"))).withColumn("name_key", F.col("name"))
-    lists = R.panels(mail, named, NOW)
+    lists = {k: stored(rows) for k, rows in R.panels(mail, named, NOW, events=ev).items()}
     boards = RP.activity_dashboard(view, window), RP.connections_dashboard(RP.connections_view(conn, NOW, "all")), RP.messages_dashboard(mail, ev, conn, lists["fading"], lists)
     peaks = view["totals"].crossJoin(view["peaks"])  # of one row each
-    return RP.report_model(*boards, window, insight_cards(spark, sf), RP.post_tip(peaks), RP.all_time_tiles(tables["growth"], R.outreach_of(mail)))
+    return RP.report_model(*boards, window, _cards(view), RP.post_tip(peaks), RP.all_time_tiles(tables["growth"], R.outreach_of(mail, people, ev)))
 
 
 _SAY = "list({'label': label, 'value': value} order by position)"
