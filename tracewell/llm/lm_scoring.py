@@ -37,7 +37,9 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
@@ -103,11 +105,13 @@ class Block:
 
     @classmethod
     def of(cls, texts: list[bytes], bits: int) -> Block:
-        names: dict[bytes, int] = {}
-        each = [[names.setdefault(w, len(names)) for w in _WORDS(t.lower())] for t in texts]
-        hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in names] + [int(END_KEY), int(BEGIN_KEY)], dtype=np.uint64)
+        names: dict[bytes, int] = defaultdict(count().__next__)  # a new word takes the next number
+        each = [list(map(names.__getitem__, _WORDS(t.lower()))) for t in texts]
+        hashes = np.array([*map(xxhash.xxh3_64_intdigest, names), int(END_KEY), int(BEGIN_KEY)], dtype=np.uint64)
         sizes = np.array([len(x) + 1 for x in each], np.int64)
-        return cls(hashes, np.fromiter((w for x in each for w in (*x, len(names))), np.int64, int(sizes.sum())), sizes, bits)
+        for x in each:
+            x.append(len(names))
+        return cls(hashes, np.fromiter(chain.from_iterable(each), np.int64, int(sizes.sum())), sizes, bits)
 
     def counts(self, train: np.ndarray) -> list[np.ndarray]:
         """Training counts of the block's words, pairs and triples, by their keys."""
@@ -237,8 +241,8 @@ def _message(keys: list[np.ndarray], counts: list[np.ndarray], bits: int) -> tup
     return _joined(named), _joined([_narrow(c) for c in counts])
 
 
-def _joined(parts: list[bytes]) -> bytes:
-    return zlib.compress(b"".join(len(x).to_bytes(8, "little") + x for x in parts), 1)
+def _joined(parts: list[bytes], level: int = 1) -> bytes:
+    return zlib.compress(b"".join(len(x).to_bytes(8, "little") + x for x in parts), level)
 
 
 def _parts(raw: bytes) -> list[bytes]:
@@ -267,7 +271,7 @@ def _add(messages: list[tuple[list, list]]) -> tuple[list[np.ndarray], list[np.n
 
 def _pack(texts: list[bytes], *more: bytes) -> bytes:
     sizes = _narrow(np.array([len(t) for t in texts], np.int64))
-    return _joined([zstandard.compress(b"".join(texts), 6), sizes, *more])
+    return _joined([zstandard.compress(b"".join(texts), 6), sizes, *more], 0)  # the texts shrink no further
 
 
 def _unpack(raw: bytes) -> tuple[list[bytes], list[bytes]]:
