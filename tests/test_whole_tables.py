@@ -1,13 +1,18 @@
 """Registered queries that take every row of their tables."""
 
+import random
 from datetime import datetime
+from pathlib import Path
+from urllib.parse import urlparse
 
 import duckdb
+import pandas as pd
 import pytest
 
 from tests.sql_compare import _rows
 from tracewell import queries
 from tracewell.operators.ordinal import in_file_order, with_place
+from tracewell.operators.stored import ensure_checkpoint_dir
 
 DATA = "/root/testdata/sf0.001"
 
@@ -67,6 +72,35 @@ def test_rows_by_place_of_several_files(spark, tmp_path, name):
     assert _rows(map(tuple, got.collect()), got.columns) == _rows(found.fetchall(), columns)
 
 
+@pytest.mark.parametrize("name", ["row_diff_by_place", "row_diff_places"])
+@pytest.mark.parametrize("files, first", [(("p 0", "p!1", "p#2", "p+3", "p{4}", "p~5", "pé6"), 0), (("p{0", "pz1", "p|2"), 0), (("p0", "p1"), -40)])
+def test_rows_by_place_of_any_name_and_key(spark, tmp_path, name, files, first):
+    folder = tmp_path / "documents.parquet"
+    folder.mkdir()
+    for k, f in enumerate(files):
+        ids = range(first + 30 * k, first + 30 * k + 30)
+        pd.DataFrame({"doc_id": ids, "text": [f"text {i}" for i in ids], "lang": "en", "source": None, "n_chars": 6}).to_parquet(folder / f"{f}.parquet", index=False)
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{folder}/*.parquet'")
+    got = queries.QUERIES[name](spark, str(tmp_path))
+    assert got.columns == [c[0] for c in con.execute(queries.ORACLES[name]).description]
+    assert list(map(tuple, got.collect())) == con.execute(queries.ORACLES[name]).fetchall()
+
+
+def test_rows_by_place_store_no_long_texts(spark, tmp_path):
+    made = random.Random(5)
+    texts = [made.randbytes(20_000).hex() for _ in range(60)]
+    write(spark, tmp_path, "documents", [(i, t, "en", None, 6) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    stored_bytes = lambda: sum(f.stat().st_size for f in Path(urlparse(spark.sparkContext._jsc.sc().getCheckpointDir().get()).path).rglob("*") if f.is_file())
+    ensure_checkpoint_dir(spark)
+    before = stored_bytes()
+    counts = queries.QUERIES["row_diff_by_place"](spark, str(tmp_path)).first()
+    assert (counts.rows_differ, counts.only_a) == (56, 1)  # rows 5 to 58, and 0 and 3
+    assert stored_bytes() - before < sum(map(len, texts)) / 20
+    third = queries.QUERIES["row_diff_places"](spark, str(tmp_path)).orderBy("row", "column").collect()[2]
+    assert (third.row, third.column, third.a, third.b) == (3, 3, texts[3], texts[3] + "!")
+
+
 @pytest.mark.parametrize("block", [1, 4, 4096])
 def test_places_in_file_order(spark, tmp_path, block):
     total = in_files(spark, tmp_path, (3, 9, 27))

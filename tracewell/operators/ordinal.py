@@ -37,7 +37,8 @@ def in_file_order(df: DataFrame, place: str = "_place", name: str = "ordinal", b
     """df, without place, with the place of each row from 0 in the order of file names and of rows in a file; rows may have been left out."""
     rows = df.withColumn("_file", F.col(f"{place}.file")).withColumn("_block", F.floor(F.col(f"{place}.row") / block))
     sizes = rows.groupBy("_file", "_block").agg(F.count(F.lit(1)).alias("_n"))  # one row a block
-    before = F.coalesce(F.sum("_n").over(W.orderBy("_file", "_block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    called = F.url_decode(F.replace("_file", F.lit("+"), F.lit("%2B")))  # the path's characters, which Spark gives escaped
+    before = F.coalesce(F.sum("_n").over(W.orderBy(called, "_block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     starts = sizes.select("_file", "_block", before.alias("_before"))
     ranked = rows.withColumn("_r", F.row_number().over(W.partitionBy("_file", "_block").orderBy(f"{place}.row")) - 1)
     out = ranked.join(F.broadcast(starts), ["_file", "_block"])

@@ -207,14 +207,18 @@ def positional_diff(a: DataFrame, b: DataFrame, first: int = 3, place: str | Non
 
     counts is one row: rows_differ and cells_differ of rows that both have, only_a and only_b. places has row, column, a and b
     (as text) of the first cells that differ. Columns are taken by place too; those that one table lacks differ where the other has a value.
+    With place, long texts are compared by their SHA-256, and both tables are read again for the texts of places.
     """
     columns = lambda df: [c for c in df.columns if c != place]
     width = max(len(columns(a)), len(columns(b)))
 
+    def texts(df: DataFrame) -> list[Column]:
+        return [F.col(f"`{c}`").cast("string") for c in columns(df)] + [F.lit(None).cast("string")] * (width - len(columns(df)))
+
     def cells(df: DataFrame, name: str) -> DataFrame:
-        texts = [F.col(f"`{c}`").cast("string") for c in columns(df)] + [F.lit(None).cast("string")] * (width - len(columns(df)))
-        one = F.array(*texts).alias(name)
-        return in_file_order(df.select(one, place), place, "row") if place else numbered(df.select(one), "row")
+        if not place:
+            return numbered(df.select(F.array(*texts(df)).alias(name)), "row")
+        return in_file_order(df.select(F.array(*map(_brief, texts(df))).alias(name), F.col(place).alias(f"{name}_place"), place), place, "row")
 
     both = cells(a, "a").join(cells(b, "b"), "row", "full_outer")
     at = F.sequence(F.lit(0), F.lit(width - 1))
@@ -223,10 +227,20 @@ def positional_diff(a: DataFrame, b: DataFrame, first: int = 3, place: str | Non
     counts = rows.agg(
         F.count_if(F.size("unlike") > 0).alias("rows_differ"), F.coalesce(F.sum(F.when(F.col("unlike").isNotNull(), F.size("unlike"))), F.lit(0)).alias("cells_differ"), F.count_if(F.col("b").isNull()).alias("only_a"), F.count_if(F.col("a").isNull()).alias("only_b")
     )
-    wide = rows.where("size(unlike) > 0").orderBy("row").limit(first).select("row", F.explode("unlike").alias("column"), "a", "b")
+    wide = rows.where("size(unlike) > 0").orderBy("row").limit(first)
+    if place:  # whole texts of these few rows only
+        for df, name in ((a, "a"), (b, "b")):
+            there = df.select(F.array(*texts(df)).alias(name), F.col(place).alias(f"{name}_place"))
+            wide = there.join(F.broadcast(wide.drop(name)), f"{name}_place")
+    wide = wide.select("row", F.explode("unlike").alias("column"), "a", "b")
     return counts, wide.orderBy("row", "column").limit(first).select("row", "column", F.get("a", F.col("column")).alias("a"), F.get("b", F.col("column")).alias("b"))
 
 
+def _brief(text: Column) -> Column:
+    """Short texts as they are, longer ones as their SHA-256: what is compared, so that no long text is shuffled or stored."""
+    return F.when(F.length(text) > 64, F.concat(F.lit("#"), F.sha2(text, 256))).otherwise(F.concat(F.lit("="), text))
+
+
 def digest(rows: DataFrame) -> DataFrame:
     """Row count and an order-free digest of all rows: equal tables, equal digests, repeated rows counting each.
 

@@ -535,7 +535,7 @@ u as (select *, list_filter([0, 1, 2, 3], lambda k: a[k + 1] is distinct from b[
 
 def _by_place(spark, sf):
     d = with_place(_table(spark, sf, "documents"))
-    b = d.where("doc_id <> 5").select("doc_id", F.when(F.col("doc_id") % 7 > 0, F.col("lang")).alias("lang"), F.col("n_chars") + (F.col("doc_id") % 5 == 0).cast("int"), F.concat("text", F.when(F.col("doc_id") % 11 == 3, F.lit("!")).otherwise("")), "_place")
+    b = d.where("doc_id <> 5").select("doc_id", F.when(F.col("doc_id") % 7 != 0, F.col("lang")).alias("lang"), F.col("n_chars") + (F.col("doc_id") % 5 == 0).cast("int"), F.concat("text", F.when(F.col("doc_id") % 11 == 3, F.lit("!")).otherwise("")), "_place")
     return P.positional_diff(d.select("doc_id", "lang", "n_chars", "text", "_place"), b, place="_place")
 
 
